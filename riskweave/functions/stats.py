@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def ks_p_value(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
@@ -43,7 +44,7 @@ def _chi2_tail(x: float, dof: int) -> float:
     return min(1.0, total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-square law. Runs on one row per tested column."""
     return pd.Series([_chi2_tail(float(a), int(b)) for a, b in zip(x, dof)])

@@ -113,7 +113,7 @@ def resolve_groups(
     """One business group per enterprise.
 
     A single group stays. Of several, capital links come first, then the newest start, then
-    the newest update, then the smallest group id. With ``drop_if_no_capital`` an enterprise
+    the newest update, then the largest group id. With ``drop_if_no_capital`` an enterprise
     in several groups without any capital link is left out.
     """
     capital = F.col("link_type") == "CAPIT"
@@ -122,7 +122,6 @@ def resolve_groups(
             capital.cast("int").alias("is_capital"),
             "start_date",
             "update_date",
-            (-F.col(group)).alias("_tie"),
             F.col(group).alias(group),
             "link_type",
         )
@@ -151,7 +150,7 @@ def group_branches(links: DataFrame, enterprise: str, group: str) -> list[DataFr
     )
     counted = links.join(n_groups, enterprise)
     newest = Window.partitionBy(enterprise).orderBy(
-        F.desc("start_date"), F.desc("update_date"), F.asc(group)
+        F.desc("start_date"), F.desc("update_date"), F.desc(group)
     )
     columns = [enterprise, group, "link_type", "start_date", "update_date"]
 
@@ -160,10 +159,7 @@ def group_branches(links: DataFrame, enterprise: str, group: str) -> list[DataFr
 
     several = counted.where((F.col("n_groups") > 1) & (F.col("link_type") == "CAPIT"))
     return [
-        newest_row(
-            counted.where(F.col("n_groups") == 1)
-            .withColumn("start_date", F.col("start_date"))
-        ),
+        newest_row(counted.where(F.col("n_groups") == 1)),
         newest_row(several.where(F.col("n_capital") == 1)),
         newest_row(several.where(F.col("n_capital") > 1)),
     ]

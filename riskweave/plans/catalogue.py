@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from riskweave.plans import movement_queries  # noqa: F401
+from riskweave.plans import (  # noqa: F401
+    filter_queries,
+    movement_queries,
+    scan_queries,
+)
 from riskweave.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
