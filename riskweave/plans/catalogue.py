@@ -5,6 +5,7 @@ from __future__ import annotations
 from riskweave.plans import (  # noqa: F401
     feature_queries,
     filter_queries,
+    monitoring_queries,
     movement_queries,
     scan_queries,
 )
