@@ -267,7 +267,8 @@ def evaluation_form(text: Column | str) -> Column:
 
 def last_message(text: Column | str) -> Column:
     """Remove mark-up, quoted history, signature and legal notice from a mail body."""
-    out = F.regexp_replace(as_col(text), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    out = F.regexp_replace(as_col(text), r"(?is)<script\b.*?</script\s*>", " ")
+    out = F.regexp_replace(out, r"(?is)<style\b.*?</style\s*>", " ")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(?:p|div|tr|li|h[1-6])\s*>", "\n")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->|<[^>]+>", " ")
     for entity, character in (
@@ -314,6 +315,13 @@ def chunks(text: Column | str, size: int = rules.CHUNK_CHARACTERS) -> Column:
     return F.transform(starts, lambda s: F.substring(text, s, F.lit(size)))
 
 
+def sentence_case(text: Column | str) -> Column:
+    text = as_col(text)
+    return F.concat(
+        F.upper(F.left(text, F.lit(1))), F.substring(text, F.lit(2), F.length(text))
+    )
+
+
 def language_decision(text: Column | str, french: Column | str) -> dict[str, Column]:
     """Scores of the two classes and the decision on a given French score."""
     text, score = as_col(text), as_col(french)

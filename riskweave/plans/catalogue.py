@@ -8,6 +8,7 @@ from riskweave.plans import (  # noqa: F401
     monitoring_queries,
     movement_queries,
     scan_queries,
+    text_queries,
 )
 from riskweave.plans.registry import ORACLE, QUERIES
 
