@@ -211,16 +211,20 @@ def _digits_for(text: str) -> str:
 
 
 def _starts_new_number(parts: list[str], pieces: list[str]) -> bool:
+    """Whether a spelled-out token cannot continue the number read so far."""
     if pieces[0] in rules.NUMBER_MULTIPLIERS or parts[-1] in rules.NUMBER_MULTIPLIERS:
         return False
-    before, value = parts[-1], rules.NUMBER_WORDS[pieces[0]]
-    if before == "et":
-        return len(parts) > 1 and rules.NUMBER_WORDS.get(parts[-2], 0) < 20
-    last = rules.NUMBER_WORDS[before]
+    words = [p for p in parts if p != "et"]
+    if words[-1] == "vingts":
+        return True
+    last, value = rules.NUMBER_WORDS[words[-1]], _number_value(pieces)
     if last == 4 and value == 20:
         return False
-    ceiling = {60: 20, 20: 20}.get(last, 10) if last >= 20 else 10 if last == 10 else 0
-    return not 0 < value < ceiling
+    eighty = last == 20 and len(words) > 1 and rules.NUMBER_WORDS.get(words[-2]) == 4
+    if last == 10:
+        return not 7 <= value <= 9
+    most = 19 if last == 60 or eighty else 9 if last >= 20 else 0
+    return not 1 <= value <= most
 
 
 @F.pandas_udf(StringType())
@@ -231,7 +235,7 @@ def number_words_to_digits(text: pd.Series) -> pd.Series:
 
 def dictated_phone(digits_text: Column | str) -> Column:
     """Group a dictated ten-digit number in pairs; expects numbers already as digits."""
-    text = as_col(digits_text)
+    text = collapse_spaces(F.regexp_replace(as_col(digits_text), r"[,.]", " "))
     padded = F.regexp_replace(text, r"\b([1-9])\b", "0$1")
     padded = F.regexp_replace(padded, r"\b0\s+0([1-9])\b", "0$1")
     run = F.regexp_extract(padded, r"\b(0[1-9](?:\s+\d{2}){4})\b", 1)

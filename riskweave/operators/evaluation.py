@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -235,22 +235,34 @@ def word_distance(ref_words: Column | str, hyp_words: Column | str) -> Column:
     counts words.
     """
     ref, hyp = as_col(ref_words), as_col(hyp_words)
+
+    def symbols(vocabulary: Column) -> Column:
+        # 0x10000 upwards: no surrogates, room for a million distinct words.
+        points = F.transform(
+            F.sequence(F.lit(65536), F.size(vocabulary) + 65535),
+            lambda i: F.decode(F.unhex(F.lpad(F.hex(i.cast("long")), 8, "0")), "UTF-32"),
+        )
+        return F.when(F.size(vocabulary) > 0, F.map_from_arrays(vocabulary, points))
+
+    def coded(words: Column, table: Column) -> Column:
+        return F.array_join(F.transform(words, lambda w: F.element_at(table, w)), "")
+
     vocabulary = F.array_distinct(F.concat(ref, hyp))
-    symbols = F.map_from_arrays(
-        vocabulary,
-        F.transform(
-            vocabulary,
-            # 0x10000 upwards: no surrogates, room for a million distinct words.
-            lambda w, i: F.decode(
-                F.unhex(F.lpad(F.hex((i + 65536).cast("long")), 8, "0")), "UTF-32"
+    pair = F.struct(ref.alias("ref"), hyp.alias("hyp"), symbols(vocabulary).alias("symbols"))
+    return F.coalesce(
+        _once(
+            pair,
+            lambda p: F.levenshtein(
+                coded(p["ref"], p["symbols"]), coded(p["hyp"], p["symbols"])
             ),
         ),
+        F.greatest(F.size(ref), F.size(hyp)),
     )
 
-    def coded(words: Column) -> Column:
-        return F.array_join(F.transform(words, lambda w: F.element_at(symbols, w)), "")
 
-    return F.levenshtein(coded(ref), coded(hyp))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, not once per lambda call."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def error_rates(pairs: DataFrame, ref: str, hyp: str, form=evaluation_form) -> DataFrame:

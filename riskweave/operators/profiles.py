@@ -231,17 +231,18 @@ def outlier_forms(df: DataFrame, value: str) -> DataFrame:
 
 
 def out_of_fold_target(
-    df: DataFrame, category: str, target: str, key: str, folds: int = 5
+    df: DataFrame, category: str, target: str, fold: Column
 ) -> DataFrame:
-    """Mean target of the category over the other folds; folds by hash of the key.
+    """Mean target of the category over the other folds.
 
-    A category seen in one fold only takes the overall mean.
+    A category seen in one fold only takes the overall mean. The caller names the fold, such
+    as a hash of the key.
     """
-    folded = df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    folded = df.withColumn("fold", fold.cast("int"))
     per_fold = folded.groupBy(category, "fold").agg(
         F.sum(target).alias("_s"), F.count(target).alias("_n")
     )
-    # At most ``folds`` rows per category reach this window.
+    # One row per fold and category reach this window.
     every = Window.partitionBy(category)
     others = per_fold.select(
         category,

@@ -363,7 +363,7 @@ def protected_words(df: DataFrame, key: str, text: str) -> DataFrame:
     reason = (
         F.when(is_acronym(bare), "acronym")
         .when(follows_honorific(previous), "after_honorific")
-        .when(looks_like_name(bare, place), "capitalised")
+        .when(looks_like_name(word, place), "capitalised")
     )
     return (
         rows.select(key, F.inline(shifted))

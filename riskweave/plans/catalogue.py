@@ -7,8 +7,11 @@ from riskweave.plans import (  # noqa: F401
     filter_queries,
     monitoring_queries,
     movement_queries,
+    retrieval_queries,
     scan_queries,
+    stream_queries,
     text_queries,
+    training_queries,
 )
 from riskweave.plans.registry import ORACLE, QUERIES
 

@@ -1128,13 +1128,21 @@ def outlier_forms(spark, sf):
     )
 
 
-@query("m24_target_encoding")
+@query(
+    "m24_target_encoding",
+    """WITH d AS (SELECT doc_id, source, quality, doc_id % 5 AS fold FROM documents JOIN labels USING (doc_id)),
+f AS (SELECT source, fold, sum(quality) AS s, count(*) AS n FROM d GROUP BY ALL),
+o AS (SELECT source, fold, (sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0) AS e FROM f
+  WINDOW w AS (PARTITION BY source))
+SELECT doc_id, d.source, CAST(d.fold AS INT) AS fold,
+  round(coalesce(e, (SELECT avg(quality) FROM d)), 6) AS encoded
+FROM d JOIN o ON d.source = o.source AND d.fold = o.fold""",
+)
 def target_encoding(spark, sf):
-    """Out-of-fold means; the folds follow Spark's hash, so there is no SQL twin."""
     rows = src.table(spark, sf, "documents").select("doc_id", "source").join(
         src.table(spark, sf, "labels"), "doc_id"
     )
-    return pf.out_of_fold_target(rows, "source", "quality", "doc_id").select(
+    return pf.out_of_fold_target(rows, "source", "quality", F.col("doc_id") % 5).select(
         "doc_id", "source", "fold", F.round("encoded", 6).alias("encoded")
     )
 

@@ -175,9 +175,9 @@ def number_words(spark, sf):
         F.lit("je dois "), _named(F.col("n_chars") % 1000), F.lit(" euros et "),
         _named(F.col("doc_id") % 1000), F.lit(" mois"),
     )
-    return src.table(spark, sf, "documents").select("doc_id").join(
-        src.table(spark, sf, "documents").select("doc_id", said.alias("said")), "doc_id"
-    ).select("doc_id", tx.number_words_to_digits("said").alias("clean"))
+    return src.table(spark, sf, "documents").select(
+        "doc_id", tx.number_words_to_digits(said).alias("clean")
+    )
 
 
 @query(
@@ -188,7 +188,7 @@ def number_words(spark, sf):
 def dictated_phone(spark, sf):
     a, n = F.col("doc_id"), F.col("n_chars")
     said = F.concat_ws(
-        " ", F.lit("zéro six"), _named(10 + a % 90), _named(10 + n % 90), F.lit("douze"),
+        ", ", F.lit("zéro six"), _named(10 + a % 90), _named(10 + n % 90), F.lit("douze"),
         _named(10 + (a + n) % 90),
     )
     return src.table(spark, sf, "documents").select(
