@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -265,9 +265,19 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def error_rates(pairs: DataFrame, ref: str, hyp: str, form=evaluation_form) -> DataFrame:
-    """Word and character error rates of each pair after the same normalisation."""
-    prepared = pairs.withColumn("_ref", form(ref)).withColumn("_hyp", form(hyp))
+    """Word and character error rates of each pair after the same normalisation.
+
+    The distances cost the product of the two lengths, far more than moving the pair, so the
+    pairs are first dealt out evenly over the tasks.
+    """
+    tasks = pairs.sparkSession.sparkContext.defaultParallelism
+    prepared = pairs.repartition(max(tasks, _shuffle_partitions(pairs)))
+    prepared = prepared.withColumn("_ref", form(ref)).withColumn("_hyp", form(hyp))
     prepared = prepared.withColumn("_rw", blank_separated("_ref")).withColumn(
         "_hw", blank_separated("_hyp")
     )
@@ -402,25 +412,35 @@ def boundary_matches(
     )
     # A hair of slack keeps distances equal to the tolerance inside one piece.
     pieces = chains(both, [key], "t", tolerance + 1e-9, slot=max(60.0, 100 * tolerance))
-    types = dict(ref.dtypes)
-
-    def match(table: pd.DataFrame) -> pd.DataFrame:
-        refs = sorted(table.loc[table.is_ref == 1, "t"])
-        hyps = sorted(table.loc[table.is_ref == 0, "t"])
-        count = (
-            _most_matches(refs, hyps, tolerance)
-            if mode == "optimal"
-            else _nearest_matches(refs, hyps, tolerance)
-        )
-        return pd.DataFrame(
-            [(table[key].iloc[0], len(refs), len(hyps), count)],
-            columns=[key, "n_ref", "n_hyp", "matched"],
+    ordered = pieces.repartition(key, "chain").sortWithinPartitions(key, "chain", "t")
+    count = _most_matches if mode == "optimal" else _nearest_matches
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One pass over the sorted rows; only the current piece is held."""
+        piece, refs, hyps = None, [], []
+        for batch in batches:
+            done = []
+            rows = zip(batch[key], batch["chain"], batch["t"], batch["is_ref"])
+            for name, chain, t, is_ref in rows:
+                if piece != (name, chain):
+                    if piece is not None:
+                        done.append((piece[0], len(refs), len(hyps), count(refs, hyps, tolerance)))
+                    piece, refs, hyps = (name, chain), [], []
+                (refs if is_ref else hyps).append(t)
+            yield pd.DataFrame(done, columns=[key, "n_ref", "n_hyp", "matched"])
+        if piece is not None:
+            last = [(piece[0], len(refs), len(hyps), count(refs, hyps, tolerance))]
+            yield pd.DataFrame(last, columns=[key, "n_ref", "n_hyp", "matched"])
+
+    schema = f"{key} {dict(ref.dtypes)[key]}, n_ref long, n_hyp long, matched long"
+    return (
+        ordered.mapInPandas(match, schema)
+        .groupBy(key)
+        .agg(
+            F.sum("n_ref").alias("n_ref"),
+            F.sum("n_hyp").alias("n_hyp"),
+            F.sum("matched").alias("matched"),
         )
-
-    schema = f"{key} {types[key]}, n_ref long, n_hyp long, matched long"
-    per_piece = pieces.groupBy(key, "chain").applyInPandas(match, schema)
-    return per_piece.groupBy(key).agg(
-        F.sum("n_ref").alias("n_ref"), F.sum("n_hyp").alias("n_hyp"), F.sum("matched").alias("matched")
     )
 
 

@@ -32,7 +32,11 @@ def category(
     label: Column | str,
     table: Sequence[rules.CategoryRule] = rules.CATEGORY_RULES,
 ) -> Column:
-    """First matching rule of ``table``; NULL when none matches."""
+    """First matching rule of ``table``; NULL when none matches.
+
+    The code is best a bigint. For smaller integers Spark unrolls every code set into a
+    switch, and all rules together make a method too large to be compiled to machine code.
+    """
     code, side, label = as_col(code), as_col(side), as_col(label)
     chain: Column | None = None
     for rule in table:
@@ -95,19 +99,14 @@ def windowed_totals(
     """The same columns on every movement, for callers that keep the detail rows.
 
     The totals come from the pre-aggregated rows and are joined back, so a hot enterprise
-    never sits in one window task.
+    never sits in one window task. Movements without a category find no partner and drop out.
     """
-    per_category = movements.groupBy(enterprise, category_col).agg(
-        F.sum(amount).alias("netamount"),
-        F.count(amount).alias("nops_category"),
-        F.min(amount).alias("min_amount"),
-        F.max(amount).alias("max_amount"),
-    )
-    totals = per_category.withColumn(
-        "nops_total",
-        F.sum("nops_category").over(Window.partitionBy(enterprise)).cast("long"),
-    ).where(F.col(category_col).isNotNull())
-    return movements.join(totals, [enterprise, category_col], "inner")
+    totals = totals_by_category(movements, enterprise, category_col, amount)
+    # A key that is never NULL spares the scan a filter that would work out the category twice.
+    keyed = movements.withColumn("_key", F.coalesce(F.col(category_col), F.lit("")))
+    return keyed.join(
+        totals.withColumnRenamed(category_col, "_key"), [enterprise, "_key"], "inner"
+    ).drop("_key")
 
 
 def model_category(c: Column | str) -> Column:

@@ -12,6 +12,7 @@ from riskweave.functions.scalars import as_col
 from riskweave.functions.text import is_acronym, normalised_similarity
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
+EditBound = Callable[[Column, Column], Column]
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]|\s+"
 
 # ---------------------------------------------------------------------------- edit bounds
@@ -33,19 +34,20 @@ def adaptive_distance(length: Column) -> Column:
     )
 
 
-def adaptive_edits(length: Column) -> Column:
-    """Most edits both adaptive bounds can still allow for a word of this length."""
-    most = adaptive_distance(length)
-    allowed = F.floor((1 - adaptive_similarity(length)) * (length + most) + 1e-9)
-    return F.least(most, allowed.cast("int"))
+def adaptive_edits(word_length: Column, term_length: Column) -> Column:
+    """Most edits both adaptive bounds allow between words of these lengths."""
+    allowed = F.floor(
+        (1 - adaptive_similarity(word_length)) * F.greatest(word_length, term_length) + 1e-9
+    )
+    return F.least(adaptive_distance(word_length), allowed.cast("int"))
 
 
-def edits_for_similarity(threshold: float) -> Callable[[Column], Column]:
-    """Most edits with 1 - d / max(length) >= threshold, knowing one of the two lengths."""
-    factor = (1 - threshold) / threshold
+def edits_for_similarity(threshold: float) -> EditBound:
+    """Most edits with 1 - d / max(length) >= threshold."""
 
-    def edits(length: Column) -> Column:
-        return F.floor(length * factor + 1e-9).cast("int")
+    def edits(word_length: Column, term_length: Column) -> Column:
+        longest = F.greatest(word_length, term_length)
+        return F.floor((1 - threshold) * longest + 1e-9).cast("int")
 
     return edits
 
@@ -70,53 +72,50 @@ def _pieces(length: Column, edits: Column) -> Column:
 
 
 def similar_words(
-    words: DataFrame, terms: DataFrame, edits: Callable[[Column], Column], accept: Column
+    words: DataFrame, terms: DataFrame, edits: EditBound, accept: Column
 ) -> DataFrame:
-    """(word, term, distance) for every pair within ``edits`` of the word length.
+    """(word, term, distance) for every pair within the edits its two lengths allow.
 
     If a word is cut into k + 1 pieces and at most k edits lead to the term, one piece is
-    found unchanged in the term, shifted by at most k. Words and terms meet on (word length,
-    piece number, piece), so no pair that shares no piece is ever built, and none is missed.
+    found unchanged in the term. The edits left and right of that piece add up to at most k,
+    which bounds how far it can have moved. Words and terms meet on (both lengths, piece
+    number, piece): no pair without a common piece is built, and none is missed.
     ``accept`` filters on the columns ``word``, ``term`` and ``distance``.
     """
-    sized = words.select("word").distinct().withColumn("l", F.length("word"))
-    sized = sized.withColumn("k", edits(F.col("l"))).where("l > k")
-    left = sized.select("word", "l", F.inline(_pieces(F.col("l"), F.col("k")))).select(
-        "word", "l", "i", F.expr("substring(word, start + 1, size)").alias("piece")
+    l, m, k = F.col("l"), F.col("m"), F.col("k")
+    # Twice the length covers every bound down to a similarity of one half.
+    reach = F.greatest(F.lit(3), l)
+    left = (
+        words.select("word")
+        .distinct()
+        .withColumn("l", F.length("word"))
+        .withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), l - reach), l + reach)))
+        .withColumn("k", edits(l, m))
+        .where((F.abs(l - m) <= k) & (l > k))
+        .select("word", "l", "m", "k", F.inline(_pieces(l, k)))
+        .select("word", "l", "m", "k", "i", F.expr("substring(word, start + 1, size)").alias("piece"))
     )
 
-    m = F.length("term")
-    lengths = F.sequence(
-        F.greatest(F.lit(1), F.least(m - 3, F.floor(m * 0.8).cast("int"))),
-        F.greatest(m + 3, F.ceil(m * 4 / 3).cast("int")),
-    )
-    spread = (
+    wide = F.greatest(F.lit(3), m)
+    first = F.greatest(F.lit(0), F.col("start") - F.floor((k - (m - l)) / 2).cast("int"))
+    last = F.least(m - F.col("size"), F.col("start") + F.floor((k + (m - l)) / 2).cast("int"))
+    right = (
         terms.select("term")
         .distinct()
-        .select("term", m.alias("m"), F.explode(lengths).alias("l"))
-        .withColumn("k", edits(F.col("l")))
-        .where("abs(l - m) <= k AND l > k")
-    )
-    cut = spread.select("term", "m", "l", "k", F.inline(_pieces(F.col("l"), F.col("k"))))
-    first = F.greatest(F.lit(0), F.col("start") - F.col("k"))
-    last = F.least(F.col("m") - F.col("size"), F.col("start") + F.col("k"))
-    right = (
-        cut.where(first <= last)
-        .select("term", "l", "i", "size", F.explode(F.sequence(first, last)).alias("at"))
-        .select("term", "l", "i", F.expr("substring(term, at + 1, size)").alias("piece"))
+        .withColumn("m", F.length("term"))
+        .withColumn("l", F.explode(F.sequence(F.greatest(F.lit(1), m - wide), m + wide)))
+        .withColumn("k", edits(l, m))
+        .where((F.abs(l - m) <= k) & (l > k))
+        .select("term", "l", "m", "k", F.inline(_pieces(l, k)))
+        .where(first <= last)
+        .select("term", "l", "m", "i", "size", F.explode(F.sequence(first, last)).alias("at"))
+        .select("term", "l", "m", "i", F.expr("substring(term, at + 1, size)").alias("piece"))
         .distinct()
     )
     # The distance is checked inside the join, so only true pairs leave it.
-    close = F.levenshtein("word", "term") <= edits(F.length("word"))
-    pairs = left.alias("a").join(
-        right.alias("b"),
-        (F.col("a.l") == F.col("b.l"))
-        & (F.col("a.i") == F.col("b.i"))
-        & (F.col("a.piece") == F.col("b.piece"))
-        & close,
-    )
+    met = left.join(right, ["l", "m", "i", "piece"]).where(F.expr("levenshtein(word, term, k) >= 0"))
     return (
-        pairs.select("word", "term")
+        met.select("word", "term")
         .distinct()
         .withColumn("distance", F.levenshtein("word", "term"))
         .where(accept)
@@ -220,8 +219,18 @@ def _leftmost(hits: Column) -> Column:
     )
 
 
-def _positions(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.posexplode(blank_separated(F.lower(F.col(text)))).alias("start", "word"))
+def _word_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, start, word, following) for every two words in a row."""
+    split = df.select(key, blank_separated(F.lower(F.col(text))).alias("words"))
+    rest = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice("words", F.lit(1), rest),
+        F.slice("words", F.lit(2), rest),
+        lambda a, b: F.struct(a.alias("word"), b.alias("following")),
+    )
+    return split.select(key, F.posexplode(pairs).alias("start", "pair")).select(
+        key, "start", "pair.word", "pair.following"
+    )
 
 
 def find_phrases(
@@ -236,12 +245,9 @@ def find_phrases(
         "anchor", F.array_join(F.slice("phrase_words", 1, 2), " ")
     )
     words = blank_separated(F.lower(F.col(text)))
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
+    anchors = _word_pairs(df, key, text).select(
+        key, "start", F.concat_ws(" ", "word", "following").alias("anchor")
     )
-    anchors = df.select(key, F.posexplode(pairs).alias("start", "anchor"))
     candidates = (
         anchors.join(listed, "anchor")
         .groupBy(key)
@@ -282,8 +288,12 @@ def find_similar_phrases(
 
     At one start the best mean wins, then the longer phrase; the search goes on after it.
     """
-    listed = _phrase_table(phrases, phrase).withColumn("first", F.get("phrase_words", F.lit(0)))
-    spoken = _positions(df, key, text)
+    listed = (
+        _phrase_table(phrases, phrase)
+        .withColumn("first", F.get("phrase_words", F.lit(0)))
+        .withColumn("second", F.get("phrase_words", F.lit(1)))
+    )
+    spoken = _word_pairs(df, key, text)
     vocabulary = spoken.select("word").distinct()
     firsts = listed.select(F.col("first").alias("term")).distinct()
     exact = vocabulary.join(firsts, F.col("word") == F.col("term")).select("word", "term")
@@ -294,8 +304,10 @@ def find_similar_phrases(
         pair_similarity() >= first_threshold,
     ).select("word", "term")
     openings = exact.unionByName(near).distinct().join(listed, F.col("term") == F.col("first"))
+    # The second word is tested in the join, before a candidate is built.
     candidates = (
-        spoken.join(openings.select("word", "phrase", "phrase_words"), "word")
+        spoken.join(openings.select("word", "second", "phrase", "phrase_words"), "word")
+        .where(normalised_similarity("following", "second") >= word_threshold)
         .groupBy(key)
         .agg(F.collect_list(F.struct("start", "phrase", "phrase_words")).alias("candidates"))
     )
@@ -306,12 +318,13 @@ def find_similar_phrases(
         n = F.size(c["phrase_words"])
         spoken_words = F.slice("words", c["start"] + 1, n)
         each = F.zip_with(spoken_words, c["phrase_words"], normalised_similarity)
-        whole = F.size(spoken_words) == n
-        fits = F.forall(each, lambda s: s >= word_threshold)
-        mean = F.aggregate(each, F.lit(0.0), lambda a, s: a + s) / n
+        # A word below its threshold, or a text that ends too early, spoils the whole sum.
+        total = F.aggregate(
+            each, F.lit(0.0), lambda a, s: F.when(s >= word_threshold, a + s)
+        )
         return F.struct(
             c["start"].alias("start"),
-            (-F.when(whole & fits, mean).otherwise(0.0)).alias("badness"),
+            (-F.coalesce(total / n, F.lit(0.0))).alias("badness"),
             (-n).alias("shortness"),
             c["phrase"].alias("phrase"),
             (c["start"] + n).alias("stop"),

@@ -46,7 +46,7 @@ def movements(spark: SparkSession, sf: str) -> DataFrame:
     for residue, text in LABELS.items():
         label = F.when(F.col("l_partkey") % 40 == residue, text).otherwise(label)
     amount = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
-    codes = F.array(*[F.lit(c) for c in CODES])
+    codes = F.array(*[F.lit(c).cast("long") for c in CODES])
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("account_id"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("movement_id"),

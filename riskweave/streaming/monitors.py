@@ -105,7 +105,7 @@ def windowed_kpis(
             F.count("*").alias("n"),
             F.sum((F.col("event_type") == "error").cast("int")).alias("n_errors"),
             F.sum(F.col("value").cast("decimal(18,2)")).alias("value"),
-            F.percentile_approx("value", 0.95, 1000).alias("p95"),
+            F.percentile_approx("value", 0.95, 10000).alias("p95"),
         )
         .select(
             F.col("w.start").alias("window_start"),
