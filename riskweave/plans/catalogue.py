@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskweave.plans import (  # noqa: F401
+    batch_queries,
     feature_queries,
     filter_queries,
     monitoring_queries,
