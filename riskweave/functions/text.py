@@ -291,7 +291,7 @@ def last_message(text: Column | str) -> Column:
         out, r"(?is)\n[ ]*(?:ce message est confidentiel|this message is confidential).*$", ""
     )
     out = F.regexp_replace(out, r"[ ]+", " ")
-    return F.trim(F.regexp_replace(out, r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(out, r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def guarded_response(

@@ -14,6 +14,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.scalars import sigmoid
+
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Weight n / (2 * n of the class), so both classes weigh the same."""
@@ -98,15 +100,12 @@ def calibrated(
     if method == "sigmoid":
         stages = [
             VectorAssembler(inputCols=[score], outputCol="_score"),
-            LogisticRegression(
-                labelCol=label, featuresCol="_score", probabilityCol="_p",
-                rawPredictionCol="_raw", predictionCol="_class",
-            ),
+            LogisticRegression(labelCol=label, featuresCol="_score"),
         ]
-        out = Pipeline(stages=stages).fit(train).transform(apply)
-        return out.withColumn("calibrated", vector_to_array("_p")[1]).drop(
-            "_score", "_p", "_raw", "_class"
-        )
+        fitted = Pipeline(stages=stages).fit(train).stages[-1]
+        # Two numbers describe the map, so it is applied as a plain column.
+        z = F.col(score) * float(fitted.coefficients[0]) + float(fitted.intercept)
+        return apply.withColumn("calibrated", sigmoid(z))
     raise ValueError(f"method must be 'isotonic' or 'sigmoid', not {method!r}")
 
 

@@ -518,6 +518,7 @@ def _mail_sql(table: str, key: str, body: str) -> str:
         (r"(?is)\n[ ]*(?:ce message est confidentiel|this message is confidential).*$", ""),
         (r"[ ]+", " "),
         (r"\s*\n\s*", "\n"),
+        (r"^\s+|\s+$", ""),
     ]
     out = body
     for pattern, new in steps:
@@ -528,7 +529,7 @@ def _mail_sql(table: str, key: str, body: str) -> str:
         out = f"replace({out}, '{entity}', '{character}')"
     for pattern, new in late:
         out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
-    return f"SELECT {key}, md5(trim({out}, ' ')) AS message FROM {table}"
+    return f"SELECT {key}, md5({out}) AS message FROM {table}"
 
 
 @query("x19_mail_from_pages", _mail_sql("pages", "page_id", "html"))
