@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 256
+MAX_RANGES = 4096
 
 
 def running_totals(
@@ -33,15 +33,13 @@ def running_totals(
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = max(2, min(MAX_RANGES, tasks))
     cuts = df.groupBy(*by).agg(
-        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts")
+        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts")
     )
     if by:
         placed = _null_safe_join(df, cuts, by)
     else:
         placed = df.withColumn("_cuts", cuts.scalar())
-    placed = placed.withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+    placed = placed.withColumn("_range", _cuts_below("_cuts", value, ranges)).drop("_cuts")
 
     sums = placed.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_s_{t}") for t in totals])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,6 +59,17 @@ def running_totals(
     )
 
 
+def _cuts_below(cuts: str, value: str, most: int) -> Column:
+    """How many of the ascending ``cuts`` lie below ``value``, found by halving."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(most.bit_length()))])
+
+    def halve(place: Column, step: Column) -> Column:
+        further = place + step
+        return F.when(F.get(cuts, further - 1) < F.col(value), further).otherwise(place)
+
+    return F.aggregate(steps, F.lit(0), halve)
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` where NULL matches NULL, keeping one copy of each key."""
     renamed = right.select(

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from riskweave.functions.scalars import as_col, clip
 from riskweave.operators.ordered import exact_quantiles
+from riskweave.session import written
 
 # ------------------------------------------------------------------------ distributions
 
@@ -88,21 +89,32 @@ def normalised_question(text: Column | str) -> Column:
 def contradictions(df: DataFrame, text: str, target: str) -> DataFrame:
     """(question, target) pairs of questions that lead to more than one target.
 
-    The pairs are made distinct first and the distinct targets are counted from them, so a
-    question with many copies is one row per target.
+    Questions are compared by their hash, so whole texts do not travel; a question with many
+    copies is one row per target. Only the texts of the questions found are fetched.
     """
-    pairs = df.select(normalised_question(text).alias("question"), target).distinct()
-    wrong = pairs.groupBy("question").agg(F.count("*").alias("n_targets")).where("n_targets > 1")
-    return pairs.join(wrong, "question")
+    question = normalised_question(text)
+    hashed = df.select(F.sha2(question, 256).alias("hash"), target, question.alias("question"))
+    pairs = hashed.select("hash", target).distinct()
+    wrong = pairs.groupBy("hash").agg(F.count("*").alias("n_targets")).where("n_targets > 1")
+    texts = (
+        hashed.select("hash", "question")
+        .join(wrong, "hash", "left_semi")
+        .groupBy("hash")
+        .agg(F.any_value("question").alias("question"))
+    )
+    return pairs.join(wrong, "hash").join(texts, "hash").select("question", target, "n_targets")
 
 
 def duplicate_or_blank(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Questions that are blank or occur more than once, with their number of rows."""
+    """Questions that are blank or occur more than once: hash, rows and first id."""
     question = normalised_question(text)
     return (
-        df.groupBy(question.alias("question"))
-        .agg(F.count("*").alias("n"), F.min(key).alias("first_id"))
-        .withColumn("is_blank", (F.col("question") == "").cast("int"))
+        df.groupBy(F.sha2(question, 256).alias("hash"))
+        .agg(
+            F.count("*").alias("n"),
+            F.min(key).alias("first_id"),
+            F.max((question == "").cast("int")).alias("is_blank"),
+        )
         .where((F.col("n") > 1) | (F.col("is_blank") == 1))
     )
 
@@ -172,8 +184,14 @@ def quality_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_by_segment(df: DataFrame, value: str, segment: str) -> DataFrame:
-    """Missing values take the exact median of their segment."""
-    medians = exact_quantiles(df, value, {"_median": 0.5}, [segment]).drop("n_values")
+    """Missing values take the exact median of their segment.
+
+    The medians are written first: Spark then knows how small they are and need not shuffle
+    the rows by segment.
+    """
+    medians = written(
+        exact_quantiles(df, value, {"_median": 0.5}, [segment]).drop("n_values"), "medians"
+    )
     return (
         df.join(medians, segment, "left")
         .withColumn(value, F.coalesce(F.col(value), F.col("_median")))

@@ -193,10 +193,11 @@ def blank_separated(text: Column | str) -> Column:
 
 
 def _phrase_table(phrases: DataFrame, phrase: str) -> DataFrame:
-    listed = phrases.select(F.col(phrase).alias("phrase")).distinct()
-    return listed.withColumn("phrase_words", blank_separated(F.lower("phrase"))).where(
-        F.size("phrase_words") >= 2
-    )
+    """Multi-word phrases by their lower-case words; of equal ones the first spelling."""
+    split = phrases.select(
+        F.col(phrase).alias("phrase"), blank_separated(F.lower(phrase)).alias("phrase_words")
+    ).where(F.size("phrase_words") >= 2)
+    return split.groupBy("phrase_words").agg(F.min("phrase").alias("phrase"))
 
 
 def _leftmost(hits: Column) -> Column:
@@ -238,38 +239,56 @@ def find_phrases(
 ) -> DataFrame:
     """(key, start, stop, phrase) of multi-word phrases, leftmost and longest, no overlap.
 
-    Positions count words. Texts and phrases meet on their first two words; the rest of the
-    phrase is then compared inside the text it may occur in.
+    Positions count words. A place whose two words open some phrase gives one window per
+    phrase length seen with that opening, and the windows meet the phrases on their whole
+    text. Many phrases with one opening therefore never multiply the rows.
     """
-    listed = _phrase_table(phrases, phrase).withColumn(
-        "anchor", F.array_join(F.slice("phrase_words", 1, 2), " ")
-    )
-    words = blank_separated(F.lower(F.col(text)))
-    anchors = _word_pairs(df, key, text).select(
-        key, "start", F.concat_ws(" ", "word", "following").alias("anchor")
+    listed = _phrase_table(phrases, phrase).select(
+        "phrase",
+        F.size("phrase_words").alias("n"),
+        F.array_join(F.slice("phrase_words", 1, 2), " ").alias("anchor"),
+        F.array_join("phrase_words", " ").alias("window"),
     )
-    candidates = (
-        anchors.join(listed, "anchor")
+    openings = listed.groupBy("anchor").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    places = (
+        _word_pairs(df, key, text)
+        .select(key, "start", F.concat_ws(" ", "word", "following").alias("anchor"))
+        .join(openings, "anchor")
         .groupBy(key)
-        .agg(F.collect_list(F.struct("start", "phrase", "phrase_words")).alias("candidates"))
-    )
-    in_text = df.select(key, words.alias("words")).join(candidates, key)
-    true_hits = F.filter(
-        "candidates",
-        lambda c: F.slice("words", c["start"] + 1, F.size(c["phrase_words"])) == c["phrase_words"],
+        .agg(F.collect_list(F.struct("start", "lengths")).alias("places"))
     )
-    ordered = F.array_sort(
+    in_text = df.select(key, blank_separated(F.lower(F.col(text))).alias("words")).join(places, key)
+    windows = F.flatten(
         F.transform(
-            true_hits,
-            lambda c: F.struct(
-                c["start"].alias("start"),
-                (-F.size(c["phrase_words"])).alias("shortness"),
-                c["phrase"].alias("phrase"),
-                (c["start"] + F.size(c["phrase_words"])).alias("stop"),
+            "places",
+            lambda p: F.transform(
+                F.filter(p["lengths"], lambda n: p["start"] + n <= F.size("words")),
+                lambda n: F.struct(
+                    p["start"].alias("start"),
+                    n.alias("n"),
+                    F.array_join(F.slice("words", p["start"] + 1, n), " ").alias("window"),
+                ),
             ),
         )
     )
-    return in_text.select(key, F.inline(_leftmost(ordered))).select(
+    hits = (
+        in_text.select(key, F.inline(windows))
+        .join(listed.select("window", "phrase"), "window")
+        .groupBy(key)
+        .agg(
+            F.array_sort(
+                F.collect_list(
+                    F.struct(
+                        "start",
+                        (-F.col("n")).alias("shortness"),
+                        "phrase",
+                        (F.col("start") + F.col("n")).alias("stop"),
+                    )
+                )
+            ).alias("hits")
+        )
+    )
+    return hits.select(key, F.inline(_leftmost(F.col("hits")))).select(
         key, "start", "stop", "phrase"
     )
 

@@ -18,13 +18,19 @@ from riskweave.functions.scalars import sigmoid
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Weight n / (2 * n of the class), so both classes weigh the same."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    totals = counts.agg(F.struct(F.sum("n").alias("n"), F.count("*").alias("k")).alias("t"))
-    weights = counts.withColumn("t", totals.scalar()).select(
-        label, (F.col("t.n") / (F.col("t.k") * F.col("n"))).alias(name)
+    """Weight n / (2 * n of the class) for a 0/1 label, so both classes weigh the same.
+
+    The counts are one row, so the rows themselves are not shuffled.
+    """
+    yes = F.count_if(F.col(label) == 1)
+    counts = df.agg(F.struct(F.count(label).alias("n"), yes.alias("pos")).alias("c"))
+    n, pos = F.col("_c.n"), F.col("_c.pos")
+    size = F.when(F.col(label) == 1, pos).otherwise(n - pos)
+    return (
+        df.withColumn("_c", counts.scalar())
+        .withColumn(name, F.try_divide(n, 2.0 * size))
+        .drop("_c")
     )
-    return df.join(weights, label)
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int) -> DataFrame:

@@ -309,14 +309,12 @@ def contradictions(spark, sf):
 
 @query(
     "a16_duplicates_and_blanks",
-    """SELECT md5(lower(trim(text, ' '))) AS question, count(*) AS n, min(doc_id) AS first_id,
+    """SELECT sha256(lower(trim(text, ' '))) AS hash, count(*) AS n, min(doc_id) AS first_id,
   max(CASE WHEN trim(text, ' ') = '' THEN 1 ELSE 0 END) AS is_blank
 FROM documents GROUP BY lower(trim(text, ' ')) HAVING count(*) > 1 OR lower(trim(text, ' ')) = ''""",
 )
 def duplicates_and_blanks(spark, sf):
-    return pf.duplicate_or_blank(
-        src.table(spark, sf, "documents"), "doc_id", "text"
-    ).withColumn("question", F.md5("question"))
+    return pf.duplicate_or_blank(src.table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(
