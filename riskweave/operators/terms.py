@@ -80,11 +80,12 @@ def similar_words(
     found unchanged in the term. The edits left and right of that piece add up to at most k,
     which bounds how far it can have moved. Words and terms meet on (both lengths, piece
     number, piece): no pair without a common piece is built, and none is missed.
+    ``edits`` must not fall when a length grows and must stay within a similarity of one half.
     ``accept`` filters on the columns ``word``, ``term`` and ``distance``.
     """
     l, m, k = F.col("l"), F.col("m"), F.col("k")
-    # Twice the length covers every bound down to a similarity of one half.
-    reach = F.greatest(F.lit(3), l)
+    # Bounds grow with both lengths, and no pair in use differs by more than a factor of two.
+    reach = edits(l, 2 * l)
     left = (
         words.select("word")
         .distinct()
@@ -96,7 +97,7 @@ def similar_words(
         .select("word", "l", "m", "k", "i", F.expr("substring(word, start + 1, size)").alias("piece"))
     )
 
-    wide = F.greatest(F.lit(3), m)
+    wide = edits(2 * m, 2 * m)
     first = F.greatest(F.lit(0), F.col("start") - F.floor((k - (m - l)) / 2).cast("int"))
     last = F.least(m - F.col("size"), F.col("start") + F.floor((k + (m - l)) / 2).cast("int"))
     right = (

@@ -290,12 +290,47 @@ def phrases(spark, sf):
     )
 
 
-@query("x11_similar_phrases")
+def _like(a: str, b: str) -> str:
+    return (
+        f"(1 - levenshtein({_FOLD.format(a)}, {_FOLD.format(b)})"
+        f" / CAST(greatest(length({a}), length({b})) AS DOUBLE))"
+    )
+
+
+@query(
+    "x11_similar_phrases",
+    rf"""WITH RECURSIVE sentence AS (SELECT DISTINCT trim(unnest(regexp_split_to_array(
+    regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) AS phrase FROM benchmark),
+p AS (SELECT phrase, list_filter(regexp_split_to_array(lower(phrase), '\s+'), lambda w: w <> '') AS pw
+  FROM sentence),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS w
+  FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS s FROM d),
+opening AS (SELECT word, term FROM (SELECT DISTINCT word FROM t), (SELECT DISTINCT pw[1] AS term FROM p
+    WHERE len(pw) >= 2) WHERE abs(length(word) - length(term)) <= 4 AND {_like('word', 'term')} >= 0.85),
+cand AS (SELECT t.doc_id, s, phrase, pw, w[s + 1 : s + len(pw)] AS said FROM t JOIN opening USING (word)
+  JOIN p ON pw[1] = term AND len(pw) >= 2 JOIN d ON d.doc_id = t.doc_id WHERE s + len(pw) <= len(w)),
+each AS (SELECT *, list_transform(range(1, len(pw) + 1), lambda i: {_like('said[i]', 'pw[i]')}) AS sims FROM cand),
+hit AS (SELECT doc_id, s, s + len(pw) AS e, phrase, list_sum(sims) / len(pw) AS score FROM each
+  WHERE list_min(sims) >= 0.8 AND list_sum(sims) / len(pw) >= 0.85),
+longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s
+  ORDER BY score DESC, e DESC, phrase) AS rn FROM hit) WHERE rn = 1),
+walk AS (
+  SELECT doc_id, s, e, phrase, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k
+    FROM longest) WHERE k = 1
+  UNION ALL
+  SELECT doc_id, s, e, phrase, score FROM (
+    SELECT l.*, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.s) AS k
+    FROM walk JOIN longest l ON l.doc_id = walk.doc_id AND l.s >= walk.e) WHERE k = 1
+)
+SELECT doc_id, CAST(s AS INT) AS start, CAST(e AS INT) AS stop, phrase, round(score, 6) AS score FROM walk""",
+)
 def similar_phrases(spark, sf):
-    """Phrases with spelling errors; checked against brute force on a small fixture."""
-    return terms.find_similar_phrases(
+    """Phrases with spelling errors."""
+    found = terms.find_similar_phrases(
         src.table(spark, sf, "documents"), "doc_id", "text", benchmark_sentences(spark, sf), "phrase"
     )
+    return rounded(found)
 
 
 _HONORIFIC_SQL = ", ".join(f"'{h}'" for h in rules.HONORIFICS)
