@@ -32,23 +32,37 @@ def running_totals(
     if ranges is None:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = max(2, min(MAX_RANGES, tasks))
-    cuts = df.groupBy(*by).agg(
-        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts")
+    # One small row per group: cut points and totals. It reads the same columns as the branch
+    # below, so Spark shuffles the input once for both.
+    group = df.groupBy(*by).agg(
+        F.struct(
+            F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias(
+                "cuts"
+            ),
+            *[F.sum(t).alias(f"all_{t}") for t in totals],
+        ).alias("_group")
     )
     if by:
-        placed = _null_safe_join(df, cuts, by)
+        placed = _null_safe_join(df, group, by)
     else:
-        placed = df.withColumn("_cuts", cuts.scalar())
-    placed = placed.withColumn("_range", _cuts_below("_cuts", value, ranges)).drop("_cuts")
+        placed = df.withColumn("_group", group.scalar())
+    placed = placed.select(
+        *df.columns,
+        *[F.col(f"_group.all_{t}").alias(f"all_{t}") for t in totals],
+        _cuts_below(F.col("_group.cuts"), value, ranges).alias("_range"),
+    )
 
-    sums = placed.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_s_{t}") for t in totals])
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
+    sums = placed.groupBy(*by, "_range").agg(
+        *[F.sum(t).alias(f"_s_{t}") for t in totals],
+        *[F.max(f"all_{t}").alias(f"_a_{t}") for t in totals],
+    )
+    from_here = Window.partitionBy(*by).orderBy("_range").rowsBetween(
+        Window.currentRow, Window.unboundedFollowing
+    )
     offsets = sums.select(
         *by,
         "_range",
-        *[F.coalesce(F.sum(f"_s_{t}").over(before), F.lit(0)).alias(f"_b_{t}") for t in totals],
-        *[F.sum(f"_s_{t}").over(whole).alias(f"all_{t}") for t in totals],
+        *[(F.col(f"_a_{t}") - F.sum(f"_s_{t}").over(from_here)).alias(f"_b_{t}") for t in totals],
     )
     inside = Window.partitionBy(*by, "_range").orderBy(value)
     joined = _null_safe_join(placed, offsets, [*by, "_range"])
@@ -59,7 +73,7 @@ def running_totals(
     )
 
 
-def _cuts_below(cuts: str, value: str, most: int) -> Column:
+def _cuts_below(cuts: Column, value: str, most: int) -> Column:
     """How many of the ascending ``cuts`` lie below ``value``, found by halving."""
     steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(most.bit_length()))])
 

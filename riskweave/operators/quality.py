@@ -166,5 +166,6 @@ def labelled_scores(values: Column | str, labels: list[str]) -> Column:
 
 
 def sampled(df: DataFrame, key: str, percent: int) -> DataFrame:
-    """The same ``percent`` of keys on every run, by hash."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(100)) < percent)
+    """The same ``percent`` of keys on every run and in every engine, by the key's MD5."""
+    head = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return df.where(head % 100 < percent)

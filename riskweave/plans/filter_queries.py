@@ -232,7 +232,7 @@ _CONTROL_SQL = r"regexp_replace(text, '[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]', '', '
 
 
 @query(
-    "p20_text_guard",
+    "p20_f15_text_guard",
     f"""WITH c AS (SELECT doc_id, text, trim({_CONTROL_SQL}, ' ') AS clean FROM documents)
 SELECT doc_id, md5(clean) AS clean_hash, length(clean) AS clean_length,
   CASE WHEN text IS NULL OR clean = '' THEN 'empty'
@@ -281,7 +281,7 @@ def _injection(spark, sf, name, key, text):
     )
 
 
-@query("p21_injection_documents", _injection_sql("doc_id", "text", "documents"))
+@query("p21_f21_injection_documents", _injection_sql("doc_id", "text", "documents"))
 def injection_documents(spark, sf):
     return _injection(spark, sf, "documents", "doc_id", "text")
 
@@ -381,7 +381,7 @@ def safe_casts(spark, sf):
 
 
 @query(
-    "f07_f12_numbers",
+    "f07_f08_f09_f10_f11_f12_numbers",
     """SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) / 100.0 AS units,
   round(1 / (1 + exp(-c_acctbal / 1000)), 9) AS probability,
   CASE WHEN 1 / (1 + exp(c_acctbal / 1000)) < 0.0001 THEN 0.0001

@@ -23,7 +23,17 @@ def rounded(df, digits=6, *skip):
 # ------------------------------------------------------------------------- data quality
 
 
-@query("q01_schema_check")
+@query(
+    "q01_schema_check",
+    """WITH f AS (SELECT column_name AS c, CASE column_type WHEN 'VARCHAR' THEN 'string'
+  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp'
+  ELSE lower(column_type) END AS a FROM (DESCRIBE events)),
+e(c, x) AS (VALUES ('event_id', 'bigint'), ('ts', 'timestamp'), ('user_id', 'bigint'),
+  ('event_type', 'string'), ('value', 'double'), ('props', 'string'))
+SELECT coalesce(e.c, f.c) AS "column", x AS expected, a AS actual, CASE WHEN a IS NULL THEN 'missing'
+  WHEN x IS NULL THEN 'unexpected' WHEN a = x THEN 'ok' ELSE 'wrong_type' END AS state
+FROM e FULL JOIN f ON e.c = f.c""",
+)
 def schema_check(spark, sf):
     return quality.schema_check(spark, EVENT_SCHEMA, src.table(spark, sf, "events").schema)
 
@@ -560,9 +570,13 @@ def severity(spark, sf):
     )
 
 
-@query("q23_sampled_conversations")
+@query(
+    "q23_sampled_conversations",
+    """SELECT conv_id, turn, role FROM conversations
+WHERE CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10""",
+)
 def sampled_conversations(spark, sf):
-    """A tenth of the conversations, the same ones on every run (Spark's hash, so no SQL twin)."""
+    """A tenth of the conversations, the same ones on every run."""
     return quality.sampled(src.table(spark, sf, "conversations"), "conv_id", 10).select(
         "conv_id", "turn", "role"
     )

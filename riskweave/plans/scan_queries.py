@@ -259,3 +259,15 @@ def embedding_store(spark, sf):
 )
 def retention(spark, sf):
     return _order_totals(src.retained(src.table(spark, sf, "orders"), "o_orderdate", b.AS_OF))
+
+
+@query(
+    "s14_masked_checkpoint",
+    "SELECT sha256(CAST(c_custkey AS VARCHAR)) AS c_custkey, c_mktsegment, c_acctbal FROM customer",
+)
+def masked_checkpoint(spark, sf):
+    """The opt-in dump of a step: its key column is hashed."""
+    path = _folder(spark, "masked")
+    rows = src.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    src.masked_checkpoint(rows, path, ["c_custkey"], enabled=True)
+    return spark.read.parquet(path)
