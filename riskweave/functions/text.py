@@ -280,7 +280,7 @@ def last_message(text: Column | str) -> Column:
         ("&amp;", "&"),
     ):
         out = F.replace(out, F.lit(entity), F.lit(character))
-    out = F.regexp_replace(out, "[﻿\r\t]", " ")
+    out = F.regexp_replace(out, "[\ufeff\r\t]", " ")
     out = F.regexp_replace(
         out, r"(?is)\n[ ]*-{2,}\s*(?:message d'origine|original message)\s*-{2,}.*$", ""
     )

@@ -64,10 +64,15 @@ def quality_profile(spark, sf):
 # ------------------------------------------------------------------------------- drift
 
 
-def _halves(spark, sf):
-    events = src.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    early = F.col("ts") < "2024-01-16"
-    return events.where(early), events.where(~early)
+def _sides(spark, sf):
+    """events with the first half of the month as reference; one scan serves both sides."""
+    return src.table(spark, sf, "events").select(
+        "event_type",
+        "user_id",
+        "value",
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        (F.col("ts") < "2024-01-16").cast("int").alias("is_ref"),
+    )
 
 
 _HALVES_SQL = """side AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k,
@@ -95,7 +100,7 @@ FROM p""",
 )
 def ks_drift(spark, sf):
     return rounded(
-        drift.ks_drift(drift.two_sides(*_halves(spark, sf)), ["value", "k", "user_id"]), 9
+        drift.ks_drift(_sides(spark, sf), ["value", "k", "user_id"]), 9
     )
 
 
@@ -110,7 +115,7 @@ SELECT 'event_type' AS feature, round(s, 9) AS statistic, CAST(4 AS BIGINT) AS d
   CASE WHEN exp(-s / 2) * (1 + s / 2) < 0.01 THEN 1 ELSE 0 END AS drift FROM s""",
 )
 def chi2_drift(spark, sf):
-    return rounded(drift.chi2_drift(drift.two_sides(*_halves(spark, sf)), ["event_type"]), 9)
+    return rounded(drift.chi2_drift(_sides(spark, sf), ["event_type"]), 9)
 
 
 @query(
@@ -145,7 +150,7 @@ SELECT round(d, 6) AS statistic, round(p, 6) AS p_value, CASE WHEN p < 0.01 THEN
 FROM p, m WHERE feature = 'value'""",
 )
 def prediction_drift(spark, sf):
-    return rounded(drift.prediction_drift(drift.two_sides(*_halves(spark, sf)), "value"))
+    return rounded(drift.prediction_drift(_sides(spark, sf), "value"))
 
 
 @query(
@@ -679,9 +684,10 @@ FROM side GROUP BY ALL""",
 )
 def aligned_populations(spark, sf):
     keys = ["event_type", "bin"]
+    binned = _sides(spark, sf).withColumn("bin", F.floor(F.col("value") / 50))
     ref, cur = (
-        side.withColumn("bin", F.floor(F.col("value") / 50)).groupBy(*keys).agg(F.count("*").alias(n))
-        for side, n in zip(_halves(spark, sf), ("n_ref", "n_cur"))
+        binned.where(F.col("is_ref") == flag).groupBy(*keys).agg(F.count("*").alias(n))
+        for flag, n in ((1, "n_ref"), (0, "n_cur"))
     )
     return ref.join(cur, keys, "full_outer").fillna(0, ["n_ref", "n_cur"])
 

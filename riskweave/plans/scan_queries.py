@@ -173,7 +173,7 @@ def semicolon_csv(spark, sf):
 def bom_csv(spark, sf):
     path = _folder(spark, "bom")
     src.table(spark, sf, "part").select(
-        F.col("p_partkey").alias("﻿question_id"),
+        F.col("p_partkey").alias("\ufeffquestion_id"),
         F.col("p_name").alias("question"),
         F.col("p_size").alias("response_model"),
     ).write.csv(path, header=True)

@@ -545,7 +545,7 @@ def _mail_sql(table: str, key: str, body: str) -> str:
         (r"(?s)<!--.*?-->|<[^>]+>", " "),
     ]
     late = [
-        ("[﻿\r\t]", " "),
+        ("[\ufeff\r\t]", " "),
         (r"(?is)\n[ ]*-{2,}\s*(?:message d''origine|original message)\s*-{2,}.*$", ""),
         (r"(?is)\n[ ]*(?:de|from)\s*:[^\n]*\n[ ]*(?:envoyé|sent)\s*:.*$", ""),
         (r"(?m)^[ ]*>.*$", ""),
