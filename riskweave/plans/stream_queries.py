@@ -130,7 +130,7 @@ def delayed_feedback(spark, sf):
         F.col("ts").alias("feedback_ts"),
     )
     joined = mon.with_feedback(
-        predictions, feedback, "user_id", "ts", "feedback_ts", bound="2 hours"
+        predictions, feedback, "user_id", "ts", "feedback_ts", bound_seconds=7200
     )
     return mon.run_to_table(joined.select("event_id", "feedback_id"), "feedback")
 

@@ -147,23 +147,36 @@ def with_feedback(
     prediction_time: str,
     feedback_time: str,
     delay: str = "1 hour",
-    bound: str = "2 days",
+    bound_seconds: int = 2 * 86400,
 ) -> DataFrame:
     """Each prediction with the feedback that came within the bound, or without.
 
     Feedback has the columns ``feedback_key`` and ``feedback_time``. An unmatched prediction
-    is emitted once the watermark says no feedback can come any more.
+    is emitted once the watermark says no feedback can come any more. Both sides also meet on
+    a time slot as long as the bound: a prediction lies in one slot, a feedback is sent to the
+    slots its prediction may lie in, so the rows of one busy key spread over many tasks.
     """
-    p = predictions.withWatermark(prediction_time, delay)
-    f = feedback.withWatermark(feedback_time, delay)
-    return p.join(
+
+    def slot(seconds: Column) -> Column:
+        return F.floor(seconds / bound_seconds).cast("long")
+
+    seen = F.unix_seconds(F.col(feedback_time))
+    p = predictions.withWatermark(prediction_time, delay).withColumn(
+        "_slot", slot(F.unix_seconds(F.col(prediction_time)))
+    )
+    f = feedback.withWatermark(feedback_time, delay).withColumn(
+        "_feedback_slot", F.explode(F.sequence(slot(seen - bound_seconds), slot(seen)))
+    )
+    joined = p.join(
         f,
         F.expr(
-            f"{key} = feedback_key AND {feedback_time} >= {prediction_time} "
-            f"AND {feedback_time} <= {prediction_time} + INTERVAL {bound}"
+            f"{key} = feedback_key AND _slot = _feedback_slot "
+            f"AND {feedback_time} >= {prediction_time} "
+            f"AND {feedback_time} <= {prediction_time} + INTERVAL {bound_seconds} SECONDS"
         ),
         "leftOuter",
     )
+    return joined.drop("_slot", "_feedback_slot")
 
 
 def without_duplicates(
@@ -187,17 +200,27 @@ _STATE_OUT = "user_id long, state string, last_seen timestamp, n long"
 _STATE_KEPT = "state string, last_seen timestamp, n long"
 
 
+def _newest_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Newest event and count per user of each batch, before anything is shuffled."""
+    for batch in batches:
+        ordered = batch.sort_values(["ts", "event_type"])
+        newest = ordered.groupby("user_id", sort=False).agg(
+            ts=("ts", "last"), event_type=("event_type", "last"), n=("ts", "size")
+        )
+        yield newest.reset_index()
+
+
 def last_state_stream(events: DataFrame) -> DataFrame:
     """Newest event type per user as state; one row per user and micro-batch that touched it.
 
-    The rows of a user arrive in pieces, so a busy user never has to fit into memory.
+    A task sends one row per user and batch on, so a busy user is a few rows for the state.
     """
 
     def update(key, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         kind, seen, n = state.get if state.exists else (None, None, 0)
         for piece in pieces:
             newest = piece.sort_values(["ts", "event_type"]).iloc[-1]
-            n += len(piece)
+            n += int(piece["n"].sum())
             if seen is None or (newest["ts"], newest["event_type"]) > (pd.Timestamp(seen), kind):
                 kind, seen = newest["event_type"], newest["ts"].to_pydatetime()
         state.update((kind, seen, n))
@@ -207,6 +230,7 @@ def last_state_stream(events: DataFrame) -> DataFrame:
 
     return (
         events.select("user_id", "ts", "event_type")
+        .mapInPandas(_newest_of, "user_id long, ts timestamp, event_type string, n long")
         .groupBy("user_id")
         .applyInPandasWithState(update, _STATE_OUT, _STATE_KEPT, "update", "NoTimeout")
     )

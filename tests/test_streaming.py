@@ -92,6 +92,6 @@ def test_feedback_within_the_bound(spark, tmp_path):
     predictions = stream(spark, folder).where("event_type = 'view'").select("event_id", "user_id", "ts")
     feedback = stream(spark, folder).where("event_type = 'error'").select(
         F.col("user_id").alias("feedback_key"), F.col("event_id").alias("f"), F.col("ts").alias("feedback_ts"))
-    joined = mon.with_feedback(predictions, feedback, "user_id", "ts", "feedback_ts", bound="2 hours")
+    joined = mon.with_feedback(predictions, feedback, "user_id", "ts", "feedback_ts", bound_seconds=7200)
     got = {r.event_id: r.f for r in mon.run_to_table(joined.select("event_id", "f"), "f").collect()}
     assert got == {1: 2, 3: None, 9: 10}
