@@ -94,11 +94,34 @@ def normalised_similarity(a: Column | str, b: Column | str) -> Column:
 # ------------------------------------------------------------------- transcript clean-up
 
 
-def without_fillers(text: Column | str, fillers: Sequence[str] = rules.FILLERS) -> Column:
-    """Drop blank-separated words that are fillers once punctuation is stripped."""
+def without_fillers(
+    text: Column | str, fillers: Sequence[str] = rules.FILLERS, protect: bool = False
+) -> Column:
+    """Drop blank-separated words that are fillers once punctuation is stripped.
+
+    With ``protect`` an ambiguous word stays when its context says it is none: the name written
+    with a capital, and a word after one of the set phrases' first words.
+    """
     words = F.filter(F.split(as_col(text), SPACES), lambda w: w != "")
-    bare = lambda w: F.regexp_replace(F.lower(w), r"^[.,!?;:]+|[.,!?;:]+$", "")
-    return F.array_join(F.filter(words, lambda w: ~bare(w).isin(*fillers)), " ")
+
+    def is_filler(w: Column) -> Column:
+        return F.regexp_replace(F.lower(w), r"^[.,!?;:]+|[.,!?;:]+$", "").isin(*fillers)
+
+    if not protect:
+        return F.array_join(F.filter(words, lambda w: ~is_filler(w)), " ")
+
+    # Each word is paired with the one before it.
+    previous = F.concat(
+        F.array(F.lit("")), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+    )
+    pairs = F.zip_with(words, previous, lambda w, p: F.struct(w.alias("w"), p.alias("p")))
+
+    def kept(pair: Column) -> Column:
+        bare = F.regexp_replace(pair["w"], r"^[.,!?;:]+|[.,!?;:]+$", "")
+        name = (F.lower(bare) == rules.FILLER_NAME) & bare.rlike(r"^\p{Lu}")
+        return ~is_filler(pair["w"]) | name | F.lower(pair["p"]).isin(*rules.FILLER_PROTECTORS)
+
+    return F.array_join(F.transform(F.filter(pairs, kept), lambda p: p["w"]), " ")
 
 
 def without_filler_variants(text: Column | str) -> Column:

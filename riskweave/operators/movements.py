@@ -126,7 +126,7 @@ MEASURES = {
 }
 
 
-def _kept(totals: DataFrame, category_col: str) -> DataFrame:
+def model_rows(totals: DataFrame, category_col: str) -> DataFrame:
     return totals.withColumn("model_category", model_category(category_col)).where(
         F.col("model_category").isin(*rules.MODEL_CATEGORIES)
     )
@@ -155,7 +155,7 @@ def wide_by_condition(
         for measure, source in MEASURES.items()
     ]
     return (
-        _kept(totals, category_col)
+        model_rows(totals, category_col)
         .groupBy(enterprise)
         .agg(*aggs, _operation_count(nops_mode))
     )
@@ -164,7 +164,7 @@ def wide_by_condition(
 def wide_by_pivot(totals: DataFrame, enterprise: str, category_col: str = "category") -> DataFrame:
     """The same columns through ``pivot`` with the listed values."""
     pivoted = (
-        _kept(totals, category_col)
+        model_rows(totals, category_col)
         .groupBy(enterprise)
         .pivot("model_category", list(rules.MODEL_CATEGORIES))
         .agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskweave import rules
 from riskweave.functions.scalars import as_col
 from riskweave.functions.text import is_acronym, normalised_similarity
+from riskweave.session import written
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 EditBound = Callable[[Column, Column], Column]
@@ -161,9 +162,12 @@ def corrected_texts(
 ) -> DataFrame:
     """Texts with each unknown word replaced by its correction, all else unchanged.
 
-    Only the corrections a text needs travel to it, as a small map.
+    Only the corrections a text needs travel to it, as a small map. The corrections are
+    written first, so Spark knows their size when it joins them to the words of all texts.
     """
-    found = corrections(distinct_words(df, text), glossary).select("word", "term")
+    found = written(
+        corrections(distinct_words(df, text), glossary).select("word", "term"), "corrections"
+    )
     held = df.select(
         key,
         F.explode(
@@ -314,20 +318,28 @@ def find_similar_phrases(
         .withColumn("second", F.get("phrase_words", F.lit(1)))
     )
     spoken = _word_pairs(df, key, text)
-    vocabulary = spoken.select("word").distinct()
-    firsts = listed.select(F.col("first").alias("term")).distinct()
-    exact = vocabulary.join(firsts, F.col("word") == F.col("term")).select("word", "term")
-    near = similar_words(
-        vocabulary,
-        firsts,
-        edits_for_similarity(first_threshold),
-        pair_similarity() >= first_threshold,
-    ).select("word", "term")
-    openings = exact.unionByName(near).distinct().join(listed, F.col("term") == F.col("first"))
-    # The second word is tested in the join, before a candidate is built.
+    openers = listed.select(F.explode(F.array("first", "second")).alias("term"))
+    vocabulary = spoken.select(F.explode(F.array("word", "following")).alias("word"))
+    least = min(first_threshold, word_threshold)
+    # Both roles below read these pairs; written, they are found once and their size is known.
+    near = written(
+        similar_words(
+            vocabulary, openers, edits_for_similarity(least), pair_similarity() >= least
+        ).withColumn("similarity", pair_similarity()),
+        "similar-words",
+    )
+    firsts = near.where(F.col("similarity") >= first_threshold).select(
+        "word", F.col("term").alias("first")
+    )
+    seconds = near.where(F.col("similarity") >= word_threshold).select(
+        F.col("word").alias("following"), F.col("term").alias("second")
+    )
+    # Texts meet phrases on two spoken words at once, so a frequent word builds no candidates.
+    openings = listed.join(firsts, "first").join(seconds, "second").select(
+        "word", "following", "phrase", "phrase_words"
+    )
     candidates = (
-        spoken.join(openings.select("word", "second", "phrase", "phrase_words"), "word")
-        .where(normalised_similarity("following", "second") >= word_threshold)
+        spoken.join(openings, ["word", "following"])
         .groupBy(key)
         .agg(F.collect_list(F.struct("start", "phrase", "phrase_words")).alias("candidates"))
     )

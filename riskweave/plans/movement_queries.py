@@ -276,7 +276,7 @@ FROM model_row WHERE model_category IN
 GROUP BY model_category""",
 )
 def model_categories(spark, sf):
-    kept = mv._kept(b.event_totals(spark, sf), "category")
+    kept = mv.model_rows(b.event_totals(spark, sf), "category")
     return kept.groupBy("model_category").agg(
         F.count("*").alias("n"), F.sum("netamount").cast("double").alias("netamount")
     )

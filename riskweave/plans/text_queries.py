@@ -40,6 +40,28 @@ def without_fillers(spark, sf):
     return spoken(spark, sf).select("conv_id", "turn", tx.without_fillers("text").alias("clean"))
 
 
+_PROTECTED_TEXT = "replace(replace(text, '. ', '. Ben, '), ', ', ', et ben euh ')"
+
+
+@query(
+    "x01_w13_protected_fillers",
+    rf"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array({_PROTECTED_TEXT}, '\s+'),
+    lambda w: w <> '') AS w FROM conversations),
+u AS (SELECT conv_id, turn, unnest(w) AS w, unnest(list_prepend('', w[1:len(w) - 1])) AS p,
+  unnest(range(1, len(w) + 1)) AS i FROM w),
+b AS (SELECT *, regexp_replace(regexp_replace(w, '^[.,!?;:]+', ''), '[.,!?;:]+$', '') AS bare FROM u)
+SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS clean FROM b
+WHERE lower(bare) NOT IN ('euh', 'bah', 'hum', 'hein', 'ben') OR bare = 'Ben'
+  OR lower(p) IN ('et', 'ben', 'bon') GROUP BY ALL""",
+)
+def protected_fillers(spark, sf):
+    text = F.replace(F.col("text"), F.lit(". "), F.lit(". Ben, "))
+    text = F.replace(text, F.lit(", "), F.lit(", et ben euh "))
+    return src.table(spark, sf, "conversations").select(
+        "conv_id", "turn", tx.without_fillers(text, protect=True).alias("clean")
+    )
+
+
 _EDGE = r"[^\p{L}\p{N}_]"
 _FILLER_SQL = rf"(?i)(^|{_EDGE})(?:e+u+h+|h+u+m+|b+a+h+|h+e+i+n+)($|{_EDGE})"
 

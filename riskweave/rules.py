@@ -258,6 +258,8 @@ GROUNDING_TARGET = 0.90
 
 # Filler words, emphasis and confirmation words, honorifics.
 FILLERS = ("euh", "bah", "hum", "hein", "ben")
+FILLER_NAME = "ben"
+FILLER_PROTECTORS = ("et", "ben", "bon")
 FILLER_PATTERN = r"\b(?:e+u+h+|h+u+m+|b+a+h+|h+e+i+n+)\b"
 EMPHASIS_WORDS = ("très", "trop", "vraiment", "absolument", "super", "hyper")
 CONFIRMATION_WORDS = ("oui", "non", "d'accord", "ok", "bien")

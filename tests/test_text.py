@@ -61,6 +61,13 @@ def test_clean_up(spark, build, before, after):
     assert one(spark, before, build) == after
 
 
+def test_protected_fillers(spark):
+    said = "Ben arrive, ben oui et ben bon euh merci"
+    assert one(spark, said, lambda c: tx.without_fillers(c)) == "arrive, oui et bon merci"
+    kept = one(spark, said, lambda c: tx.without_fillers(c, protect=True))
+    assert kept == "Ben arrive, oui et ben bon euh merci"
+
+
 def test_guards(spark):
     reasons = {
         "x' UNION all SELECT 1": "sql_1",
