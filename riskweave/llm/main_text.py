@@ -53,6 +53,7 @@ class _Lines(HTMLParser):
         self._tags = self._linked = self._skip = self._links = self._inside = 0
         self._region = -1
         self._regions = 0
+        self._closing = False
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self._text)).strip()
@@ -110,8 +111,12 @@ class _Lines(HTMLParser):
             if name == tag:
                 return
 
+    def close(self) -> None:
+        self._closing = True
+        super().close()
+
     def handle_data(self, data: str) -> None:
-        if self._skip:
+        if self._skip or (self._closing and data.startswith("<!--")):  # a comment left open
             return
         self._text.append(data)
         if self._links > 0:

@@ -66,7 +66,7 @@ def spans(sources: DataFrame) -> DataFrame:
     one = one.select("all", F.expr(
         "array_sort(array_distinct(flatten(transform(all, s -> array(0, s.blocks div s.weight, s.blocks div s.weight + 1)))))"
     ).alias("cuts"))
-    cut = one.select("all", F.expr(
+    cut = one.where("size(cuts) > 0").select("all", F.expr(
         "explode(transform(slice(cuts, 1, size(cuts) - 1), (c, i) -> struct(c as first, cuts[i + 1] as stop)))"
     ).alias("span"))
     counted = cut.select("span.first", "span.stop", "all", F.expr(
@@ -152,9 +152,9 @@ def in_mixed_order(
     row stand together.
     """
     order = mixed(df, key, source, weights, other, block_rows).select(
-        F.col(key).alias("_key"), F.col(source).alias("_source"), "slot", "place"
+        F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("slot").alias("_slot"), F.col("place").alias("_place")
     )
     same = df[key].eqNullSafe(order["_key"]) & df[source].cast("string").eqNullSafe(order["_source"])
     rows = df.join(order, same).withColumn("_row", F.monotonically_increasing_id())
-    sequence = ["slot", "place", "_row"]
+    sequence = ["_slot", "_place", "_row"]
     return rows.repartitionByRange(*sequence).sortWithinPartitions(*sequence).select(*[df[c] for c in df.columns])
