@@ -53,7 +53,6 @@ class _Lines(HTMLParser):
         self._tags = self._linked = self._skip = self._links = self._inside = 0
         self._region = -1
         self._regions = 0
-        self._closing = False
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self._text)).strip()
@@ -112,11 +111,12 @@ class _Lines(HTMLParser):
                 return
 
     def close(self) -> None:
-        self._closing = True
+        if self.rawdata.startswith("<!--"):  # a comment left open goes on to the end
+            self.rawdata = ""
         super().close()
 
     def handle_data(self, data: str) -> None:
-        if self._skip or (self._closing and data.startswith("<!--")):  # a comment left open
+        if self._skip:
             return
         self._text.append(data)
         if self._links > 0:
