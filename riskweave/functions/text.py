@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -69,14 +71,40 @@ def injection_reason(text: Column | str) -> Column:
     )
 
 
+def _redacted(value: object) -> object:
+    if isinstance(value, dict):
+        return {
+            k: "[REDACTED]" if any(s in k.lower() for s in _SENSITIVE) else _redacted(v)
+            for k, v in value.items()
+        }
+    if isinstance(value, list):
+        return [_redacted(v) for v in value]
+    return value
+
+
+_SENSITIVE = tuple(k.lower() for k in rules.SENSITIVE_KEYS)
+
+
+def _redacted_text(payload: str) -> str | None:
+    try:
+        value = json.loads(payload)
+        return json.dumps(_redacted(value), ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def _redacted_texts(payload: pd.Series) -> pd.Series:
+    return payload.map(_redacted_text, na_action="ignore")
+
+
 def redacted_json(payload: Column | str) -> Column:
-    """Mask the scalar values of sensitive keys at any depth of a JSON text."""
-    keys = "|".join(rules.SENSITIVE_KEYS)
-    return F.regexp_replace(
-        as_col(payload),
-        rf'(?i)("[^"]*(?:{keys})[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|[^\s,}}\]]+)',
-        '$1"[REDACTED]"',
-    )
+    """A JSON text with the whole value of every sensitive key masked, at any depth.
+
+    Objects and arrays under such a key are masked like scalars. A text that cannot be parsed is
+    refused (null): nothing of it is handed on.
+    """
+    return _redacted_texts(as_col(payload))
 
 
 def is_acronym(word: Column | str) -> Column:
@@ -159,7 +187,7 @@ def without_false_starts(text: Column | str) -> Column:
     )
 
 
-AMOUNT = r"(?iU)\b(\d{1,9})\s*(?:euros?\b|€)"
+AMOUNT = r"(?iU)\b(\d+)\s*(?:euros?\b|€)"
 
 
 def normalised_amounts(text: Column | str) -> Column:
@@ -171,6 +199,13 @@ def amounts(text: Column | str) -> Column:
     return F.transform(found, lambda v: F.concat(v, F.lit(" €")))
 
 
+# Words that make a number of an article before them.
+UNITS = frozenset(
+    "euro euros € centime centimes dollar dollars pourcent % mois an ans année années jour jours "
+    "semaine semaines heure heures minute minutes seconde secondes fois".split()
+)
+
+
 def _number_value(words: list[str]) -> int | None:
     """Value of French number words, or None when they do not form a number."""
     total = group = 0
@@ -198,39 +233,62 @@ def _number_value(words: list[str]) -> int | None:
 
 
 def _digits_for(text: str) -> str:
+    """Number words as digits; white space and all other words stay as they are.
+
+    "un" and "une" alone are articles unless a unit follows, a number stands beside them, or the
+    text is nothing else.
+    """
     out: list[str] = []
     run: list[str] = []
     parts: list[str] = []
-
-    def close() -> None:
-        if run:
-            while parts and parts[-1] == "et":
-                parts.pop()
-            ends_with_et = run[-1].lower() == "et"
-            out.append(str(_number_value(parts)))
-            if ends_with_et:
-                out.append(run[-1])
-            run.clear()
-            parts.clear()
-
-    for token in text.split():
+    gaps: list[str] = []
+    blank, *spaced = re.split(r"(\S+)", text)
+    tokens, between = spaced[::2], spaced[1::2]
+    after_number = False
+
+    def close(following: str | None = None) -> None:
+        nonlocal after_number
+        if not run:
+            return
+        while parts and parts[-1] == "et":
+            parts.pop()
+        ends_with_et = run[-1].lower() == "et"
+        gap = gaps[-2] if ends_with_et else gaps[-1]
+        article = parts in (["un"], ["une"]) and not after_number and len(tokens) > 1
+        if article and (following or "").lower().strip(".,!?;:") not in UNITS:
+            out.append(run[0].rstrip(".,!?;:") + gap)
+            after_number = False
+        else:
+            out.append(str(_number_value(parts)) + gap)
+            after_number = True
+        if ends_with_et:
+            out.append(run[-1] + gaps[-1])
+        run.clear()
+        parts.clear()
+        gaps.clear()
+
+    for token, gap in zip(tokens, between):
         lowered = token.lower().strip(".,!?;:")
         pieces = lowered.split("-")
         known = all(p in rules.NUMBER_WORDS or p in rules.NUMBER_MULTIPLIERS for p in pieces)
         if not known and not (lowered == "et" and run):
-            close()
-            out.append(token)
+            close(token)
+            out.append(token + gap)
+            after_number = False
             continue
         # "six douze trente" is three dictated numbers, "cent douze" is one.
         if known and parts and _starts_new_number(parts, pieces):
+            after_number = True
             close()
         run.append(token)
+        gaps.append(gap)
         parts.extend(pieces)
         if known and token[-1] in ".,!?;:":
             close()
-            out[-1] += token[-1]
+            kept = len(out[-1].rstrip())
+            out[-1] = out[-1][:kept] + token[-1] + out[-1][kept:]
     close()
-    return " ".join(out)
+    return blank + "".join(out)
 
 
 def _starts_new_number(parts: list[str], pieces: list[str]) -> bool:

@@ -95,7 +95,7 @@ def chi2_drift(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
 def psi(
     reference: DataFrame, current: DataFrame, value: str, n_bins: int = 10, epsilon: float = 1e-4
 ) -> DataFrame:
-    """Population stability index per bin of the reference quantiles, and in total."""
+    """Population stability index per bin of the reference quantiles (``psi_total`` sums them)."""
     inner = {f"q{i}": i / n_bins for i in range(1, n_bins)}
     edges = exact_quantiles(reference, value, inner).select(F.array(*inner).alias("edges"))
     bins = F.size(F.filter("edges", lambda e: e < F.col(value)))
@@ -122,6 +122,14 @@ def psi(
     )
 
 
+def psi_total(bins: DataFrame, moderate: float = 0.1, high: float = 0.25) -> DataFrame:
+    """The index over all bins, with its alert: none, moderate or high (thresholds included)."""
+    total = F.col("psi")
+    return bins.agg(F.sum("psi").alias("psi"), F.count("*").alias("n_bins")).withColumn(
+        "alert", F.when(total >= high, "high").when(total >= moderate, "moderate").otherwise("none")
+    )
+
+
 def moment_shift(sides: DataFrame, value: str) -> DataFrame:
     """Change of mean and of population deviation from reference to current."""
     ref = F.when(F.col("is_ref") == 1, F.col(value))

@@ -228,11 +228,16 @@ def prediction_stability(
 # --------------------------------------------------------------------------- transcripts
 
 
+# Code points from 0x10000 to 0x10FFFF.
+MOST_WORDS = 0x100000
+
+
 def word_distance(ref_words: Column | str, hyp_words: Column | str) -> Column:
     """Edit distance between two word arrays.
 
     Each distinct word of the pair becomes one character, so the built-in string distance
-    counts words.
+    counts words. A pair of more than ``MOST_WORDS`` distinct words, for which the characters do
+    not suffice, has no distance (null) and does not stop the others.
     """
     ref, hyp = as_col(ref_words), as_col(hyp_words)
 
@@ -242,22 +247,20 @@ def word_distance(ref_words: Column | str, hyp_words: Column | str) -> Column:
             F.sequence(F.lit(65536), F.size(vocabulary) + 65535),
             lambda i: F.decode(F.unhex(F.lpad(F.hex(i.cast("long")), 8, "0")), "UTF-32"),
         )
-        return F.when(F.size(vocabulary) > 0, F.map_from_arrays(vocabulary, points))
+        fits = (F.size(vocabulary) > 0) & (F.size(vocabulary) <= MOST_WORDS)
+        return F.when(fits, F.map_from_arrays(vocabulary, points))
 
     def coded(words: Column, table: Column) -> Column:
         return F.array_join(F.transform(words, lambda w: F.element_at(table, w)), "")
 
     vocabulary = F.array_distinct(F.concat(ref, hyp))
     pair = F.struct(ref.alias("ref"), hyp.alias("hyp"), symbols(vocabulary).alias("symbols"))
-    return F.coalesce(
-        _once(
-            pair,
-            lambda p: F.levenshtein(
-                coded(p["ref"], p["symbols"]), coded(p["hyp"], p["symbols"])
-            ),
-        ),
-        F.greatest(F.size(ref), F.size(hyp)),
+    distance = _once(
+        pair,
+        lambda p: F.levenshtein(coded(p["ref"], p["symbols"]), coded(p["hyp"], p["symbols"])),
     )
+    empty = (F.size(ref) == 0) | (F.size(hyp) == 0)
+    return F.when(empty, F.greatest(F.size(ref), F.size(hyp))).otherwise(distance)
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -478,36 +481,41 @@ def precision_recall_f1(matched: Column, n_hyp: Column, n_ref: Column) -> dict[s
 # ------------------------------------------------------------------------------- ranking
 
 
-def ranking_metrics(hits: DataFrame, query: str, rank: str, relevant: str) -> DataFrame:
-    """Recall at 1, 3 and 5, mean reciprocal rank and NDCG of ranked hits, over all queries.
+def ranking_metrics(
+    hits: DataFrame, query: str, rank: str, relevant: str, n_relevant: str, k: int
+) -> DataFrame:
+    """Hit rate and recall at 1, 3 and 5, mean reciprocal rank and NDCG of the best k hits.
 
-    Recall counts a query as found when one relevant hit is in the first k. The ideal order
-    of NDCG puts the relevant hits of the query first.
+    ``n_relevant`` is the number of relevant rows of the query's whole corpus, found or not. The
+    hit rate asks for one relevant hit among the first; recall is the share of the relevant rows
+    among the first; the ideal order of NDCG has all relevant rows first. Queries without relevant
+    rows have no recall and an NDCG of zero.
     """
     yes = F.col(relevant) == 1
-    gain = F.when(yes, 1 / F.log2(F.col(rank) + 1)).otherwise(0.0)
+    gain = F.when(yes & (F.col(rank) <= k), 1 / F.log2(F.col(rank) + 1)).otherwise(0.0)
     per_query = hits.groupBy(query).agg(
         F.min(F.when(yes, F.col(rank))).alias("first"),
         F.sum(gain).alias("dcg"),
-        F.sum(yes.cast("int")).alias("n_relevant"),
+        F.max(n_relevant).alias("n"),
+        *[F.count_if(yes & (F.col(rank) <= n)).alias(f"n_{n}") for n in (1, 3, 5)],
     )
     ideal = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.col("n_relevant"), F.lit(1)).cast("int")),
+        F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.lit(k)), F.lit(1)).cast("int")),
         F.lit(0.0),
-        lambda s, k: s + 1 / F.log2(k + 1),
+        lambda s, i: s + 1 / F.log2(i + 1),
     )
-    first = F.col("first")
+    first, some = F.col("first"), F.col("n") > 0
+
+    def found(n: int) -> Column:
+        return F.avg(F.coalesce((first <= n).cast("double"), F.lit(0.0))).alias(f"hit_{n}")
 
-    def found(k: int) -> Column:
-        return F.avg(F.coalesce((first <= k).cast("double"), F.lit(0.0))).alias(f"recall_{k}")
+    def recall(n: int) -> Column:
+        return F.avg(F.when(some, F.col(f"n_{n}") / F.col("n"))).alias(f"recall_{n}")
 
-    return per_query.withColumn(
-        "ndcg", F.when(F.col("n_relevant") > 0, F.col("dcg") / ideal).otherwise(0.0)
-    ).agg(
+    return per_query.withColumn("ndcg", F.when(some, F.col("dcg") / ideal).otherwise(0.0)).agg(
         F.count("*").alias("n_queries"),
-        found(1),
-        found(3),
-        found(5),
+        *[found(n) for n in (1, 3, 5)],
+        *[recall(n) for n in (1, 3, 5)],
         F.avg(F.coalesce(F.try_divide(F.lit(1.0), first), F.lit(0.0))).alias("mrr"),
         F.avg("ndcg").alias("ndcg"),
     )

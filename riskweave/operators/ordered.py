@@ -13,9 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 4096
-
-
 def running_totals(
     df: DataFrame,
     value: str,
@@ -25,44 +22,26 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<t>`` and ``all_<t>`` for each total, over ``value`` ascending within ``by``.
 
-    ``df`` must hold one row per (by, value). The number of ranges follows the number of
-    shuffle partitions of the session.
+    ``df`` must hold one row per (by, value). The values are cut once for the whole table, into as
+    many ranges as the session has shuffle partitions. The rows of a group in one range are no more
+    than all rows of the range, so a hot group is spread like the table, and a small group costs no
+    more than its rows.
     """
     by = list(by)
     if ranges is None:
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = max(2, min(MAX_RANGES, tasks))
-    # One small row per group: cut points and totals. It reads the same columns as the branch
-    # below, so Spark shuffles the input once for both.
-    group = df.groupBy(*by).agg(
-        F.struct(
-            F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias(
-                "cuts"
-            ),
-            *[F.sum(t).alias(f"all_{t}") for t in totals],
-        ).alias("_group")
-    )
-    if by:
-        placed = _null_safe_join(df, group, by)
-    else:
-        placed = df.withColumn("_group", group.scalar())
-    placed = placed.select(
-        *df.columns,
-        *[F.col(f"_group.all_{t}").alias(f"all_{t}") for t in totals],
-        _cuts_below(F.col("_group.cuts"), value, ranges).alias("_range"),
-    )
-
-    sums = placed.groupBy(*by, "_range").agg(
-        *[F.sum(t).alias(f"_s_{t}") for t in totals],
-        *[F.max(f"all_{t}").alias(f"_a_{t}") for t in totals],
-    )
-    from_here = Window.partitionBy(*by).orderBy("_range").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing
+        ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges))
+    placed = df.withColumn("_cuts", cuts.scalar()).select(
+        *df.columns, _cuts_below(F.col("_cuts"), value, ranges).alias("_range")
     )
+    sums = placed.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_s_{t}") for t in totals])
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *by,
         "_range",
-        *[(F.col(f"_a_{t}") - F.sum(f"_s_{t}").over(from_here)).alias(f"_b_{t}") for t in totals],
+        *[F.coalesce(F.sum(f"_s_{t}").over(before), F.lit(0)).alias(f"_b_{t}") for t in totals],
+        *[F.sum(f"_s_{t}").over(group).alias(f"all_{t}") for t in totals],
     )
     inside = Window.partitionBy(*by, "_range").orderBy(value)
     joined = _null_safe_join(placed, offsets, [*by, "_range"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import as_col
 
-# Queries up to this many bytes of vectors travel to every task; more go block by block.
-BROADCAST_BYTES = 64 << 20
+# Bytes of vectors in a block of queries and of the corpus.
 QUERY_BLOCK_BYTES = 32 << 20
 CORPUS_BLOCK_BYTES = 128 << 20
 # Scores computed at once inside a task.
@@ -37,10 +36,16 @@ def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
 
 
 class _Best:
-    """The k best corpus ids per query seen so far, by rounded score, then smallest id."""
+    """The k best corpus ids per query seen so far, by rounded score, then smallest id.
 
-    def __init__(self, query_ids: np.ndarray, matrix: np.ndarray, k: int, skip_self: bool):
+    ``at_least`` also keeps every id of that score or more.
+    """
+
+    def __init__(
+        self, query_ids: np.ndarray, matrix: np.ndarray, k: int, skip_self: bool, at_least: float | None
+    ):
         self.query_ids, self.matrix, self.k, self.skip_self = query_ids, matrix, k, skip_self
+        self.at_least, self.above = at_least, []
         self.scores = np.empty((len(query_ids), 0))
         self.ids = np.empty((len(query_ids), 0), dtype=np.int64)
 
@@ -53,6 +58,9 @@ class _Best:
         fresh = np.round(self.matrix @ vectors.T, SCORE_DIGITS)
         if self.skip_self:
             fresh[self.query_ids[:, None] == ids[None, :]] = -np.inf
+        if self.at_least is not None:
+            row, column = np.nonzero(fresh >= self.at_least)
+            self.above.append((self.query_ids[row], ids[column], fresh[row, column]))
         scores = np.hstack([self.scores, fresh])
         every = np.hstack([self.ids, np.broadcast_to(ids, fresh.shape)])
         order = np.lexsort((every, -scores), axis=1)[:, : self.k]
@@ -62,9 +70,11 @@ class _Best:
     def frame(self) -> pd.DataFrame:
         kept = np.isfinite(self.scores)
         rows = np.broadcast_to(self.query_ids[:, None], self.scores.shape)
-        return pd.DataFrame(
-            {"query_id": rows[kept], "corpus_id": self.ids[kept], "score": self.scores[kept]}
+        found = [(rows[kept], self.ids[kept], self.scores[kept]), *self.above]
+        frame = pd.DataFrame(
+            {c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("query_id", "corpus_id", "score"))}
         )
+        return frame if self.at_least is None else frame.drop_duplicates(["query_id", "corpus_id"])
 
 
 _HITS = "query_id long, corpus_id long, score double"
@@ -77,50 +87,34 @@ def nearest(
     vector: str,
     k: int,
     skip_self: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    at_least: float | None = None,
 ) -> DataFrame:
-    """Exact cosine top-k: (query_id, corpus_id, score, rank), equal scores by smallest id.
+    """Exact cosine hits: (query_id, corpus_id, score, rank), equal scores by smallest id.
 
-    Scores are computed as matrix products inside tasks, and a task hands on k rows per
-    query, never all pairs. A query set within ``broadcast_bytes`` is sent to every task and
-    the corpus stays where it is. A larger one is cut into blocks that meet the corpus block
-    by block.
+    A query gets its ``k`` best and, with ``at_least``, every hit of that score or more. Both
+    sides are cut into blocks of bounded size; each block of queries meets each block of the
+    corpus in one task, which computes the scores as matrix products and hands on the hits only.
     """
-    n_queries, width = queries.agg(F.count("*"), F.max(F.size(vector))).first()
-    if not n_queries:
-        return corpus.sparkSession.createDataFrame([], _HITS + ", rank int")
+    row = 64 + 8 * F.greatest(F.size(vector), F.lit(0))
+    q_blocks = _blocks(queries.agg(F.sum(row)).first()[0], QUERY_BLOCK_BYTES)
+    c_blocks = _blocks(corpus.agg(F.sum(row)).first()[0], CORPUS_BLOCK_BYTES)
     q = unit_vectors(queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), "v")
     c = unit_vectors(corpus.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), "v")
-    if n_queries * (8 * width + 64) <= broadcast_bytes:
-        partial = _with_sent_queries(q, c, k, skip_self)
-    else:
-        row = 8 * width + 64
-        q_blocks = math.ceil(n_queries * row / QUERY_BLOCK_BYTES)
-        c_blocks = max(1, math.ceil(corpus.count() * row / CORPUS_BLOCK_BYTES))
-        partial = _block_by_block(q, c, q_blocks, c_blocks, k, skip_self)
+    partial = _block_by_block(q, c, q_blocks, c_blocks, k, skip_self, at_least)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _with_sent_queries(q: DataFrame, c: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    table = q.toPandas()  # within the checked byte bound
-    sent = q.sparkSession.sparkContext.broadcast(
-        (table["id"].to_numpy(dtype=np.int64), np.vstack(table["v"].to_numpy()))
-    )
+    wanted = F.col("rank") <= k
+    if at_least is not None:
+        wanted = wanted | (F.col("score") >= at_least)
+    return partial.withColumn("rank", F.row_number().over(order)).where(wanted)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = sent.value
-        best = _Best(ids, matrix, k, skip_self)
-        for batch in batches:
-            if len(batch):
-                best.add(batch["id"].to_numpy(dtype=np.int64), np.vstack(batch["v"].to_numpy()))
-        yield best.frame()
 
-    return c.mapInPandas(scan, _HITS)
+def _blocks(size: int | None, most: int) -> int:
+    return max(1, math.ceil((size or 0) / most))
 
 
 def _block_by_block(
-    q: DataFrame, c: DataFrame, q_blocks: int, c_blocks: int, k: int, skip_self: bool
+    q: DataFrame, c: DataFrame, q_blocks: int, c_blocks: int, k: int, skip_self: bool,
+    at_least: float | None,
 ) -> DataFrame:
     """Each query block meets each corpus block once; both are of bounded size."""
 
@@ -133,7 +127,7 @@ def _block_by_block(
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "corpus_id": [], "score": []})
         best = _Best(
-            left["id"].to_numpy(dtype=np.int64), np.vstack(left["v"].to_numpy()), k, skip_self
+            left["id"].to_numpy(dtype=np.int64), np.vstack(left["v"].to_numpy()), k, skip_self, at_least
         )
         best.add(right["id"].to_numpy(dtype=np.int64), np.vstack(right["v"].to_numpy()))
         return best.frame()
@@ -151,7 +145,7 @@ def _block_by_block(
 def above_threshold(hits: DataFrame, threshold: float, fallback: int) -> DataFrame:
     """Hits at or above the threshold; a query without any keeps its best ``fallback``.
 
-    ``hits`` holds at most k rows per query.
+    ``hits`` must hold every hit of the threshold and the best ``fallback`` of each query.
     """
     query = Window.partitionBy("query_id")
     passed = (F.col("score") >= threshold).cast("int")

@@ -56,6 +56,10 @@ def edits_for_similarity(threshold: float) -> EditBound:
 # ------------------------------------------------------------------------------ fuzzy join
 
 
+# Word lengths up to which a bound is tried out.
+MOST_LETTERS = 128
+
+
 def _pieces(length: Column, edits: Column) -> Column:
     """(i, start, size) of the even cut of a word into ``edits + 1`` pieces."""
     count = edits + 1
@@ -81,12 +85,17 @@ def similar_words(
     found unchanged in the term. The edits left and right of that piece add up to at most k,
     which bounds how far it can have moved. Words and terms meet on (both lengths, piece
     number, piece): no pair without a common piece is built, and none is missed.
-    ``edits`` must not fall when a length grows and must stay within a similarity of one half.
+    Words no longer than their edits have too few pieces and meet the terms on both lengths alone.
+    ``edits`` must not fall when a length grows, and must not allow a pair of which one side is
+    more than twice as long as the other; another bound is refused.
     ``accept`` filters on the columns ``word``, ``term`` and ``distance``.
     """
     l, m, k = F.col("l"), F.col("m"), F.col("k")
     # Bounds grow with both lengths, and no pair in use differs by more than a factor of two.
     reach = edits(l, 2 * l)
+    lengths = words.sparkSession.range(1, MOST_LETTERS).select(F.col("id").cast("int").alias("l"))
+    if not lengths.where(edits(l, 2 * l + 1) > l).isEmpty():
+        raise ValueError("the bound allows a word and a term more than twice as long")
     left = (
         words.select("word")
         .distinct()
@@ -116,8 +125,19 @@ def similar_words(
     )
     # The distance is checked inside the join, so only true pairs leave it.
     met = left.join(right, ["l", "m", "i", "piece"]).where(F.expr("levenshtein(word, term, k) >= 0"))
+    tiny = (
+        words.select("word")
+        .distinct()
+        .withColumn("l", F.length("word"))
+        .withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), l - reach), l + reach)))
+        .withColumn("k", edits(l, m))
+        .where((F.abs(l - m) <= k) & (l <= k))
+        .join(terms.select("term", F.length("term").alias("m")).distinct(), "m")
+        .where(F.expr("levenshtein(word, term, k) >= 0"))
+    )
     return (
         met.select("word", "term")
+        .unionByName(tiny.select("word", "term"))
         .distinct()
         .withColumn("distance", F.levenshtein("word", "term"))
         .where(accept)

@@ -118,25 +118,42 @@ def chi2_drift(spark, sf):
     return rounded(drift.chi2_drift(_sides(spark, sf), ["event_type"]), 9)
 
 
-@query(
-    "q05_psi",
-    """WITH r AS (SELECT l_extendedprice AS x FROM lineitem WHERE l_shipdate < DATE '1998-07-01'),
+_PSI_SQL = """r AS (SELECT l_extendedprice AS x FROM lineitem WHERE l_shipdate < DATE '1998-07-01'),
 q AS (SELECT l_extendedprice AS x FROM lineitem WHERE l_shipdate >= DATE '1998-07-01'),
 e AS (SELECT quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM r),
 b AS (SELECT len(list_filter(e, lambda y: y < x)) AS bin, 1 AS is_ref FROM r, e
   UNION ALL SELECT len(list_filter(e, lambda y: y < x)), 0 FROM q, e),
 c AS (SELECT bin, sum(is_ref) AS n_ref, sum(1 - is_ref) AS n_cur FROM b GROUP BY 1),
 s AS (SELECT *, greatest(n_ref / sum(n_ref) OVER (), 0.0001) AS fr,
-  greatest(n_cur / sum(n_cur) OVER (), 0.0001) AS fc FROM c)
-SELECT CAST(bin AS INT) AS bin, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur,
-  round((fc - fr) * ln(fc / fr), 9) AS psi FROM s""",
-)
-def psi(spark, sf):
+  greatest(n_cur / sum(n_cur) OVER (), 0.0001) AS fc FROM c)"""
+
+
+def _price_bins(spark, sf):
     lines = src.table(spark, sf, "lineitem").select(
         F.col("l_extendedprice").alias("x"), "l_shipdate"
     )
     cut = F.col("l_shipdate") < "1998-07-01"
-    return rounded(drift.psi(lines.where(cut), lines.where(~cut), "x"), 9)
+    return drift.psi(lines.where(cut), lines.where(~cut), "x")
+
+
+@query(
+    "q05_psi",
+    f"""WITH {_PSI_SQL}
+SELECT CAST(bin AS INT) AS bin, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur,
+  round((fc - fr) * ln(fc / fr), 9) AS psi FROM s""",
+)
+def psi(spark, sf):
+    return rounded(_price_bins(spark, sf), 9)
+
+
+@query(
+    "q05_psi_total",
+    f"""WITH {_PSI_SQL}, t AS (SELECT sum((fc - fr) * ln(fc / fr)) AS psi, count(*) AS n_bins FROM s)
+SELECT round(psi, 9) AS psi, n_bins,
+  CASE WHEN psi >= 0.0008 THEN 'high' WHEN psi >= 0.0002 THEN 'moderate' ELSE 'none' END AS alert FROM t""",
+)
+def psi_total(spark, sf):
+    return rounded(drift.psi_total(_price_bins(spark, sf), 0.0002, 0.0008), 9)
 
 
 @query(

@@ -15,9 +15,14 @@ from riskweave.sources import tables as src
 TOP = 10
 
 
-def hits(spark, sf):
+THRESHOLD, FALLBACK = 0.45, 3
+
+
+def hits(spark, sf, k=TOP, at_least=None):
     vectors = src.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return retrieval.nearest(vectors, vectors, "vec_id", "embedding", TOP, skip_self=True)
+    return retrieval.nearest(
+        vectors, vectors, "vec_id", "embedding", k, skip_self=True, at_least=at_least
+    )
 
 
 def labelled_hits(spark, sf):
@@ -44,7 +49,8 @@ def nearest(spark, sf):
 
 
 _KEPT_SQL = """judged AS (SELECT *, max(CASE WHEN score >= 0.45 THEN 1 ELSE 0 END)
-    OVER (PARTITION BY query_id) AS found FROM hit),
+    OVER (PARTITION BY query_id) AS found FROM
+    (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank FROM pair)),
 kept AS (SELECT *, 1 - found AS fallback FROM judged
   WHERE (found = 1 AND score >= 0.45) OR (found = 0 AND rank <= 3))"""
 
@@ -55,7 +61,7 @@ kept AS (SELECT *, 1 - found AS fallback FROM judged
 FROM kept""",
 )
 def threshold_fallback(spark, sf):
-    return retrieval.above_threshold(hits(spark, sf), 0.45, 3)
+    return retrieval.above_threshold(hits(spark, sf, FALLBACK, THRESHOLD), THRESHOLD, FALLBACK)
 
 
 @query(
@@ -110,24 +116,35 @@ def reranked(spark, sf):
     "r06_ranking_metrics",
     f"""WITH {_HITS_SQL}, q AS (SELECT query_id, min(CASE WHEN model = query_label THEN rank END) AS first,
   sum(CASE WHEN model = query_label THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg,
-  sum(CASE WHEN model = query_label THEN 1 ELSE 0 END) AS n FROM hit GROUP BY 1),
-g AS (SELECT *, CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, CAST(n AS BIGINT) + 1),
-  lambda k: 1 / log2(k + 1))) ELSE 0 END AS ndcg FROM q)
-SELECT count(*) AS n_queries, round(avg(CASE WHEN first <= 1 THEN 1 ELSE 0 END), 6) AS recall_1,
-  round(avg(CASE WHEN first <= 3 THEN 1 ELSE 0 END), 6) AS recall_3,
-  round(avg(CASE WHEN first <= 5 THEN 1 ELSE 0 END), 6) AS recall_5,
+  count(*) FILTER (WHERE model = query_label AND rank <= 1) AS n1,
+  count(*) FILTER (WHERE model = query_label AND rank <= 3) AS n3,
+  count(*) FILTER (WHERE model = query_label AND rank <= 5) AS n5 FROM hit GROUP BY 1),
+t AS (SELECT vec_id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS n FROM embeddings),
+g AS (SELECT q.*, t.n, CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, least(CAST(n AS BIGINT), {TOP}) + 1),
+  lambda k: 1 / log2(k + 1))) ELSE 0 END AS ndcg FROM q JOIN t USING (query_id))
+SELECT count(*) AS n_queries, round(avg(CASE WHEN first <= 1 THEN 1 ELSE 0 END), 6) AS hit_1,
+  round(avg(CASE WHEN first <= 3 THEN 1 ELSE 0 END), 6) AS hit_3,
+  round(avg(CASE WHEN first <= 5 THEN 1 ELSE 0 END), 6) AS hit_5,
+  round(avg(CASE WHEN n > 0 THEN n1 / n END), 6) AS recall_1,
+  round(avg(CASE WHEN n > 0 THEN n3 / n END), 6) AS recall_3,
+  round(avg(CASE WHEN n > 0 THEN n5 / n END), 6) AS recall_5,
   round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM g""",
 )
 def ranking_metrics(spark, sf):
-    labels = src.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")
+    """Every other vector of the query's label is relevant, found or not."""
+    vectors = src.table(spark, sf, "embeddings")
+    same = vectors.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    labels = vectors.join(same, "label").select(
+        F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), "n_relevant"
     )
     judged = (
         labelled_hits(spark, sf)
         .join(labels, "query_id")
         .withColumn("relevant", (F.col("model") == F.col("query_label")).cast("int"))
     )
-    return rounded(evaluation.ranking_metrics(judged, "query_id", "rank", "relevant"))
+    return rounded(
+        evaluation.ranking_metrics(judged, "query_id", "rank", "relevant", "n_relevant", TOP)
+    )
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,14 +32,16 @@ def local_session(cores: str = "8", app: str = "riskweave", **conf: str) -> Spar
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a session that names none
-    (a test on one machine) gets a temporary one.
+    A cluster names it in ``spark.checkpoint.dir``, and a session on a cluster that names none is
+    refused. Only a local session without one (a test on one machine) gets a temporary one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         if context.getCheckpointDir() is not None:
             return context.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="riskweave-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:

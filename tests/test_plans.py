@@ -14,7 +14,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 PYTHON = {
-    "f16_unicode_nfc", "x07_number_words", "x07_dictated_phone", "x08_cleaned_transcripts",
+    "f16_unicode_nfc", "p22_redacted_nested", "x07_number_words", "x07_dictated_phone", "x08_cleaned_transcripts",
     "x14_semantic_error_rates", "x15_optimal_speaker_map", "x16_boundary_scores",
     "j12_nearest_boundaries", "j13_r01_o04_nearest", "r02_threshold_fallback",
     "r03_response_models", "r04_with_defaults", "r05_reranked", "r06_ranking_metrics",
@@ -50,6 +50,22 @@ def test_latest_rows_are_limited_before_the_shuffle(spark):
         assert "WindowGroupLimit" in plan(spark, name)
 
 
+def test_quantiles_per_key_have_one_set_of_cuts(spark):
+    text = plan(spark, "a14_activity_features")
+    assert not re.search(r"keys=\[[^\]]+\], functions=\[[^\]]*percentile_approx", text)
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from riskweave.session import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        shared_folder(session)
+
+
 def test_no_local_checkpoints_or_forbidden_calls():
     for path in glob.glob(os.path.join(ROOT, "riskweave", "**", "*.py"), recursive=True):
         source = open(path, encoding="utf-8").read()

@@ -30,13 +30,13 @@ def by_hand(v, k):
     return out
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 100])
-def test_both_ways_are_exact(spark, table, limit, monkeypatch):
+@pytest.mark.parametrize("size", [32 << 20, 4096])
+def test_blocks_are_exact(spark, table, size, monkeypatch):
     v, df = table
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", 4096)
-    monkeypatch.setattr(retrieval, "CORPUS_BLOCK_BYTES", 8192)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", size)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK_BYTES", 2 * size)
     monkeypatch.setattr(retrieval, "TILE_CELLS", 1000)
-    hits = retrieval.nearest(df, df, "id", "v", 5, skip_self=True, broadcast_bytes=limit).collect()
+    hits = retrieval.nearest(df, df, "id", "v", 5, skip_self=True).collect()
     want = by_hand(v, 5)
     got = {}
     for h in sorted(hits, key=lambda h: h["rank"]):
@@ -81,10 +81,25 @@ def test_rerank_falls_back_per_query(spark):
 def test_ranking_metrics(spark):
     rows = [(1, 1, 1), (1, 2, 0), (2, 1, 0), (2, 2, 1), (3, 1, 0), (3, 2, 0)]
     df = spark.createDataFrame(rows, "q int, rank int, y int")
-    row = evaluation.ranking_metrics(df, "q", "rank", "y").first()
-    assert row.recall_1 == pytest.approx(1 / 3) and row.recall_3 == pytest.approx(2 / 3)
+    df = df.withColumn("n", F.when(F.col("q") == 1, 4).when(F.col("q") == 2, 1).otherwise(0))
+    row = evaluation.ranking_metrics(df, "q", "rank", "y", "n", 2).first()
+    assert row.hit_1 == pytest.approx(1 / 3) and row.hit_3 == pytest.approx(2 / 3)
+    assert row.recall_1 == pytest.approx((1 / 4 + 0) / 2) and row.recall_3 == pytest.approx((1 / 4 + 1) / 2)
     assert row.mrr == pytest.approx(0.5)
-    assert row.ndcg == pytest.approx((1 + 1 / np.log2(3)) / 3)
+    second = 1 / np.log2(3)
+    assert row.ndcg == pytest.approx((1 / (1 + second) + second) / 3)
+
+
+def test_all_hits_above_a_score(spark, table):
+    v, df = table
+    f = v.astype(np.float32).astype(float)
+    n = np.linalg.norm(f, axis=1)
+    unit = f / np.where(n > 0, n, 1)[:, None]
+    s = np.round(unit @ unit.T, 6)
+    got = retrieval.nearest(df, df, "id", "v", 2, skip_self=True, at_least=0.2).collect()
+    best = by_hand(v, 2)
+    want = {(i, j) for i in range(len(v)) for j in range(len(v)) if i != j and (s[i, j] >= 0.2 or j in best[i])}
+    assert len(got) == len(want) and {(r.query_id, r.corpus_id) for r in got} == want
 
 
 def test_vector_functions(spark):

@@ -26,6 +26,10 @@ def test_number_names_come_back():
         ("zéro six douze trente-quatre", "0 6 12 34"),
         ("vingt et un et trente", "21 et 30"),
         ("rien du tout", "rien du tout"),
+        ("un problème  avec\nune carte", "un problème  avec\nune carte"),
+        ("un euro et une  heure", "1 euro et 1  heure"),
+        ("zéro un, deux", "0 1, 2"),
+        ("  cent\tun\nclients ", "  101\nclients "),
     ],
 )
 def test_number_words(said, digits):
@@ -94,6 +98,25 @@ def test_redacted_json(spark):
     assert one(spark, raw, tx.redacted_json) == want
 
 
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ('{"token":["abc","def"],"ok":1}', '{"token":"[REDACTED]","ok":1}'),
+        ('{"password":{"v":"x y","w":"zz"},"k":2}', '{"password":"[REDACTED]","k":2}'),
+        ('{"a":[{"My_Secret" : {"b":["s1"]}}], "é": "ü"}', '{"a":[{"My_Secret":"[REDACTED]"}],"é":"ü"}'),
+        ('{"token":"s1"', None),
+        ('not json, token: s1', None),
+        ("[1,2]", "[1,2]"),
+    ],
+)
+def test_no_secret_survives(spark, raw, want):
+    assert one(spark, raw, tx.redacted_json) == want
+
+
+def test_long_amounts(spark):
+    assert one(spark, "1234567890 euros et 12 euros", tx.normalised_amounts) == "1234567890 € et 12 €"
+
+
 def test_mail(spark):
     mail = (
         "<p>Bonjour,<br>merci&nbsp;bien</p><script>x()</script>\n> cité\n"
@@ -157,6 +180,21 @@ def test_similar_words_miss_nothing(spark, vocabulary):
         assert found == want
 
 
+def test_loose_bounds_miss_nothing_or_are_refused(spark, vocabulary):
+    words, glossary = vocabulary[0][:150] + ["ab", "a"], vocabulary[1][:60] + ["abzz", "ab", "b"]
+    w = spark.createDataFrame([(x,) for x in words], "word string")
+    g = spark.createDataFrame([(x,) for x in glossary], "term string")
+    got = terms.similar_words(w, g, terms.edits_for_similarity(0.5), terms.pair_similarity() >= 0.5)
+    want = {
+        (a, b)
+        for a, b in itertools.product(words, glossary)
+        if 1 - distance(a, b) / max(len(a), len(b)) >= 0.5
+    }
+    assert {(r.word, r.term) for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        terms.similar_words(w, g, terms.edits_for_similarity(0.3), terms.pair_similarity() >= 0.3)
+
+
 def limits(n):
     return (0.95, 1) if n <= 4 else (0.85, 2) if n <= 8 else (0.75, 3) if n <= 12 else (0.70, n // 4)
 
