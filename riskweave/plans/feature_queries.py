@@ -121,9 +121,9 @@ def snapshot_join(spark, sf):
     "j08_rating_drivers",
     """WITH h AS (SELECT o_custkey AS k, o_orderkey AS model, o_orderdate AS d,
   o_orderstatus AS c FROM orders),
-dr AS (SELECT o_custkey AS k, l_orderkey AS model, o_orderdate AS d, o_orderstatus AS c,
-  l_linenumber AS driver, l_quantity AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_quantity > 25)
+dr AS (SELECT o_custkey AS k, l_orderkey AS model, o_orderdate AS d,
+  CASE WHEN l_quantity > 25 THEN o_orderstatus END AS c,
+  l_linenumber AS driver, l_quantity AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT h.k AS enterprise_id, h.model AS model_id, strftime(h.d, '%Y-%m-%d') AS day, driver, score
 FROM h LEFT JOIN dr ON h.k = dr.k AND h.model = dr.model AND h.d = dr.d AND h.c = dr.c""",
 )
@@ -135,9 +135,13 @@ def rating_drivers(spark, sf):
         F.date_format("o_orderdate", _ISO).alias("day"),
         F.col("o_orderstatus").alias("status"),
     )
-    lines = src.table(spark, sf, "lineitem").where("l_quantity > 25")
+    lines = src.table(spark, sf, "lineitem")
+    status = F.when(F.col("l_quantity") > 25, F.col("status"))
     drivers = history.join(lines, F.col("l_orderkey") == F.col("model_id")).select(
-        *keys, F.col("l_linenumber").alias("driver"), F.col("l_quantity").alias("score")
+        *keys[:-1],
+        status.alias("status"),
+        F.col("l_linenumber").alias("driver"),
+        F.col("l_quantity").alias("score"),
     )
     return history.join(drivers, keys, "left").drop("status")
 
@@ -319,8 +323,8 @@ def duplicates_and_blanks(spark, sf):
 
 @query(
     "a17_completeness",
-    """WITH o AS (SELECT o_custkey, max(o_totalprice) AS turnover FROM orders
-  WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= DATE '1999-01-01' GROUP BY 1)
+    """WITH o AS (SELECT o_custkey, max(CASE WHEN o_orderpriority = '1-URGENT'
+  AND o_orderdate >= DATE '1999-01-01' THEN o_totalprice END) AS turnover FROM orders GROUP BY 1)
 SELECT c_custkey, CASE WHEN turnover IS NULL THEN 1 ELSE 0 END AS no_turnover,
   CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS no_balance,
   CAST(1 - CASE WHEN turnover IS NULL THEN 0.4 ELSE 0 END
@@ -328,11 +332,11 @@ SELECT c_custkey, CASE WHEN turnover IS NULL THEN 1 ELSE 0 END AS no_turnover,
 FROM customer LEFT JOIN o ON o_custkey = c_custkey""",
 )
 def completeness(spark, sf):
+    known = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderdate") >= "1999-01-01")
     turnover = (
         src.table(spark, sf, "orders")
-        .where("o_orderpriority = '1-URGENT' AND o_orderdate >= DATE '1999-01-01'")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(F.max("o_totalprice").alias("turnover"))
+        .agg(F.max(F.when(known, F.col("o_totalprice"))).alias("turnover"))
     )
     joined = src.table(spark, sf, "customer").join(turnover, "c_custkey", "left").withColumn(
         "balance", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
@@ -670,34 +674,33 @@ def sector_class(spark, sf):
 
 @query(
     "m07_risk_features",
-    """WITH r AS (SELECT o_custkey, max(l_linenumber) AS m FROM orders JOIN lineitem
-  ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1)
+    """WITH r AS (SELECT o_custkey, max(CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN l_linenumber END) AS m
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT c_custkey AS enterprise_id, m AS overdraft_days, 'OK' AS flag_risk
 FROM customer LEFT JOIN r ON o_custkey = c_custkey""",
 )
 def risk_features(spark, sf):
     main = src.table(spark, sf, "customer").select(F.col("c_custkey").alias("enterprise_id"))
-    lines = _customer_lines(spark, sf).where("l_returnflag = 'R' AND l_quantity > 45")
-    return scoring.add_risk_features(main, lines, "enterprise_id", "l_linenumber")
+    late = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)
+    lines = _customer_lines(spark, sf).withColumn("days", F.when(late, F.col("l_linenumber")))
+    return scoring.add_risk_features(main, lines, "enterprise_id", "days")
 
 
 @query(
     "m08_balance_features",
-    """WITH a AS (SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / 100.0 AS bal,
-  count(o_orderkey) AS n FROM orders WHERE o_orderdate >= DATE '2001-01-01' GROUP BY 1)
+    """WITH a AS (SELECT o_custkey,
+  sum(CASE WHEN o_orderdate >= DATE '2001-01-01' THEN CAST(round(o_totalprice * 100) AS BIGINT) END) / 100.0 AS bal,
+  count(CASE WHEN o_orderdate >= DATE '2001-01-01' THEN o_orderkey END) AS n FROM orders GROUP BY 1)
 SELECT c_custkey AS enterprise_id, bal AS balance, n AS n_accounts, 'OK' AS flag_balance
 FROM customer LEFT JOIN a ON o_custkey = c_custkey""",
 )
 def balance_features(spark, sf):
     main = src.table(spark, sf, "customer").select(F.col("c_custkey").alias("enterprise_id"))
-    accounts = (
-        src.table(spark, sf, "orders")
-        .where("o_orderdate >= DATE '2001-01-01'")
-        .select(
-            F.col("o_custkey").alias("enterprise_id"),
-            "o_orderkey",
-            F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
-        )
+    current = F.col("o_orderdate") >= "2001-01-01"
+    accounts = src.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("enterprise_id"),
+        F.when(current, F.col("o_orderkey")).alias("o_orderkey"),
+        F.when(current, F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"),
     )
     return scoring.add_balance_features(main, accounts, "enterprise_id", "o_orderkey", "cents")
 
