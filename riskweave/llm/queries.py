@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import (
     bpe,
+    checks,
     decision_list,
     main_text,
     mixing,
@@ -164,4 +165,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_shards": checks.OP1,
+    "op6_nearest_vectors": checks.OP6,
+    "op7_mixed_sources": checks.op7(TARGET_WEIGHTS, OTHER_WEIGHT, mixing.BLOCK_ROWS),
+}
