@@ -16,6 +16,7 @@ from riskweave.session import written
 from riskweave.sources import tables as src
 
 _SECTOR_CODES = ftq._SECTOR_CODES
+_REGIMES = ("1", "2", "3", None, "1")
 
 
 def _inputs(spark, sf) -> sb.ScoringInputs:
@@ -26,14 +27,25 @@ def _inputs(spark, sf) -> sb.ScoringInputs:
         .withColumn("group_id", F.when(F.col("enterprise_id") % 6 != 0, F.col("client_nature")))
     )
     orders = src.table(spark, sf, "orders").withColumnRenamed("o_custkey", "enterprise_id")
+    closing = F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31))
     lines = src.table(spark, sf, "lineitem").join(
-        orders.select("o_orderkey", "enterprise_id"), F.col("l_orderkey") == F.col("o_orderkey")
+        orders.select("o_orderkey", "enterprise_id", closing.alias("closing")),
+        F.col("l_orderkey") == F.col("o_orderkey"),
+    )
+    year = F.col("enterprise_id") + F.year("closing")
+    closings = (
+        orders.select("enterprise_id", closing.alias("closing"))
+        .distinct()
+        .withColumn("months", F.get(F.array(*[F.lit(m) for m in (12, 0, None, 6)]), (year % 4).cast("int")))
+        .withColumn("regime", F.get(F.array(*[F.lit(r) for r in _REGIMES]), (year % 5).cast("int")))
     )
 
     def detail(codes):
         at = ((F.col("l_partkey") + F.col("l_linenumber")) % len(codes)).cast("int")
         code = F.get(F.array(*[F.lit(c) for c in codes]), at)
-        return lines.select("enterprise_id", code.alias("code"), F.col("l_quantity").alias("value"))
+        return lines.select(
+            "enterprise_id", "closing", code.alias("code"), F.col("l_quantity").alias("value")
+        )
 
     price = (F.col("o_totalprice") / -50000).cast("decimal(18,6)").cast("string")
     return sb.ScoringInputs(
@@ -55,6 +67,7 @@ def _inputs(spark, sf) -> sb.ScoringInputs:
         category_totals=b.event_totals(spark, sf),
         conso_detail=detail(sb.CONSO_CODES),
         solo_detail=detail(sb.SOLO_CODES),
+        closings=closings,
     )
 
 
@@ -67,9 +80,13 @@ def _steps(inputs):
 def _wide_sql(codes) -> str:
     shown = ", ".join(f"'{c}'" for c in codes)
     sums = ", ".join(f"sum(l_quantity) FILTER (WHERE code = '{c}') AS mt_{c}" for c in codes)
-    return f"""SELECT o_custkey AS enterprise_id, {sums} FROM (SELECT o_custkey, l_quantity,
-    list_extract([{shown}], 1 + (l_partkey + l_linenumber) % {len(codes)}) AS code
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1"""
+    return f"""SELECT w.*, coalesce(h.m, 12) AS m, coalesce(h.regime, '1') AS regime FROM (
+    SELECT o_custkey AS enterprise_id, closing, {sums} FROM (SELECT o_custkey, l_quantity,
+      make_date(year(o_orderdate), 12, 31) AS closing,
+      list_extract([{shown}], 1 + (l_partkey + l_linenumber) % {len(codes)}) AS code
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY closing DESC) = 1) w
+  LEFT JOIN head h ON h.enterprise_id = w.enterprise_id AND h.closing = w.closing"""
 
 
 _COEFFICIENT_ROWS = ", ".join(f"('{v}', '{m}', {c!r}::DOUBLE)" for v, m, c in rules.COEFFICIENTS)
@@ -91,10 +108,17 @@ rate AS (SELECT o_custkey AS enterprise_id, o_orderdate, o_orderstatus, o_orderp
   sum(CAST(o_totalprice / -50000 AS DECIMAL(18,6))) AS s FROM orders GROUP BY ALL),
 rated AS (SELECT *, row_number() OVER (PARTITION BY enterprise_id ORDER BY o_orderdate DESC,
   o_orderstatus DESC, o_orderpriority DESC) AS rn FROM rate),
-conso AS (SELECT enterprise_id, ({ftq._signed_sql(rules.CONSO_RESULT)})
-  / nullif(coalesce(mt_310, mt_24 + mt_309), 0) * 100 AS VB023 FROM ({_wide_sql(sb.CONSO_CODES)})),
+closed AS (SELECT *, lag(closing) OVER (PARTITION BY enterprise_id ORDER BY closing) AS prev,
+  enterprise_id + year(closing) AS y FROM (SELECT DISTINCT o_custkey AS enterprise_id,
+    make_date(year(o_orderdate), 12, 31) AS closing FROM orders)),
+head AS (SELECT enterprise_id, closing, CASE WHEN y % 4 IN (0, 3) THEN CASE y % 4 WHEN 0 THEN 12.0 ELSE 6.0 END
+    WHEN date_diff('day', prev, closing) > 0 THEN date_diff('day', prev, closing) / 30.44 ELSE 12.0 END::DOUBLE AS m,
+  CASE y % 5 WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 3 THEN NULL ELSE '1' END AS regime FROM closed),
+conso AS (SELECT enterprise_id, ({ftq._signed_sql(rules.CONSO_RESULT)}) / m * 12
+  / nullif(coalesce(mt_310 / m * 12, (mt_24 + mt_309) / m * 12), 0) * 100 AS VB023 FROM ({_wide_sql(sb.CONSO_CODES)})),
 solo AS (SELECT enterprise_id,
-  coalesce(({ftq._signed_sql(rules.CASH_FLOW_REGIME_1)}) / nullif(mt_469 * 10, 0), 0) * 100 AS VB005,
+  coalesce(CASE regime WHEN '1' THEN ({ftq._signed_sql(rules.CASH_FLOW_REGIME_1)}) / m * 12
+    WHEN '2' THEN ({ftq._signed_sql(rules.CASH_FLOW_REGIME_2)}) / m * 12 END / nullif(mt_469 * 10, 0), 0) * 100 AS VB005,
   coalesce((mt_182 - 100) / nullif(mt_294 * 3, 0), 0) * 100 AS VB035,
   coalesce(mt_290 / nullif(mt_294 * 3, 0), 0) * 100 AS VB055 FROM ({_wide_sql(sb.SOLO_CODES)})),
 class AS (SELECT m.enterprise_id,

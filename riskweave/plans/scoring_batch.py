@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskweave import rules
-from riskweave.functions.scalars import valid_exercise_months
 from riskweave.operators import scope, scoring
 from riskweave.operators import statements as st
 from riskweave.operators.movements import add_transaction_features
@@ -20,7 +19,12 @@ Step = tuple[str, Callable[[DataFrame], DataFrame]]
 
 @dataclass(frozen=True)
 class ScoringInputs:
-    """The tables of one run; every one but ``scope`` and ``sectors`` is keyed by enterprise."""
+    """The tables of one run; every one but ``scope`` and ``sectors`` is keyed by enterprise.
+
+    The statement details hold ``closing``, ``code`` and ``value``; ``closings`` has a row per
+    enterprise and closing with the declared ``months`` and the tax ``regime``, either of them null
+    where unknown.
+    """
 
     scope: DataFrame
     sectors: DataFrame
@@ -30,6 +34,7 @@ class ScoringInputs:
     category_totals: DataFrame
     conso_detail: DataFrame
     solo_detail: DataFrame
+    closings: DataFrame
 
 
 CONSO_CODES = (*rules.CONSO_RESULT, "24", "309")
@@ -46,16 +51,29 @@ def scoring_steps(
     the solo codes.
     """
 
+    def newest(detail: DataFrame, codes: Sequence[str]) -> DataFrame:
+        """The newest statement of each enterprise with its length in months and its regime."""
+        wide = st.wide_statement(detail, [KEY, "closing"], "code", "value", codes)
+        wide = st.latest_rows(wide, KEY, [F.desc("closing")])
+        before = st.previous_closing(inputs.closings, KEY, "closing")
+        heads = inputs.closings.join(before, [KEY, "closing"]).select(
+            KEY,
+            "closing",
+            st.exercise_length(inputs.closings, "months", "closing", "previous_closing").alias("months"),
+            "regime",
+        )
+        found = wide.join(heads, [KEY, "closing"], "left")
+        months = F.coalesce("months", F.lit(float(rules.EXERCISE_MONTHS)))
+        return found.withColumn("months", months).withColumn(
+            "regime", st.imputed_tax_regime("regime", "rank")
+        )
+
     def conso(df: DataFrame) -> DataFrame:
-        wide = st.wide_statement(inputs.conso_detail, [KEY], "code", "value", CONSO_CODES)
-        made = st.conso_ratios(wide.withColumn("months", F.lit(12)), "months")
+        made = st.conso_ratios(newest(inputs.conso_detail, CONSO_CODES), "months")
         return scoring.enriched(df, made.select(KEY, "VB023"), KEY)
 
     def solo(df: DataFrame) -> DataFrame:
-        wide = st.wide_statement(inputs.solo_detail, [KEY], "code", "value", SOLO_CODES)
-        wide = wide.withColumn("regime", F.lit("1")).withColumn(
-            "months", valid_exercise_months(F.lit(None), F.lit(0.0))
-        )
+        wide = newest(inputs.solo_detail, SOLO_CODES)
         made = st.solo_ratios(wide, "regime", "months", debt_service, result, assets, total)
         return scoring.enriched(df, made.select(KEY, "VB005", "VB035", "VB055"), KEY)
 

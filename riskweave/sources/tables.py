@@ -105,10 +105,20 @@ def score_csv(
     return spark.read.csv(target, schema=scored.schema, header=True)
 
 
-def export_by_day(df: DataFrame, target: str, time: str, file_format: str = "parquet") -> None:
-    """Rewrite only the day folders present in ``df``."""
+def export_by_day(
+    df: DataFrame, target: str, time: str, file_format: str = "parquet", files_per_day: int = 4
+) -> None:
+    """Rewrite only the day folders present in ``df``.
+
+    The rows of a day are dealt to ``files_per_day`` tasks at most, by a hash of the whole row, so
+    a day has few files and a busy day is not one task.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day))
     (
         df.withColumn("day", F.to_date(time))
+        .withColumn("_salt", salt)
+        .repartition("day", "_salt")
+        .drop("_salt")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")
