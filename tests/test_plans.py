@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from riskweave.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -27,7 +28,7 @@ def plan(spark, name):
 
 
 @pytest.mark.parametrize(
-    "name", sorted(n for n in contract.queries() if n[0] in "apjwmfoqxs" and n not in PYTHON and not n.startswith("m26"))
+    "name", sorted(n for n in catalogue.QUERIES if n[0] in "apjwmfoqxs" and n not in PYTHON and not n.startswith("m26"))
 )
 def test_native_and_without_cross_joins(spark, name):
     text = plan(spark, name)
