@@ -15,7 +15,7 @@ from riskweave.session import shared_folder
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return decision_list.judged(docs, labels, "doc_id", "text").where("_kept").select(*docs.columns)
+    return decision_list.kept_documents(docs, labels, "doc_id", "text")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

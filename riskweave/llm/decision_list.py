@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm.ranks import unused
 from riskweave.session import written
 
 #: Documents shorter than this many words, or with more repeated words than this share, fail the base.
@@ -232,18 +233,31 @@ def training_rows(
 
 
 def judged(
-    df: DataFrame, labels: DataFrame, key: str, text: str, label: str = "quality", most: int = TRAINING_ROWS
+    df: DataFrame, labels: DataFrame, key: str, text: str, label: str = "quality", most: int = TRAINING_ROWS,
+    names: tuple[str, str, str] = ("_statistics", "_base_failed", "_kept"),
 ) -> DataFrame:
-    """All rows and columns of ``df`` with ``_statistics``, ``_base_failed`` and ``_kept``.
+    """All rows and columns of ``df`` with three more: statistics, base failure and verdict.
+
+    ``names`` replace older columns of these names.
 
     The list is fitted on a bounded sample of labelled rows; statistics, base rules and the learned
     conditional are applied to every whole text. Null and empty texts have no words and fail the
     base. Without labels the base rules alone decide. An empty table gives no rows.
     """
     rules = fit(*training_rows(df, labels, key, text, label, most))
-    s = F.col("_statistics")
+    statistics_, failed_, kept_ = names
+    s = F.col(statistics_)
     return (
-        with_statistics(df, text)
-        .withColumn("_base_failed", base_failed(s))
-        .withColumn("_kept", ~F.col("_base_failed") & verdict(rules, features(s)))
+        with_statistics(df, text, statistics_)
+        .withColumn(failed_, base_failed(s))
+        .withColumn(kept_, ~F.col(failed_) & verdict(rules, features(s)))
     )
+
+
+def kept_documents(
+    df: DataFrame, labels: DataFrame, key: str, text: str, label: str = "quality", most: int = TRAINING_ROWS
+) -> DataFrame:
+    """The rows of ``df`` that base rules and learned list keep, with its columns unchanged."""
+    names = unused(df, "_statistics", "_base_failed", "_kept")
+    found = judged(df, labels, key, text, label, most, tuple(names))
+    return found.where(F.col(names[2])).select(*df.columns)

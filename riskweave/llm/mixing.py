@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.ranks import bucket_of, named, running_starts
+from riskweave.llm.ranks import bucket_of, named, running_starts, unused
 from riskweave.session import written
 
 #: Documents of a block, the unit that is scheduled.
@@ -149,12 +149,13 @@ def in_mixed_order(
     """All rows and columns of ``df``, dealt and sorted by slot and place.
 
     Written out, the files in order and the rows in each file are the mixed sequence. Copies of a
-    row stand together.
+    row stand together. Helper columns take names that ``df`` has not, so no column is replaced.
     """
+    key_, source_, *sequence = unused(df, "_key", "_source", "_slot", "_place", "_row")
+    slot_, place_, row_ = sequence
     order = mixed(df, key, source, weights, other, block_rows).select(
-        F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("slot").alias("_slot"), F.col("place").alias("_place")
+        F.col(key).alias(key_), F.col(source).alias(source_), F.col("slot").alias(slot_), F.col("place").alias(place_)
     )
-    same = df[key].eqNullSafe(order["_key"]) & df[source].cast("string").eqNullSafe(order["_source"])
-    rows = df.join(order, same).withColumn("_row", F.monotonically_increasing_id())
-    sequence = ["_slot", "_place", "_row"]
+    same = df[key].eqNullSafe(order[key_]) & df[source].cast("string").eqNullSafe(order[source_])
+    rows = df.join(order, same).withColumn(row_, F.monotonically_increasing_id())
     return rows.repartitionByRange(*sequence).sortWithinPartitions(*sequence).select(*[df[c] for c in df.columns])

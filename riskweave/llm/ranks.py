@@ -1,4 +1,4 @@
-"""Gapless positions inside groups of any size, without one task per group."""
+"""Names not in use, and gapless positions inside groups of any size without one task per group."""
 
 from __future__ import annotations
 
@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        names.append(stem)
+    return names
+
+
 def named(value: Column) -> Column:
     """A join key that is never null and keeps a null apart from every text."""
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("?"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.components import components
+from riskweave.llm.ranks import unused
 from riskweave.session import written
 
 BITS = 64
@@ -231,14 +232,16 @@ def kept_documents(
     """The rows of ``df`` that stay, with its columns: one row of each component.
 
     That is the row with the smallest key (null last); rows sharing it are settled by text and then
-    all other columns, and equal rows leave one. An empty table gives no rows.
+    all other columns, and equal rows leave one. Helper columns take names that ``df`` has not. An
+    empty table gives no rows.
     """
-    marked = written(df.withColumn("_fp", fingerprint_column(F.col(text), words)), "simhash-documents")
-    nodes = written(marked.select(F.col("_fp").alias("fp")).distinct(), "simhash-nodes")
-    rooted = written(roots(nodes, radius), "simhash-roots").withColumnsRenamed(
-        {"fp": "_fp", "root": "_root"}
+    fp_, root_, place_ = unused(df, "_fp", "_root", "_place")
+    marked = written(df.withColumn(fp_, fingerprint_column(F.col(text), words)), "simhash-documents")
+    nodes = written(marked.select(F.col(fp_).alias("fp")).distinct(), "simhash-nodes")
+    rooted = written(roots(nodes, radius), "simhash-roots").select(
+        F.col("fp").alias(fp_), F.col("root").alias(root_)
     )
     others = [F.col(c) for c in df.columns if c not in (key, text)]
-    order = Window.partitionBy("_root").orderBy(F.col(key).asc_nulls_last(), F.col(text), *others)
-    first = marked.join(rooted, "_fp").withColumn("_place", F.row_number().over(order))
-    return first.where("_place = 1").select(*df.columns)
+    order = Window.partitionBy(root_).orderBy(F.col(key).asc_nulls_last(), F.col(text), *others)
+    first = marked.join(rooted, fp_).withColumn(place_, F.row_number().over(order))
+    return first.where(F.col(place_) == 1).select(*df.columns)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -45,3 +46,19 @@ def test_odd_documents_pass_every_stage(spark, rows):
     odd = [Row(None, None, None, None, None), Row(1, "", "en", "src0", 0), Row(1, "", "en", "src0", 0)][:rows]
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame(odd, schema), FOLDER).count() <= rows
+
+
+HELPERS = ("_fp", "_root", "_place", "_KEY", "_source", "_slot", "_row", "_statistics", "_base_failed", "_kept", "_text", "fp")
+
+
+def test_columns_named_like_helpers_stay(spark):
+    docs = queries.table(spark, FOLDER, "documents")
+    wide = docs.withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in HELPERS})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, FOLDER)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in stage(spark, docs, FOLDER).collect()}
+        assert all(r[h] == f"{h}{r['doc_id']}" for r in rows for h in HELPERS)
+    ids = corpus_pipeline.STAGES[-1][1]
+    assert Counter(ids(spark, wide, FOLDER).collect()) == Counter(ids(spark, docs, FOLDER).collect())
