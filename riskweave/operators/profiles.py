@@ -278,12 +278,19 @@ def out_of_fold_target(
     )
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation over the rows that hold both; null if either is constant or absent."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair from one pass over the rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     row = df.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}")
-          for i, (a, b) in enumerate(pairs)]
+        *[correlation(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)]
     )
     return row.select(
         F.inline(
@@ -303,7 +310,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Variance inflation factor per column: the diagonal of the inverse correlation matrix.
 
-    The matrix is one row whose size is the square of the number of columns.
+    The matrix is one row whose size is the square of the number of columns. A constant column is
+    correlated with no other.
     """
     width = len(columns)
 
@@ -315,7 +323,7 @@ def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     cells = F.array(
         *[
-            F.lit(1.0) if a == b else F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
+            F.lit(1.0) if a == b else F.coalesce(correlation(a, b), F.lit(0.0))
             for a in columns
             for b in columns
         ]
@@ -325,6 +333,60 @@ def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).select(F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("pos") + 1).alias("feature"), "vif")
 
 
+def screening(
+    df: DataFrame, columns: Sequence[str], target: str,
+    max_null: float = 0.5, max_same: float = 0.95, max_correlation: float = 0.95,
+) -> DataFrame:
+    """Which features stay: feature, null_rate, top_share, relevance, reason (null: kept).
+
+    A feature goes for too many nulls, then for one value in too many of its present rows, then
+    for a correlation with a kept feature of higher relevance (absolute correlation with the
+    target, unknown last, ties by name). Values are counted on the map side first; all else is one
+    row per feature or pair.
+    """
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("x")) for c in columns]))
+    counts = df.select(cells).groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.groupBy("feature").agg(
+        (F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("null_rate"),
+        F.try_divide(F.max(F.when(F.col("x").isNotNull(), F.col("n"))), F.sum(F.when(F.col("x").isNotNull(), F.col("n")))).alias("top_share"),
+    )
+    pairs = written(correlation_pairs(df, [*columns, target]), "screening-pairs")
+    relevance = pairs.where(F.col("right") == target).select(
+        F.col("left").alias("feature"), F.abs("correlation").alias("relevance")
+    )
+    basic = (
+        F.when(F.col("null_rate") > max_null, "nulls")
+        .when(F.col("top_share").isNull() | (F.col("top_share") > max_same), "near constant")
+    )
+    rows = written(shares.join(relevance, "feature", "left").withColumn("_basic", basic), "screening-rows")
+    strong = pairs.where(
+        (F.col("right") != target) & (F.abs("correlation") > max_correlation)
+    ).agg(F.collect_list(F.struct("left", "right")).alias("strong"))
+    known = F.coalesce("relevance", F.lit(-1.0))
+    ordered = rows.where(F.col("_basic").isNull()).agg(
+        F.array_sort(F.collect_list(F.struct((-known).alias("r"), F.col("feature").alias("name")))).alias("names")
+    )
+    kept = ordered.join(strong, F.lit(True)).select(
+        F.explode(
+            F.aggregate(
+                "names",
+                F.array().cast("array<string>"),
+                lambda kept, f: F.when(
+                    F.exists(
+                        "strong",
+                        lambda p: ((p["left"] == f["name"]) & F.array_contains(kept, p["right"]))
+                        | ((p["right"] == f["name"]) & F.array_contains(kept, p["left"])),
+                    ),
+                    kept,
+                ).otherwise(F.concat(kept, F.array(f["name"]))),
+            )
+        ).alias("feature"),
+        F.lit(True).alias("_kept"),
+    )
+    reason = F.coalesce("_basic", F.when(F.col("_kept").isNull(), "correlated"))
+    return rows.join(kept, "feature", "left").select("feature", "null_rate", "top_share", "relevance", reason.alias("reason"))
+
+
 def mutual_information(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Mutual information (nats) of each discrete feature with the target."""
     cells = F.inline(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave import rules
-from riskweave.operators import scoring
-from riskweave.plans import binding as b
+from riskweave.operators import profiles, scoring
 from riskweave.plans import feature_queries as ftq
 from riskweave.plans import filter_queries as fq
 from riskweave.plans import movement_queries as mq
@@ -64,7 +64,7 @@ def _inputs(spark, sf) -> sb.ScoringInputs:
             F.col("o_orderpriority").alias("priority"),
             F.replace(price, F.lit("."), F.lit(",")).alias("q_score"),
         ),
-        category_totals=b.event_totals(spark, sf),
+        category_totals=mq.movement_totals(spark, sf),
         conso_detail=detail(sb.CONSO_CODES),
         solo_detail=detail(sb.SOLO_CODES),
         closings=closings,
@@ -95,7 +95,7 @@ _UNPIVOT = " UNION ALL ".join(
 )
 _RATING_EDGES = ", ".join(repr(e) for e in rules.RATING_BINS.bounds)
 
-BATCH_SQL = f"""WITH {fq.ELIGIBILITY_SQL}, {mq._FLAG_SQL},
+BATCH_SQL = f"""WITH {fq.ELIGIBILITY_SQL}, {mq.MOVEMENT_FLAG_SQL},
 sector(sector_code, sector_class) AS (VALUES {", ".join(f"('{c}', '{k}')" for c, k in rules.SECTOR_SAMPLE)}),
 main AS (SELECT *, list_extract([{", ".join(f"'{c}'" for c in _SECTOR_CODES)}],
     1 + enterprise_id % {len(_SECTOR_CODES)}) AS sector_code FROM candidate
@@ -172,8 +172,7 @@ _AFTER = ("eligibility", "format", "score", "output")
 _ALL_CHECKS = " AND ".join(sql for _, sql in fq._CHECKS_SQL)
 
 
-@query(
-    "m19_step_control",
+_STEP_SQL = (
     f"WITH {fq.ELIGIBILITY_SQL}, n AS (SELECT count(*) AS a, count(*) FILTER (WHERE {_ALL_CHECKS}) AS k"
     " FROM candidate) "
     + " UNION ALL ".join(
@@ -183,8 +182,11 @@ _ALL_CHECKS = " AND ".join(sql for _, sql in fq._CHECKS_SQL)
         + ("a" if name in _SAME_ROWS else "k")
         + " AS rows_out, 'OK' AS status FROM n"
         for i, name in enumerate((*_SAME_ROWS, *_AFTER))
-    ),
+    )
 )
+
+
+@query("m19_step_control", _STEP_SQL)
 def step_control(spark, sf):
     """Rows in and out of each step of one run, counted while the scored table is written."""
     inputs = _inputs(spark, sf)
@@ -192,3 +194,20 @@ def step_control(spark, sf):
     scored, seen = sb.apply_counted(inputs.scope, steps)
     written(scored, "scored")
     return sb.step_counts(spark, steps, seen)
+
+
+@query(
+    "m19_a19_step_durations",
+    f"SELECT *, 1 AS is_timed, 1.0::DOUBLE AS total_share, CAST(3 AS BIGINT) AS n_slowest FROM ({_STEP_SQL})",
+)
+def step_durations(spark, sf):
+    """One run written step by step, its report passed on to the duration shares."""
+    inputs = _inputs(spark, sf)
+    _, report = sb.apply_timed(inputs.scope, _steps(inputs), "run")
+    whole = Window.partitionBy("run_id")
+    return profiles.step_report(report).select(
+        "step", "position", "rows_in", "rows_out", "status",
+        (F.col("seconds") > 0).cast("int").alias("is_timed"),
+        F.round(F.sum("share").over(whole), 6).alias("total_share"),
+        F.sum("is_slowest").over(whole).alias("n_slowest"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from riskweave import rules
@@ -1163,13 +1165,72 @@ def correlations(spark, sf):
     )
 
 
-@query("m25_variance_inflation")
+def _determinant_sql(names: list[str]) -> str:
+    """The determinant of the correlation matrix of ``names``, as a sum over all permutations."""
+    n = len(names)
+    terms = []
+    for order in itertools.permutations(range(n)):
+        odd = sum(order[i] > order[j] for i in range(n) for j in range(i + 1, n)) % 2
+        cells = [f"c_{min(a, b)}_{max(a, b)}" for a, b in ((names[i], names[j]) for i, j in enumerate(order)) if a != b]
+        terms.append(("-" if odd else "+") + (" * ".join(cells) or "1"))
+    return " ".join(terms)
+
+
+_CELLS_SQL = ", ".join(
+    f"corr({a}, {c}) AS c_{min(a, c)}_{max(a, c)}" for i, a in enumerate(_NUMERIC) for c in _NUMERIC[i + 1 :]
+)
+# A diagonal cell of the inverse is the determinant without its row and column over the whole one.
+_VIF_SQL = f"WITH c AS (SELECT {_CELLS_SQL} FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, round(({_determinant_sql([n for n in _NUMERIC if n != name])})"
+    f" / ({_determinant_sql(_NUMERIC)}), 6) AS vif FROM c"
+    for name in _NUMERIC
+)
+
+
+@query("m25_variance_inflation", _VIF_SQL)
 def variance_inflation(spark, sf):
     return pf.variance_inflation(src.table(spark, sf, "lineitem"), _NUMERIC).withColumn(
         "vif", F.round("vif", 6)
     )
 
 
+_SCREENED = ("quantity", "price", "gross", "often_null", "nearly_same")
+_SCREEN_FROM = """SELECT l_quantity AS quantity, l_extendedprice AS price, l_extendedprice * (1 + l_tax) AS gross,
+  CASE WHEN l_quantity > 30 THEN l_discount END AS often_null,
+  CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS nearly_same,
+  CASE WHEN l_extendedprice > 30000 THEN 1 ELSE 0 END AS target FROM lineitem"""
+
+
+@query(
+    "m25_screening",
+    f"WITH f AS ({_SCREEN_FROM}), s AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, 1 - count({c}) / count(*) AS null_rate, abs(corr({c}, target)) AS relevance,"
+        f" (SELECT max(n) FROM (SELECT count(*) AS n FROM f WHERE {c} IS NOT NULL GROUP BY {c})) / count({c}) AS top_share"
+        " FROM f"
+        for c in _SCREENED
+    )
+    + """), p AS (SELECT corr(price, gross) AS c FROM f)
+SELECT feature, round(null_rate, 6) AS null_rate, round(top_share, 6) AS top_share, round(relevance, 6) AS relevance,
+  CASE WHEN null_rate > 0.5 THEN 'nulls' WHEN top_share > 0.95 THEN 'near constant'
+    WHEN feature IN ('price', 'gross') AND abs(c) > 0.95
+      AND relevance < (SELECT max(relevance) FROM s WHERE feature IN ('price', 'gross')) THEN 'correlated' END AS reason
+FROM s, p""",
+)
+def screened_features(spark, sf):
+    price = F.col("l_extendedprice")
+    rows = src.table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("quantity"),
+        price.alias("price"),
+        (price * (1 + F.col("l_tax"))).alias("gross"),
+        F.when(F.col("l_quantity") > 30, F.col("l_discount")).alias("often_null"),
+        F.when(F.col("l_partkey") % 50 == 0, 1).otherwise(0).alias("nearly_same"),
+        F.when(price > 30000, 1).otherwise(0).alias("target"),
+    )
+    found = pf.screening(rows, _SCREENED, "target")
+    return found.withColumns({c: F.round(c, 6) for c in ("null_rate", "top_share", "relevance")})
+
+
 @query(
     "m25_mutual_information",
     """WITH d AS (SELECT lang, source, quality FROM documents JOIN labels USING (doc_id)),

@@ -176,13 +176,17 @@ SELECT enterprise_id, category, CAST(netamount AS DOUBLE) AS netamount, nops_cat
 FROM grouped JOIN counted USING (enterprise_id) WHERE category IS NOT NULL"""
 
 
-@query("a01_category_totals", _A01_SQL)
-def category_totals(spark, sf):
+def movement_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals per enterprise and category of the current movements."""
     rows = _of_enterprises(
         spark, sf, _current(spark, sf).select("account_id", "category", "amount")
     )
-    totals = mv.totals_by_category(rows, "enterprise_id")
-    return as_double(totals, "netamount", "min_amount", "max_amount")
+    return mv.totals_by_category(rows, "enterprise_id")
+
+
+@query("a01_category_totals", _A01_SQL)
+def category_totals(spark, sf):
+    return as_double(movement_totals(spark, sf), "netamount", "min_amount", "max_amount")
 
 
 @query("o01_ordered_category_totals", _A01_SQL + " ORDER BY enterprise_id, category")
@@ -248,11 +252,12 @@ def one_row_per_category(spark, sf):
     )
 
 
-_MODEL_SQL = f"""{b.EVENT_TOTALS_SQL}, model_row AS (
+_MODEL_ROW_SQL = """model_row AS (
   SELECT *, CASE WHEN category IN ('attri_blocage', 'atd_tres_pub') THEN 'saisie'
                  ELSE category END AS model_category
   FROM event_total
 )"""
+_MODEL_SQL = f"{b.EVENT_TOTALS_SQL}, {_MODEL_ROW_SQL}"
 
 _MEASURE_SQL = {
     "netamount": "netamount",
@@ -310,7 +315,7 @@ def operation_sum(spark, sf):
     )
 
 
-_FLAG_SQL = f"""{_MODEL_SQL}, wide AS (
+_WIDE_FLAG_SQL = f"""wide AS (
   SELECT enterprise_id, {_WIDE_COLUMNS}, CAST(sum(nops_total) AS DOUBLE) AS nops
   FROM model_row GROUP BY 1
 ), flagged AS (
@@ -321,6 +326,16 @@ _FLAG_SQL = f"""{_MODEL_SQL}, wide AS (
     coalesce(interets__netamount / nullif(turnover__netamount, 0), 0) AS ratio
   FROM wide
 )"""
+_FLAG_SQL = f"{_MODEL_SQL}, {_WIDE_FLAG_SQL}"
+
+# The same flags from movements: categorised, current accounts, six months, cancelled ones removed.
+MOVEMENT_FLAG_SQL = f"""{_CURRENT_SQL}, grouped AS (
+  SELECT enterprise_id, category, sum(amount) AS netamount, count(amount) AS nops_category,
+         min(amount) AS min_amount, max(amount) AS max_amount
+  FROM owned GROUP BY enterprise_id, category
+), counted AS (SELECT enterprise_id, count(amount) AS nops_total FROM owned GROUP BY 1),
+event_total AS (SELECT * FROM grouped JOIN counted USING (enterprise_id) WHERE category IS NOT NULL),
+{_MODEL_ROW_SQL}, {_WIDE_FLAG_SQL}"""
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -215,7 +216,7 @@ def batch_csv_scoring(spark, sf):
 def _exported(spark, sf, file_format):
     path = _folder(spark, f"export-{file_format}")
     events = src.table(spark, sf, "events")
-    src.export_by_day(events, path, "ts", file_format)
+    src.export_by_period(events, path, "ts", file_format)
     schema = StructType([*events.schema.fields, StructField("day", StringType())])
     back = spark.read.schema(schema).format(file_format).load(path)
     return back.groupBy("day", "event_type").agg(
@@ -238,6 +239,30 @@ def export_json(spark, sf):
     return _exported(spark, sf, "json")
 
 
+def _weekly(spark, sf, folder):
+    """The events exported by week: the schema to read them back with."""
+    events = src.table(spark, sf, "events")
+    src.export_by_period(events, folder, "ts", period="week")
+    return StructType([*events.schema.fields, StructField("week", StringType())])
+
+
+_WEEK_SQL = """SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n,
+  CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events {} GROUP BY 1"""
+
+
+def _week_totals(rows):
+    return rows.groupBy("week").agg(
+        F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value")
+    )
+
+
+@query("s11_export_weekly", _WEEK_SQL.format(""))
+def export_weekly(spark, sf):
+    path = _folder(spark, "export-weekly")
+    schema = _weekly(spark, sf, path)
+    return _week_totals(spark.read.schema(schema).parquet(path))
+
+
 @query(
     "s12_embedding_store",
     """SELECT vec_id, label, len(embedding) AS width,
@@ -261,6 +286,17 @@ def retention(spark, sf):
     return _order_totals(src.retained(src.table(spark, sf, "orders"), "o_orderdate", b.AS_OF))
 
 
+@query(
+    "s13_purged_export", _WEEK_SQL.format("WHERE date_trunc('week', ts) >= date_trunc('week', DATE '2024-07-16' - INTERVAL 6 MONTH)")
+)
+def purged_export(spark, sf):
+    """What is left of a weekly export when the folders behind the retention are deleted."""
+    path = _folder(spark, "export-purged")
+    schema = _weekly(spark, sf, path)
+    src.purge_periods(spark, path, date(2024, 7, 16), period="week")
+    return _week_totals(spark.read.schema(schema).parquet(path))
+
+
 @query(
     "s14_masked_checkpoint",
     "SELECT sha256(CAST(c_custkey AS VARCHAR)) AS c_custkey, c_mktsegment, c_acctbal FROM customer",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -12,8 +13,11 @@ from riskweave import rules
 from riskweave.operators import scope, scoring
 from riskweave.operators import statements as st
 from riskweave.operators.movements import add_transaction_features
+from riskweave.session import written
 
 KEY = "enterprise_id"
+#: Letters of an error message that a step report keeps.
+MESSAGE_LETTERS = 500
 Step = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
@@ -149,3 +153,37 @@ def step_counts(spark, steps: Sequence[Step], seen: Sequence[Observation]) -> Da
     return spark.createDataFrame(
         rows, "step string, position int, rows_in long, rows_out long, status string"
     )
+
+
+def apply_timed(
+    df: DataFrame, steps: Sequence[Step], run_id: str
+) -> tuple[DataFrame | None, DataFrame]:
+    """Run the steps one after the other and report each one's rows, seconds and status.
+
+    Every step's table is written to the shared folder, so its time is its own and a later step
+    starts from it. A step that fails is FAILED with its message, those after it are SKIPPED, and
+    the result is None; a step without rows is EMPTY.
+    """
+    rows: list[tuple] = []
+    out: DataFrame | None = df
+    before = 0
+    for position, (name, step) in enumerate([("load", lambda d: d), *steps]):
+        if out is None:
+            rows.append((run_id, name, position, None, None, "SKIPPED", None, None))
+            continue
+        begun = time.perf_counter()
+        try:
+            out = written(step(out), f"step-{name}")
+            n = out.count()
+        except Exception as error:  # reported, not hidden: the run ends here
+            seconds, out = time.perf_counter() - begun, None
+            rows.append((run_id, name, position, before, None, "FAILED", seconds, str(error)[:MESSAGE_LETTERS]))
+            continue
+        seconds = time.perf_counter() - begun
+        rows.append((run_id, name, position, before if position else n, n, "OK" if n else "EMPTY", seconds, None))
+        before = n
+    report = df.sparkSession.createDataFrame(
+        rows,
+        "run_id string, step string, position int, rows_in long, rows_out long, status string, seconds double, message string",
+    )
+    return out, report

@@ -64,6 +64,36 @@ def hourly_windows(spark, sf):
     return out.select(_shown("window_start"), "n", "n_errors")
 
 
+_ARRIVALS = 4
+
+
+@query(
+    "t02_late_rows",
+    f"""WITH e AS (SELECT epoch_us(ts) AS us, event_id FROM events),
+b AS (SELECT min(us) AS lo, (max(us) - min(us)) // {_ARRIVALS} + 1 AS span FROM e),
+a AS (SELECT us, CAST((us - lo) // span + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS INT) AS batch FROM e, b),
+w AS (SELECT batch, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  - 3600000000 AS mark FROM a GROUP BY batch)
+SELECT batch, count(*) AS n_rows, count(*) FILTER (WHERE us < mark) AS n_late FROM a JOIN w USING (batch) GROUP BY batch""",
+)
+def late_rows(spark, sf):
+    """All events arrive in stretches of time, every tenth of them one stretch too late."""
+    events = src.table(spark, sf, "events").select(
+        *[F.col(f.name).cast(f.dataType) for f in mon.EVENT_SCHEMA.fields]
+    )
+    seen = F.unix_micros("ts")
+    ends = events.agg(F.min(seen).alias("first"), F.max(seen).alias("last")).first()
+    span = ((ends["last"] or 0) - (ends["first"] or 0)) // _ARRIVALS + 1
+    number = F.floor((seen - (ends["first"] or 0)) / span) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    folder, _ = mon.new_target(spark, "arrivals")
+    target, checkpoint = mon.new_target(spark, "late")
+    for n in range(_ARRIVALS + 1):
+        events.where(number == n).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(mon.EVENT_SCHEMA).parquet(folder)
+        counts = mon.late_row_counts(stream, "ts", 3600, target, checkpoint)
+    return counts.select("batch", "n_rows", "n_late")
+
+
 @query(
     "t03_sliding_week",
     f"""WITH d AS (SELECT unnest(generate_series(date_trunc('day', (SELECT min(ts) FROM events)) - INTERVAL 6 DAY,
@@ -158,7 +188,7 @@ def last_state_stream(spark, sf):
     def write(batch, number, target):
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = mon.last_state_stream(_events(spark, sf))
+    stream = mon.last_state(_events(spark, sf), "user_id", "ts", F.col("event_type"))
     target = mon.run_per_batch(stream, "state", write)
     rows = spark.read.schema(stream.schema).parquet(target)
     newest = rows.groupBy("user_id").agg(F.max(F.struct("n", "state", "last_seen")).alias("m"))
@@ -187,12 +217,14 @@ def incremental_export(spark, sf):
     f"""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER u >= ts - INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens
   FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+r AS (SELECT *, lead(event_id) OVER (PARTITION BY user_id, k ORDER BY ts, event_type) AS later FROM s),
 a AS (SELECT user_id, min(ts) AS b, max(ts) AS e, count(*) AS n,
-  sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, arg_max(event_type, ts) AS last FROM s GROUP BY user_id, k)
-SELECT user_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_start, n, CAST(errors AS BIGINT) AS n_errors,
+  sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, count(*) FILTER (WHERE event_type = 'error' AND later IS NOT NULL) AS n_retries,
+  arg_max(event_type, {{'t': ts, 'e': event_type}}) AS last FROM r GROUP BY user_id, k)
+SELECT user_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_start, n, CAST(errors AS BIGINT) AS n_errors, n_retries,
   CASE WHEN last = 'error' THEN 1 ELSE 0 END AS abandoned FROM a
 WHERE e + INTERVAL 6 HOUR <= {_CLOSED_SQL}""",
 )
 def user_sessions(spark, sf):
     out = mon.run_to_table(mon.user_sessions(_events(spark, sf), "6 hours"), "sessions")
-    return out.select("user_id", _shown("session_start"), "n", "n_errors", "abandoned")
+    return out.select("user_id", _shown("session_start"), "n", "n_errors", "n_retries", "abandoned")

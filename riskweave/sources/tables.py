@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,28 +106,47 @@ def score_csv(
     return spark.read.csv(target, schema=scored.schema, header=True)
 
 
-def export_by_day(
-    df: DataFrame, target: str, time: str, file_format: str = "parquet", files_per_day: int = 4
+def export_by_period(
+    df: DataFrame, target: str, time: str, file_format: str = "parquet", files_per_period: int = 4, period: str = "day"
 ) -> None:
-    """Rewrite only the day folders present in ``df``.
+    """Rewrite only the folders of the days, weeks or months present in ``df``.
 
-    The rows of a day are dealt to ``files_per_day`` tasks at most, by a hash of the whole row, so
-    a day has few files and a busy day is not one task.
+    A folder is named ``<period>=<its first day>``. The rows of a period are dealt to
+    ``files_per_period`` tasks at most, by a hash of the whole row, so a period has few files and a
+    busy one is not one task.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_period))
     (
-        df.withColumn("day", F.to_date(time))
+        df.withColumn(period, F.to_date(F.date_trunc(period, time)))
         .withColumn("_salt", salt)
-        .repartition("day", "_salt")
+        .repartition(period, "_salt")
         .drop("_salt")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
+        .partitionBy(period)
         .format(file_format)
         .save(target)
     )
 
 
+def purge_periods(spark: SparkSession, target: str, as_of: date, months: int = 6, period: str = "day") -> list[str]:
+    """Delete the folders of an export that lie wholly behind the retention; their names.
+
+    A week or month that the limit cuts stays. Works on the names alone: no row is read, and folders
+    of other names are left.
+    """
+    limit = F.to_date(F.date_trunc(period, F.add_months(F.lit(as_of), -months)))
+    oldest = spark.range(1).select(limit).first()[0].isoformat()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(target)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in store.listStatus(root)]
+    old = sorted(n for n in names if re.fullmatch(rf"{period}=\d{{4}}-\d\d-\d\d", n) and n.split("=")[1] < oldest)
+    for name in old:
+        store.delete(path(root, name), True)
+    return old
+
+
 def retained(df: DataFrame, time: str, as_of: date, months: int = 6) -> DataFrame:
     """Rows to keep under a retention of ``months`` months."""
     return df.where(F.col(time) >= F.add_months(F.lit(as_of), -months))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -75,8 +74,15 @@ def run_per_batch(
 
     The folder of a batch is named after its id, so a repeated batch overwrites itself.
     """
-    spark = stream.sparkSession
-    target, checkpoint = new_target(spark, name)
+    target, checkpoint = new_target(stream.sparkSession, name)
+    drain(stream, write, target, checkpoint, mode)
+    return target
+
+
+def drain(
+    stream: DataFrame, write: Callable[[DataFrame, int, str], None], target: str, checkpoint: str, mode: str
+) -> None:
+    """Run ``write`` on every batch of the data that is there; a rerun continues after it."""
     writer: DataStreamWriter = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -84,7 +90,6 @@ def run_per_batch(
         .foreachBatch(lambda batch, number: write(batch, number, target))
     )
     writer.start().awaitTermination()
-    return target
 
 
 # --------------------------------------------------------------------------- windows
@@ -118,6 +123,34 @@ def windowed_kpis(
     )
 
 
+def late_row_counts(
+    stream: DataFrame, time: str, delay_seconds: int, target: str, checkpoint: str
+) -> DataFrame:
+    """Rows and late rows of each micro-batch: batch, n_rows, n_late, newest (microseconds).
+
+    A row is late if it is older than the newest row of all batches before, less the delay: the
+    rows that an operator with a watermark of that delay may drop. A batch writes one row to a
+    folder named after its id, so a repeated batch counts once, and a rerun with the same folders
+    goes on after the last batch.
+    """
+    columns = "batch int, n_rows long, n_late long, newest long"
+    seen = F.unix_micros(F.col(time).cast("timestamp"))
+
+    def write(batch: DataFrame, number: int, _: str) -> None:
+        newest = None
+        if number:
+            before = batch.sparkSession.read.schema(columns).parquet(target).where(F.col("batch") < number)
+            newest = before.agg(F.max("newest")).first()[0]
+        late = F.lit(False) if newest is None else seen < newest - delay_seconds * 1_000_000
+        counts = batch.agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_if(late).alias("n_late"), F.max(seen).alias("newest")
+        )
+        counts.write.mode("overwrite").parquet(os.path.join(target, f"batch={number}"))
+
+    drain(stream, write, target, checkpoint, "append")
+    return stream.sparkSession.read.schema(columns).parquet(target)
+
+
 # ---------------------------------------------------------------------------- alerts
 
 
@@ -189,55 +222,22 @@ def without_duplicates(
 
 
 def last_state(events: DataFrame, key: str, time: str, value: Column) -> DataFrame:
-    """Newest value per key of a static table; the map side keeps one row per key."""
+    """Newest value per key and number of rows; the map side keeps one row per key.
+
+    Over a stream this is the state per key, in update mode: a row for every key a micro-batch
+    touched. The state holds one row per key and, like the table it stands for, never expires.
+    """
     newest = F.max(F.struct(F.col(time), value.alias("state"))).alias("m")
     return events.groupBy(key).agg(newest, F.count("*").alias("n")).select(
         key, F.col("m.state").alias("state"), F.col(f"m.{time}").alias("last_seen"), "n"
     )
 
 
-_STATE_OUT = "user_id long, state string, last_seen timestamp, n long"
-_STATE_KEPT = "state string, last_seen timestamp, n long"
-
-
-def _newest_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Newest event and count per user of each batch, before anything is shuffled."""
-    for batch in batches:
-        ordered = batch.sort_values(["ts", "event_type"])
-        newest = ordered.groupby("user_id", sort=False).agg(
-            ts=("ts", "last"), event_type=("event_type", "last"), n=("ts", "size")
-        )
-        yield newest.reset_index()
-
-
-def last_state_stream(events: DataFrame) -> DataFrame:
-    """Newest event type per user as state; one row per user and micro-batch that touched it.
+def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """Activity sessions per user: events, errors, retries and whether the last word was an error.
 
-    A task sends one row per user and batch on, so a busy user is a few rows for the state.
+    A retry is an error after which the user went on in the same session.
     """
-
-    def update(key, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kind, seen, n = state.get if state.exists else (None, None, 0)
-        for piece in pieces:
-            newest = piece.sort_values(["ts", "event_type"]).iloc[-1]
-            n += int(piece["n"].sum())
-            if seen is None or (newest["ts"], newest["event_type"]) > (pd.Timestamp(seen), kind):
-                kind, seen = newest["event_type"], newest["ts"].to_pydatetime()
-        state.update((kind, seen, n))
-        yield pd.DataFrame(
-            {"user_id": [key[0]], "state": [kind], "last_seen": [seen], "n": [n]}
-        )
-
-    return (
-        events.select("user_id", "ts", "event_type")
-        .mapInPandas(_newest_of, "user_id long, ts timestamp, event_type string, n long")
-        .groupBy("user_id")
-        .applyInPandasWithState(update, _STATE_OUT, _STATE_KEPT, "update", "NoTimeout")
-    )
-
-
-def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Activity sessions per user: events, errors and whether the last word was an error."""
     return (
         events.withWatermark("ts", delay)
         .groupBy("user_id", F.session_window("ts", gap).alias("s"))
@@ -252,6 +252,7 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 ho
             F.col("s.end").alias("session_end"),
             "n",
             "n_errors",
+            (F.col("n_errors") - (F.col("last_type") == "error").cast("int")).alias("n_retries"),
             (F.col("last_type") == "error").cast("int").alias("abandoned"),
         )
     )

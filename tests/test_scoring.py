@@ -224,3 +224,24 @@ def test_group_resolution_matches_the_union_of_branches(spark):
     union = parts[0].unionByName(parts[1]).unionByName(parts[2])
     assert {r.e: r.g for r in union.collect()} == got and union.count() == 4
     assert {r.e: r.g for r in scope.resolve_groups(links, "e", "g", False).collect()}["D"] == 2
+
+
+def test_steps_are_timed_and_a_failure_ends_the_run(spark):
+    from riskweave.plans import scoring_batch as sb
+
+    steps = [
+        ("halved", lambda d: d.where("id % 2 = 0")),
+        ("none", lambda d: d.where("id < 0")),
+        ("broken", lambda d: d.select("missing")),
+        ("after", lambda d: d),
+    ]
+    done, report = sb.apply_timed(spark.range(10), steps[:1], "a")
+    assert done.count() == 5
+    out, report = sb.apply_timed(spark.range(10), steps, "b")
+    rows = report.orderBy("position").collect()
+    assert out is None
+    assert [(r.step, r.rows_in, r.rows_out, r.status) for r in rows] == [
+        ("load", 10, 10, "OK"), ("halved", 10, 5, "OK"), ("none", 5, 0, "EMPTY"),
+        ("broken", 0, None, "FAILED"), ("after", None, None, "SKIPPED"),
+    ]
+    assert "missing" in rows[3].message and all(r.seconds > 0 for r in rows[:4])

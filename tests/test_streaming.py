@@ -58,7 +58,7 @@ def test_last_state_over_batches(spark, three_files):
     def write_batch(batch, number, target):
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    live = mon.last_state_stream(stream(spark, three_files))
+    live = mon.last_state(stream(spark, three_files), "user_id", "ts", F.col("event_type"))
     target = mon.run_per_batch(live, "l", write_batch)
     rows = spark.read.schema(live.schema).parquet(target)
     newest = {r.user_id: (r.m.n, r.m.state, r.m.last_seen) for r in rows.groupBy("user_id").agg(
@@ -82,7 +82,21 @@ def test_sessions(spark, tmp_path):
     folder = str(tmp_path / "e")
     write(spark, folder, [event(1, 0), event(2, 0.2), event(3, 2, kind="error"), event(4, 30, user=9)])
     out = mon.run_to_table(mon.user_sessions(stream(spark, folder)), "u").orderBy("session_start").collect()
-    assert [(r.n, r.n_errors, r.abandoned) for r in out] == [(2, 0, 0), (1, 1, 1)]
+    assert [(r.n, r.n_errors, r.n_retries, r.abandoned) for r in out] == [(2, 0, 0, 0), (1, 1, 0, 1)]
+
+
+def test_an_error_before_further_events_is_a_retry(spark, tmp_path):
+    folder = str(tmp_path / "e")
+    write(spark, folder, [event(1, 0, kind="error"), event(2, 0.1, kind="error"), event(3, 0.2), event(4, 30, user=9)])
+    out = mon.run_to_table(mon.user_sessions(stream(spark, folder)), "u").collect()
+    assert [(r.n_errors, r.n_retries, r.abandoned) for r in out] == [(2, 2, 0)]
+
+
+def test_late_rows_are_counted_once(spark, three_files):
+    target, checkpoint = mon.new_target(spark, "late")
+    for _ in range(2):
+        got = mon.late_row_counts(stream(spark, three_files), "ts", 3600, target, checkpoint)
+        assert sorted((r.batch, r.n_rows, r.n_late) for r in got.collect()) == [(0, 3, 0), (1, 3, 0), (2, 2, 1)]
 
 
 def test_feedback_within_the_bound(spark, tmp_path):
