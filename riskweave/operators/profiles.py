@@ -361,12 +361,16 @@ def screening(
     rows = written(shares.join(relevance, "feature", "left").withColumn("_basic", basic), "screening-rows")
     strong = pairs.where(
         (F.col("right") != target) & (F.abs("correlation") > max_correlation)
-    ).agg(F.collect_list(F.struct("left", "right")).alias("strong"))
-    known = F.coalesce("relevance", F.lit(-1.0))
-    ordered = rows.where(F.col("_basic").isNull()).agg(
-        F.array_sort(F.collect_list(F.struct((-known).alias("r"), F.col("feature").alias("name")))).alias("names")
     )
-    kept = ordered.join(strong, F.lit(True)).select(
+    known = F.coalesce("relevance", F.lit(-1.0))
+    names = rows.where(F.col("_basic").isNull()).select(
+        F.struct((-known).alias("r"), F.col("feature").alias("name")).alias("name")
+    )
+    # One row holds the names in order of relevance and the strong pairs; nulls are not collected.
+    both = names.unionByName(strong.select(F.struct("left", "right").alias("pair")), allowMissingColumns=True)
+    kept = both.agg(
+        F.array_sort(F.collect_list("name")).alias("names"), F.collect_list("pair").alias("strong")
+    ).select(
         F.explode(
             F.aggregate(
                 "names",
