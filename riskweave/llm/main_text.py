@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,35 +33,57 @@ BESIDE = re.compile(
     r"(?:$|[\s_-])",
     re.IGNORECASE,
 )
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Blocks that hold the parts of one list, table or paragraph; other blocks hold whole contents.
+PARTS = HEADINGS | frozenset(
+    "address blockquote caption dd details dl dt figcaption figure hgroup legend li ol option p pre summary table "
+    "tbody td tfoot th thead tr ul".split()
+)
+#: Characters from which an unlinked line counts as a paragraph whatever the page's threshold.
+PARAGRAPH = 80
 #: Standard deviation of the Gaussian in lines, and the share of the largest smoothed ratio that
 #: starts the two clusters' means.
 SIGMA = 1.0
 _SPACE = re.compile(r"\s+")
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    links: int
+    region: int
+    block: int
+    tag: str
+
+
 class _Lines(HTMLParser):
-    """Parser events to lines: (text, tags, linked characters, region), a line per block.
+    """Parser events to lines, a line per block of text.
 
-    ``region`` is a number that changes with each outermost article or main element; lines outside
+    ``linked`` counts the characters in links, ``links`` the links, ``block`` is the number of the
+    innermost open block (``blocks`` has the tag and the number of the parent of each, 0 is the page)
+    and ``tag`` its element. ``region`` is a number that changes with each outermost article or main element; lines outside
     have region -1. Text in skipped elements, and in elements whose class, id or role names a part
     beside the article, makes no line but counts its tags.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self._open: list[tuple[str, bool, bool]] = []
+        self.lines: list[Line] = []
+        self.blocks: list[tuple[str, int]] = [("", 0)]
+        self._open: list[tuple[str, bool, bool, int]] = []
         self._text: list[str] = []
-        self._tags = self._linked = self._skip = self._links = self._inside = 0
+        self._tags = self._linked = self._met = self._skip = self._links = self._inside = self._block = 0
         self._region = -1
         self._regions = 0
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self._text)).strip()
         if text:
-            self.lines.append((text, self._tags, self._linked, self._region))
+            tag = self.blocks[self._block][0]
+            self.lines.append(Line(text, self._tags, self._linked, self._met, self._region, self._block, tag))
             self._tags = 0
-        self._text, self._linked = [], 0
+        self._text, self._linked, self._met = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
@@ -70,9 +94,10 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         if tag == "body":  # ends a head that was left open
-            self._open, self._skip, self._links = [], 0, 0
+            self._open, self._skip, self._links, self._block = [], 0, 0, 0
         if tag == "a":
             self._links += 1
+            self._met += not self._skip
         header = tag == "header" and not self._inside
         beside = tag in SKIPPED or header
         if not beside and attrs and tag not in REGIONS and tag not in ("html", "body"):
@@ -85,7 +110,10 @@ class _Lines(HTMLParser):
             if self._inside == 1:
                 self._region, self._regions = self._regions, self._regions + 1
         self._skip += beside
-        self._open.append((tag, beside, region))
+        self._open.append((tag, beside, region, self._block))
+        if tag in BLOCKS:
+            self.blocks.append((tag, self._block))
+            self._block = len(self.blocks) - 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -96,10 +124,10 @@ class _Lines(HTMLParser):
         self._tags += 1
         if tag in BLOCKS:
             self.end_line()
-        if all(name != tag for name, _, _ in reversed(self._open)):
+        if all(name != tag for name, *_ in reversed(self._open)):
             return
         while self._open:
-            name, beside, region = self._open.pop()
+            name, beside, region, self._block = self._open.pop()
             self._skip -= beside
             if name == "a":
                 self._links -= 1
@@ -146,14 +174,67 @@ def threshold(values: np.ndarray) -> float:
         low, high = new_low, new_high
 
 
+def link_heavy(line: Line) -> bool:
+    """More than half of the characters are linked; a heading is never link-heavy."""
+    return line.tag not in HEADINGS and 2 * line.linked > len(line.text)
+
+
+def container(blocks: list[tuple[str, int]], starts: set[int]) -> int:
+    """The innermost block around all ``starts`` that holds whole contents."""
+
+    def path(block: int) -> list[int]:
+        out = [block]
+        while block:
+            block = blocks[block][1]
+            out.append(block)
+        return out[::-1]
+
+    first, *others = (path(b) for b in starts)
+    for other in others:
+        same = 0
+        while same < min(len(first), len(other)) and first[same] == other[same]:
+            same += 1
+        first = first[:same]
+    while blocks[first[-1]][0] in PARTS:
+        first.pop()
+    return first[-1]
+
+
+def around(lines: list[Line], blocks: list[tuple[str, int]], upper: list[bool]) -> list[Line]:
+    """The lines of the block container of the content, without its link-heavy parts.
+
+    Content shows in the lines of the upper cluster, in unlinked paragraphs and in the h1; the
+    container around them stays entire, with the headings directly before it. Only stretches of
+    link-heavy lines with two links or more are left out.
+    """
+    seeds = [n for n, line in enumerate(lines) if not link_heavy(line) and (
+        upper[n] or line.tag == "h1" or len(line.text) - line.linked >= PARAGRAPH
+    )] or [n for n, u in enumerate(upper) if u]
+    root = container(blocks, {blocks[lines[n].block][1] for n in seeds})
+    inside = [False] * len(blocks)
+    for block, (_, parent) in enumerate(blocks):
+        inside[block] = block == root or inside[parent]
+    keep = [inside[line.block] for line in lines]
+    first = keep.index(True)
+    while first and lines[first - 1].tag in HEADINGS:
+        first -= 1
+        keep[first] = True
+    out: list[Line] = []
+    for heavy, stretch in groupby((line for line, k in zip(lines, keep) if k), key=link_heavy):
+        part = list(stretch)
+        if not heavy or sum(line.links for line in part) < 2:
+            out += part
+    return out or [line for line, k in zip(lines, keep) if k]
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the selected regions, joined by two line feeds; empty if there are none.
 
     Each line has a ratio of its unlinked characters to its tags. Ratios are smoothed, and a
-    threshold splits the lines into two clusters. A region (an outermost article or main element, or
-    where a page has none a run of lines in the upper cluster) is content if one of its lines is in
-    the upper cluster of its page; of a page whose articles are all below, the highest is. All
-    lines of a content region stay. Malformed markup is read as far as it goes.
+    threshold splits the lines into two clusters. An outermost article or main element is content if
+    one of its lines is in the upper cluster of its page; of a page whose articles are all below, the
+    highest is. A page without one has the container that ``around`` finds. All lines of a content
+    region stay. Malformed markup is read as far as it goes.
     """
     parser = _Lines()
     parser.feed(html or "")
@@ -162,17 +243,17 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = np.array([(len(t) - min(linked, len(t))) / max(1, tags) for t, tags, linked, _ in lines])
+    ratios = np.array([(len(x.text) - min(x.linked, len(x.text))) / max(1, x.tags) for x in lines])
     values = smoothed(ratios)
     upper = values >= threshold(values)
-    regions = np.array([r for *_, r in lines])
+    regions = np.array([x.region for x in lines])
     if (regions >= 0).any():
         chosen = set(regions[upper & (regions >= 0)].tolist())
         if not chosen:
             inside = np.where(regions >= 0, values, -np.inf)
             chosen = {int(regions[int(inside.argmax())])}
-        return "\n\n".join(t for (t, *_), r in zip(lines, regions.tolist()) if r in chosen)
-    return "\n\n".join(t for (t, *_), u in zip(lines, upper.tolist()) if u)
+        return "\n\n".join(x.text for x in lines if x.region in chosen)
+    return "\n\n".join(x.text for x in around(lines, parser.blocks, upper.tolist()))
 
 
 def extract(df: DataFrame, html: str, name: str = "text") -> DataFrame:

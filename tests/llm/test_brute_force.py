@@ -413,6 +413,25 @@ def test_page_without_article():
     assert [x.split()[-1] for x in got.split("\n\n")][:8] == [str(n) for n in range(8)] and "Item 5" not in got
 
 
+def test_uneven_paragraphs_without_article():
+    sizes = (60, 300, 250, 40, 280, 300, 200, 260, 310, 2500, 300, 200)
+    texts = [f"{n} ".ljust(size, "x") for n, size in enumerate(sizes)]
+    menu = "<ul>" + "".join(f"<li><a href=/{n}>Item {n}</a></li>" for n in range(20)) + "</ul>"
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    for page in (body, f"<body>{body}", f"{menu}<div>{body}</div>{menu}", f"<body>{menu}{body}{menu}</body>"):
+        assert main_text.main_text(page) == "\n\n".join(texts)
+    apart = "".join(f"<div><p>{t}</p></div>" for t in (*texts, "y" * 5_000))
+    assert main_text.main_text(f"{menu}<div>{apart}</div>{menu}") == "\n\n".join([*texts, "y" * 5_000])
+    # Headings, short list items and a lone link stay in place.
+    title = "A heading of some sixty characters above all the paragraphs"
+    parts = f"<h2><a href=/>Part</a></h2><p>{'b' * 300}</p><ul><li>one</li><li>two</li></ul><p><a href=/>See</a></p><p>{'c' * 300}</p>"
+    eight = "".join(f"<p>{'a' * 300}</p>" for _ in range(8))
+    want = "\n\n".join([title, *["a" * 300] * 8, "Part", "b" * 300, "one", "two", "See", "c" * 300])
+    assert main_text.main_text(f"<div><h1>{title}</h1>{eight}{parts}</div>") == want
+    assert main_text.main_text(f"{menu}<h2>{title}</h2><div>{eight}{parts}</div>{menu}") == want
+    assert main_text.main_text(f"{menu}<h1>{title}</h1><p>By x</p><div>{eight}{parts}</div>{menu}") == want.replace(title, title + "\n\nBy x")
+
+
 def test_odd_pages(spark):
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p></p><!-- x") == ""
     assert main_text.main_text("<article>one</article><article>two</article>") in ("one\n\ntwo", "one", "two")
