@@ -52,6 +52,7 @@ class Line(NamedTuple):
     tags: int
     linked: int
     links: int
+    unlinked: bool
     region: int
     block: int
     tag: str
@@ -60,9 +61,10 @@ class Line(NamedTuple):
 class _Lines(HTMLParser):
     """Parser events to lines, a line per block of text.
 
-    ``linked`` counts the characters in links, ``links`` the links, ``block`` is the number of the
-    innermost open block (``blocks`` has the tag and the number of the parent of each, 0 is the page)
-    and ``tag`` its element. ``region`` is a number that changes with each outermost article or main element; lines outside
+    ``linked`` counts the characters in links, ``links`` the links, ``unlinked`` tells of a letter or
+    digit outside links, ``block`` is the number of the innermost open block (``blocks`` has the tag
+    and the number of the parent of each, 0 is the page) and ``tag`` its element. ``region`` is a
+    number that changes with each outermost article or main element; lines outside
     have region -1. Text in skipped elements, and in elements whose class, id or role names a part
     beside the article, makes no line but counts its tags.
     """
@@ -74,6 +76,7 @@ class _Lines(HTMLParser):
         self._open: list[tuple[str, bool, bool, int]] = []
         self._text: list[str] = []
         self._tags = self._linked = self._met = self._skip = self._links = self._inside = self._block = 0
+        self._plain = False
         self._region = -1
         self._regions = 0
 
@@ -81,9 +84,9 @@ class _Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self._text)).strip()
         if text:
             tag = self.blocks[self._block][0]
-            self.lines.append(Line(text, self._tags, self._linked, self._met, self._region, self._block, tag))
+            self.lines.append(Line(text, self._tags, self._linked, self._met, self._plain, self._region, self._block, tag))
             self._tags = 0
-        self._text, self._linked, self._met = [], 0, 0
+        self._text, self._linked, self._met, self._plain = [], 0, 0, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
@@ -149,6 +152,8 @@ class _Lines(HTMLParser):
         self._text.append(data)
         if self._links > 0:
             self._linked += len(data)
+        else:
+            self._plain = self._plain or any(c.isalnum() for c in data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -230,11 +235,11 @@ def around(lines: list[Line], blocks: list[tuple[str, int]], upper: list[bool])
 def main_text(html: str | None) -> str:
     """The blocks of the selected regions, joined by two line feeds; empty if there are none.
 
-    Each line has a ratio of its unlinked characters to its tags. Ratios are smoothed, and a
-    threshold splits the lines into two clusters. An outermost article or main element is content if
-    one of its lines is in the upper cluster of its page; of a page whose articles are all below, the
-    highest is. A page without one has the container that ``around`` finds. All lines of a content
-    region stay. Malformed markup is read as far as it goes.
+    Every outermost article or main element with unlinked text is content and stays whole; those
+    whose letters and digits are all linked stay only where the page has no other. On a page without
+    such an element each line has a ratio of its unlinked characters to its tags. Ratios are
+    smoothed, a threshold splits the lines into two clusters, and the container that ``around``
+    finds for the upper one is content. Malformed markup is read as far as it goes.
     """
     parser = _Lines()
     parser.feed(html or "")
@@ -243,16 +248,13 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
+    inside = [line for line in lines if line.region >= 0]
+    if inside:
+        chosen = {line.region for line in inside if line.unlinked}
+        return "\n\n".join(line.text for line in inside if not chosen or line.region in chosen)
     ratios = np.array([(len(x.text) - min(x.linked, len(x.text))) / max(1, x.tags) for x in lines])
     values = smoothed(ratios)
     upper = values >= threshold(values)
-    regions = np.array([x.region for x in lines])
-    if (regions >= 0).any():
-        chosen = set(regions[upper & (regions >= 0)].tolist())
-        if not chosen:
-            inside = np.where(regions >= 0, values, -np.inf)
-            chosen = {int(regions[int(inside.argmax())])}
-        return "\n\n".join(x.text for x in lines if x.region in chosen)
     return "\n\n".join(x.text for x in around(lines, parser.blocks, upper.tolist()))
 
 

@@ -432,6 +432,15 @@ def test_uneven_paragraphs_without_article():
     assert main_text.main_text(f"{menu}<h1>{title}</h1><p>By x</p><div>{eight}{parts}</div>{menu}") == want.replace(title, title + "\n\nBy x")
 
 
+def test_every_article_stays():
+    assert main_text.main_text("<article>one</article><article>two</article>") == "one\n\ntwo"
+    long = "l" * 3_000
+    page = f"<article><p>{long}</p><p>{long}</p></article><div>apart</div><article><p>short</p></article><main><h2>m</h2></main>"
+    assert main_text.main_text(page) == f"{long}\n\n{long}\n\nshort\n\nm"
+    assert main_text.main_text(f"<article><a href=/>Next</a> &raquo;</article>{page}") == f"{long}\n\n{long}\n\nshort\n\nm"
+    assert main_text.main_text("<p>x</p><article><a href=/>A</a></article><article><a href=/>B</a></article>") == "A\n\nB"
+
+
 def test_odd_pages(spark):
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p></p><!-- x") == ""
     assert main_text.main_text("<article>one</article><article>two</article>") in ("one\n\ntwo", "one", "two")
