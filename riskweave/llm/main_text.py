@@ -25,14 +25,32 @@ SKIPPED = frozenset(
 #: Elements that hold the article itself.
 REGIONS = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id and role that name parts beside the article.
+#: Whole tokens of class, id and role that name parts beside the article.
 BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|disclaimer|footer|form|"
-    r"masthead|menu|nav|navbar|navigation|newsletter|notice|notices|popup|promo\w*|related|replies|respond|search|"
-    r"share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|alert)"
-    r"(?:$|[\s_-])",
+    r"ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|disclaimer|footer|form|masthead|menu|nav|navbar|"
+    r"navigation|newsletter|notice|notices|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|signup|"
+    r"skip|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|alert|"
+    r"(?:cookie|site|privacy)-(?:notice|banner|bar)|(?:comment|comments)-(?:list|area|section|form)|"
+    r"(?:related|popular|recent)-(?:posts|articles|stories|links)|(?:share|social|sharing)-(?:buttons|links|icons|bar)|"
+    r"(?:ad|ads|advert)-(?:container|wrapper|slot|unit|box|banner)|(?:site|page|main)-(?:footer|nav|navigation|menu)|"
+    r"nav-(?:menu|links|bar)|newsletter-(?:form|signup|box)|skip-(?:link|to-content)|search-form",
     re.IGNORECASE,
 )
+#: Names of parts whose own articles are readers' comments.
+REPLIES = re.compile(r"comments?|replies|respond|disqus|(?:comment|comments)-(?:list|area|section)", re.IGNORECASE)
+#: What a start tag ends, by its group: the open elements that end, and those that are not looked behind.
+_PARAGRAPH_ENDS = BLOCKS - frozenset("body caption dd dt html legend li option tbody td tfoot th thead title tr".split())
+_ITEMS = BLOCKS - frozenset(("address", "div", "p"))
+_ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "li": (frozenset(("li",)), _ITEMS),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), _ITEMS)),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))),
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th", "caption")), frozenset(("table", "tr")))),
+    "tr": (frozenset(("tr", "caption")), frozenset(("table", "tbody", "thead", "tfoot"))),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(("tbody", "thead", "tfoot", "caption")), frozenset(("table",)))),
+}
+_P = frozenset(("p",))
+_NOT_P = BLOCKS - _P | frozenset(("button", "object"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Blocks that hold the parts of one list, table or paragraph; other blocks hold whole contents.
 PARTS = HEADINGS | frozenset(
@@ -58,65 +76,118 @@ class Line(NamedTuple):
     tag: str
 
 
+class _Beside:
+    """An open or past element that may be left out with all it holds."""
+
+    __slots__ = ("parent", "kind", "holds", "length")
+
+    def __init__(self, parent: int, kind: str) -> None:
+        self.parent, self.kind, self.holds, self.length = parent, kind, False, 0
+
+
 class _Lines(HTMLParser):
-    """Parser events to lines, a line per block of text.
+    """Parser events to lines, a line per block of text; a start tag ends what HTML lets it end.
 
     ``linked`` counts the characters in links, ``links`` the links, ``unlinked`` tells of a letter or
     digit outside links, ``block`` is the number of the innermost open block (``blocks`` has the tag
     and the number of the parent of each, 0 is the page) and ``tag`` its element. ``region`` is a
-    number that changes with each outermost article or main element; lines outside
-    have region -1. Text in skipped elements, and in elements whose class, id or role names a part
-    beside the article, makes no line but counts its tags.
+    number that changes with each outermost article or main element; lines outside have region -1.
+
+    Text in skipped elements, and in elements whose class, id or role names a part beside the
+    article, makes no line but counts its tags. An element that holds an article or main element is
+    not left out; comment lists and templates, whose articles are not the page's, only stay if no
+    other region has text. A form that holds most of the text is the page and stays.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[Line] = []
         self.blocks: list[tuple[str, int]] = [("", 0)]
-        self._open: list[tuple[str, bool, bool, int]] = []
-        self._text: list[str] = []
-        self._tags = self._linked = self._met = self._skip = self._links = self._inside = self._block = 0
-        self._plain = False
+        self._raw: list[tuple[list[tuple[str, int, int]], int, int, int]] = []
+        self._besides = [_Beside(0, "page")]
+        self._open: list[tuple[str, bool, int, int]] = []
+        self._text: list[tuple[str, int, int]] = []
+        self._tags = self._links = self._inside = self._block = self._beside = 0
+        self._link = 0
         self._region = -1
         self._regions = 0
 
     def end_line(self) -> None:
-        text = _SPACE.sub(" ", "".join(self._text)).strip()
-        if text:
-            tag = self.blocks[self._block][0]
-            self.lines.append(Line(text, self._tags, self._linked, self._met, self._plain, self._region, self._block, tag))
+        if self._text:
+            self._raw.append((self._text, self._tags, self._region, self._block))
             self._tags = 0
-        self._text, self._linked, self._met, self._plain = [], 0, 0, False
+            self._text = []
+
+    def _pop(self) -> str:
+        name, region, self._block, self._beside = self._open.pop()
+        if name == "a":
+            self._links -= 1
+        if region:
+            self._inside -= 1
+            if not self._inside:
+                self._region = -1
+        return name
+
+    def _end_until(self, ends: frozenset[str], bounds: frozenset[str]) -> None:
+        """Ends the innermost open element of ``ends``, unless one of ``bounds`` lies above it."""
+        for n in range(len(self._open) - 1, -1, -1):
+            name = self._open[n][0]
+            if name in ends:
+                self.end_line()
+                while len(self._open) > n:
+                    self._pop()
+                return
+            if name in bounds:
+                return
+
+    def _kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """What an element is that may be left out: form, replies or other; empty if it may not."""
+        if tag in REGIONS or tag in ("html", "body"):
+            return ""
+        keys = ("class", "role") if tag in HEADINGS else ("class", "id", "role")
+        tokens = [t for k, v in attrs if v and k in keys for t in v.split()]
+        if tag == "template" or any(REPLIES.fullmatch(t) for t in tokens):
+            return "replies"
+        if tag == "form":
+            tokens = [t for t in tokens if t.lower() != "form"]
+        if "hidden" in [k for k, _ in attrs] or any(BESIDE.fullmatch(t) for t in tokens):
+            return "other"
+        if tag == "form":
+            return "form"
+        return "other" if tag in SKIPPED or (tag == "header" and not self._inside) else ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
         if tag in BLOCKS:
             self.end_line()
+        if tag in _PARAGRAPH_ENDS:
+            self._end_until(_P, _NOT_P)
+        if tag in _ENDS:
+            self._end_until(*_ENDS[tag])
         if tag == "br":
-            self._text.append(" ")
+            self._text.append((" ", self._beside, 0))
         if tag in VOID:
             return
         if tag == "body":  # ends a head that was left open
-            self._open, self._skip, self._links, self._block = [], 0, 0, 0
+            self._open, self._links, self._block, self._beside = [], 0, 0, 0
         if tag == "a":
             self._links += 1
-            self._met += not self._skip
-        header = tag == "header" and not self._inside
-        beside = tag in SKIPPED or header
-        if not beside and attrs and tag not in REGIONS and tag not in ("html", "body"):
-            names = [v for k, v in attrs if v and k in ("class", "id", "role")]
-            keys = [k for k, _ in attrs]
-            beside = "hidden" in keys or any(BESIDE.search(v) for v in names)
+            self._link += 1
         region = tag in REGIONS
         if region:
+            above = self._beside
+            while above and not self._besides[above].holds:
+                self._besides[above].holds = True
+                above = self._besides[above].parent
             self._inside += 1
             if self._inside == 1:
                 self._region, self._regions = self._regions, self._regions + 1
-        self._skip += beside
-        self._open.append((tag, beside, region, self._block))
+        self._open.append((tag, region, self._block, self._beside))
         if tag in BLOCKS:
             self.blocks.append((tag, self._block))
             self._block = len(self.blocks) - 1
+        if kind := self._kind(tag, attrs):
+            self._besides.append(_Beside(self._beside, kind))
+            self._beside = len(self._besides) - 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -130,30 +201,59 @@ class _Lines(HTMLParser):
         if all(name != tag for name, *_ in reversed(self._open)):
             return
         while self._open:
-            name, beside, region, self._block = self._open.pop()
-            self._skip -= beside
-            if name == "a":
-                self._links -= 1
-            if region:
-                self._inside -= 1
-                if not self._inside:
-                    self._region = -1
-            if name == tag:
+            if self._pop() == tag:
                 return
 
     def close(self) -> None:
         if self.rawdata.startswith("<!--"):  # a comment left open goes on to the end
             self.rawdata = ""
         super().close()
+        self.end_line()
 
     def handle_data(self, data: str) -> None:
-        if self._skip:
-            return
-        self._text.append(data)
-        if self._links > 0:
-            self._linked += len(data)
-        else:
-            self._plain = self._plain or any(c.isalnum() for c in data)
+        self._text.append((data, self._beside, self._link if self._links > 0 else 0))
+
+    def _left_out(self, replies: bool) -> list[bool]:
+        """Whether the text of each of the parts is left out; with ``replies``, also theirs."""
+        besides = self._besides
+        form, out = [0] * len(besides), [False] * len(besides)
+        for n, b in enumerate(besides[1:], 1):
+            gone = not b.holds or (replies and b.kind == "replies")
+            out[n] = out[b.parent] or (gone and b.kind != "form")
+            form[n] = n if gone and b.kind == "form" else form[b.parent]
+            b.length = 0
+        total = 0
+        for text, *_ in self._raw:
+            for data, beside, _ in text:
+                if not out[beside]:
+                    length = len(data.strip())
+                    total += length
+                    besides[form[beside]].length += length
+        for n, b in enumerate(besides[1:], 1):
+            out[n] = out[n] or out[b.parent] or (form[n] == n and 2 * b.length <= total)
+        return out
+
+    def _lines(self, out: list[bool]) -> list[Line]:
+        lines: list[Line] = []
+        carried = 0
+        for text, tags, region, block in self._raw:
+            kept = [(data, link) for data, beside, link in text if not out[beside]]
+            joined = _SPACE.sub(" ", "".join(data for data, _ in kept)).strip()
+            if not joined:
+                carried += tags
+                continue
+            linked = sum(len(data) for data, link in kept if link)
+            links = len({link for data, link in kept if link})
+            unlinked = any(c.isalnum() for data, link in kept if not link for c in data)
+            lines.append(Line(joined, carried + tags, linked, links, unlinked, region, block, self.blocks[block][0]))
+            carried = 0
+        return lines
+
+    def lines(self) -> list[Line]:
+        lines = self._lines(self._left_out(True))
+        if any(b.holds and b.kind == "replies" for b in self._besides) and all(x.region < 0 for x in lines):
+            lines = self._lines(self._left_out(False))
+        return lines
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -244,8 +344,7 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
-    parser.end_line()
-    lines = parser.lines
+    lines = parser.lines()
     if not lines:
         return ""
     inside = [line for line in lines if line.region >= 0]

@@ -441,6 +441,32 @@ def test_every_article_stays():
     assert main_text.main_text("<p>x</p><article><a href=/>A</a></article><article><a href=/>B</a></article>") == "A\n\nB"
 
 
+def test_parts_are_left_out_by_whole_names():
+    text = main_text.main_text
+    for part in ("div class='content-sidebar-wrap'", "div class='container has-sidebar'", "div class=no-sidebar", "div class='sidebar'", "form", "div hidden", "aside"):
+        tag = part.split()[0]
+        assert text(f"<{part}><article><h1>A</h1><p>b</p></article></{tag}>") == "A\n\nb"
+        assert text(f"<main><h1>A</h1><{part}><article>b</article></{tag}></main>") == "A\n\nb"
+    article = "<h1>A</h1><h2 id='related-work'>B</h2><h3 id=related>C</h3><section id='social-history'><p>d</p></section>"
+    assert text(f"<article>{article}<p class='share'>no</p></article>") == "A\n\nB\n\nC\n\nd"
+    # A form around the page is the page; a small one is not.
+    page = f"<h1>A</h1><p>{'b' * 90}</p><label>Mail</label>"
+    assert text(f"<body><form id=aspnetForm>{page}</form><p>&copy;</p></body>") == f"A\n\n{'b' * 90}"
+    assert text(f"<article>{page}<form><p>Subscribe</p><input></form></article>") == f"A\n\n{'b' * 90}"
+    # Articles of comment lists are the readers' own.
+    replies = "<section id=comments><article>First!</article></section>"
+    assert text(f"<article>A{replies}</article>{replies}") == "A" and text(replies) == "First!"
+
+
+def test_start_tags_end_open_parts():
+    text = main_text.main_text
+    assert text("<article><p class=notice>x<p>A</p><p>B</p></article>") == "A\n\nB"
+    assert text("<article><p class=notice>x<section>A</section>B</article>") == "A\n\nB"
+    assert text("<article><ul><li class=ad>x<ul><li>y</ul><li>A<li><p class=ad>x<li>B</ul><p>C</article>") == "A\n\nB\n\nC"
+    assert text("<article><dl><dt class=ad>x<dd>A<dt>B</dl><table><tr><td class=ad><div>x<td>C<tr class=ad><td>x<tr><td>D</table></article>") == "A\n\nB\n\nC\n\nD"
+    assert text("<article><p>A <span class=notice>x</span> b <b>c</b></p></article>") == "A b c"
+
+
 def test_odd_pages(spark):
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p></p><!-- x") == ""
     assert main_text.main_text("<article>one</article><article>two</article>") in ("one\n\ntwo", "one", "two")
