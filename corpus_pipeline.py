@@ -7,8 +7,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, decision_list, mixing, queries, simhash
+from riskweave.llm import bpe, decision_list, files, mixing, queries, simhash
 from riskweave.session import shared_folder
 
 
@@ -29,9 +30,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document and digests of the ids and of the bytes they decode to."""
+    """Number of ids of each document, digests of the ids and of the bytes they decode to, position.
+
+    Spark reads files packed by size, so the sequence of the mix is taken from the files: ``position``
+    counts from 0 over the files in order and the rows in each. It is null for documents that do not
+    come straight from files. The texts are not shuffled for it.
+    """
     path = public_tokenizers.path(queries.RANK_FILE)
-    return bpe.round_trip(docs, "doc_id", "text", path, public_tokenizers.PATTERN)
+    file, row = "_file", "_file_row"
+    placed = files.with_file_rows(docs.select("doc_id", "text"), file, row)
+    starts = files.file_starts(placed, file, "_start")
+    encoded = bpe.round_trip(placed, "doc_id", "text", path, public_tokenizers.PATTERN, (file, row))
+    return encoded.join(starts, file, "left").select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", (F.col("_start") + F.col(row)).alias("position")
+    )
 
 
 STAGES = [

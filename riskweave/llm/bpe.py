@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,12 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, name: str = "bytes"
     return df.withColumn(name, raw(F.col(ids)))
 
 
-def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
+def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str, carried: Sequence[str] = ()) -> DataFrame:
     """``key``, number of ids, and SHA-256 of the decimal ids and of the bytes they decode to.
 
     The ids stay inside the task: they are encoded, joined by commas for the first digest, and
-    decoded for the second. One row per row of ``df``; null and empty texts have no ids and the
-    digests of the empty string.
+    decoded for the second. One row per row of ``df`` with its ``carried`` columns at the end; null
+    and empty texts have no ids and the digests of the empty string.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,12 +60,13 @@ def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str) -> D
                 ids_digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                 byte_digests.append(hashlib.sha256(encoding.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(byte_digests, pa.string())],
-                [key, "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(byte_digests, pa.string()), *batch.columns[2:]],
+                [key, "n_tokens", "ids_sha256", "decoded_sha256", *carried],
             )
 
-    chosen = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    chosen = df.select(F.col(key), F.col(text).cast("string").alias("_text"), *carried)
     kind = chosen.schema[0].dataType.simpleString()
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[2:])
     return chosen.mapInArrow(
-        work, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        work, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}"
     )

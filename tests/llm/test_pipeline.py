@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from riskweave.llm import queries, simhash
+from riskweave.llm import mixing, queries, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -40,6 +40,29 @@ def test_stages_in_order(spark):
     assert got == {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in kept}
 
 
+def test_run_holds_the_mixed_order_on_several_files(spark):
+    # Files of one row group or less are split and packed by size, so they are not read in order.
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7",
+        "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = queries.table(spark, FOLDER, "documents")
+        for _, stage in corpus_pipeline.STAGES[:2]:
+            docs = stage(spark, docs, FOLDER)
+        order = mixing.mixed(docs, "doc_id", "source", queries.TARGET_WEIGHTS, queries.OTHER_WEIGHT)
+        want = [r["doc_id"] for r in order.orderBy("slot", "place").collect()]
+        got = corpus_pipeline.run(spark, FOLDER).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r["position"] for r in got) == list(range(len(want)))
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == want != sorted(want)
+
+
 @pytest.mark.parametrize("rows", [0, 3])
 def test_odd_documents_pass_every_stage(spark, rows):
     schema = queries.table(spark, FOLDER, "documents").schema
