@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
+import re
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,35 +25,107 @@ _KINDS = {
 }
 
 
-def faults(value: object, schema: dict, path: str = "$") -> list[str]:
-    """What in ``value`` breaks ``schema``: type, enum, bounds, lengths, properties and items."""
-    kind = schema.get("type")
-    if kind is not None and not _KINDS[kind](value):
-        return [f"{path}: not {kind}"]
+#: Keywords that :func:`faults` checks, and those that say nothing about validity.
+_CHECKED = frozenset(
+    "type enum const minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern required "
+    "properties additionalProperties minProperties maxProperties items minItems maxItems uniqueItems anyOf oneOf allOf "
+    "not".split()
+)
+_NOTES = frozenset("title description default examples deprecated readOnly writeOnly $schema $id $comment".split())
+
+
+def checked_schema(schema: object, path: str) -> None:
+    """Refuse a schema that uses a keyword, type or form that :func:`faults` does not know."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{path}: not a schema")
+    unknown = sorted(set(schema) - _CHECKED - _NOTES)
+    if unknown:
+        raise ValueError(f"{path}: keywords that are not checked: {', '.join(unknown)}")
+    kinds = schema.get("type", [])
+    for kind in kinds if isinstance(kinds, list) else [kinds]:
+        if not isinstance(kind, str) or kind not in _KINDS:
+            raise ValueError(f"{path}: unknown type {kind!r}")
+    if "pattern" in schema:
+        re.compile(schema["pattern"])
+    for name, part in schema.get("properties", {}).items():
+        checked_schema(part, f"{path}.{name}")
+    for key in ("additionalProperties", "items", "not"):
+        if key in schema:
+            checked_schema(schema[key], f"{path}.{key}")
+    for key in ("anyOf", "oneOf", "allOf"):
+        for n, part in enumerate(schema.get(key, [])):
+            checked_schema(part, f"{path}.{key}[{n}]")
+
+
+def _same(a: object, b: object) -> bool:
+    """Equal as JSON: true is not 1, and 1 is 1.0."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def faults(value: object, schema: dict | bool, path: str = "$") -> list[str]:
+    """What in ``value`` breaks ``schema``, by the keywords of ``_CHECKED``."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: not allowed"]
+    kinds = schema.get("type")
+    if kinds is not None and not any(_KINDS[k](value) for k in (kinds if isinstance(kinds, list) else [kinds])):
+        return [f"{path}: not {' or '.join(kinds) if isinstance(kinds, list) else kinds}"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, e) for e in schema["enum"]):
         found.append(f"{path}: not in enum")
+    if "const" in schema and not _same(value, schema["const"]):
+        found.append(f"{path}: not the constant")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if "minimum" in schema and value < schema["minimum"]:
             found.append(f"{path}: below minimum")
         if "maximum" in schema and value > schema["maximum"]:
             found.append(f"{path}: above maximum")
+        if "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]:
+            found.append(f"{path}: not above minimum")
+        if "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
+            found.append(f"{path}: not below maximum")
+        if "multipleOf" in schema and not (math.isfinite(value) and not Fraction(str(value)) % Fraction(str(schema["multipleOf"]))):
+            found.append(f"{path}: not a multiple")
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0):
             found.append(f"{path}: too short")
         if "maxLength" in schema and len(value) > schema["maxLength"]:
             found.append(f"{path}: too long")
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            found.append(f"{path}: not in pattern")
     if isinstance(value, dict):
         known = schema.get("properties", {})
+        other = schema.get("additionalProperties", True)
         found += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
-        if schema.get("additionalProperties") is False:
+        if other is False:
             found += [f"{path}.{k}: unknown" for k in sorted(value) if k not in known]
+        if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            found.append(f"{path}: number of properties")
         for k in sorted(value):
-            if k in known:
-                found += faults(value[k], known[k], f"{path}.{k}")
-    if isinstance(value, list) and "items" in schema:
+            if k in known or other is not False:
+                found += faults(value[k], known.get(k, other), f"{path}.{k}")
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            found.append(f"{path}: number of items")
+        if schema.get("uniqueItems") and any(_same(a, b) for n, a in enumerate(value) for b in value[:n]):
+            found.append(f"{path}: repeated items")
         for n, item in enumerate(value):
-            found += faults(item, schema["items"], f"{path}[{n}]")
+            found += faults(item, schema.get("items", True), f"{path}[{n}]")
+    for part in schema.get("allOf", []):
+        found += faults(value, part, path)
+    if "anyOf" in schema and all(faults(value, part, path) for part in schema["anyOf"]):
+        found.append(f"{path}: in none of anyOf")
+    if "oneOf" in schema and sum(not faults(value, part, path) for part in schema["oneOf"]) != 1:
+        found.append(f"{path}: not in exactly one of oneOf")
+    if "not" in schema and not faults(value, schema["not"], path):
+        found.append(f"{path}: in not")
     return found
 
 
@@ -133,8 +208,11 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     JSON, an unknown tool, the first breach of the tool's schema. Messages sorted by (conversation,
     level, kind, turn) within a conversation stand in an order in which every call precedes its
     results and the calls that follow it; messages of other kinds have no level and no fault. Nulls
-    in any column are kept; repeated rows stay; an empty table gives no rows.
+    in any column are kept; repeated rows stay; an empty table gives no rows. A schema with a
+    keyword that the check does not know is refused before the job.
     """
+    for name, schema in schemas.items():
+        checked_schema(schema, name)
     marked = messages.select(
         "conversation", "turn", "role", "kind", "call_id", "after", "tool", "arguments", "content"
     )

@@ -588,6 +588,34 @@ def test_links_levels_and_faults(spark):
     assert tool_calls.link_calls(spark.createDataFrame([], MESSAGES), {}).count() == 0
 
 
+SCHEMA_CASES = [
+    ({"type": ["string", "null"]}, [None, "a"], [1]),
+    ({"pattern": "^a+$"}, ["aa", 3], ["ab"]),
+    ({"const": 1}, [1, 1.0], [True, 2]),
+    ({"enum": [0, "a"]}, [0, "a"], [False, "b"]),
+    ({"exclusiveMinimum": 0, "exclusiveMaximum": 2}, [1], [0, 2]),
+    ({"multipleOf": 0.1}, [0.3, 2], [0.35, float("inf")]),
+    ({"minItems": 1, "maxItems": 2, "uniqueItems": True, "items": {"type": "integer"}}, [[1], [1, 2]], [[], [1, 2, 3], [1, 1], ["a"]]),
+    ({"minProperties": 1, "additionalProperties": {"type": "integer"}}, [{"a": 1}], [{}, {"a": "b"}]),
+    ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, ["a", 4], [2]),
+    ({"oneOf": [{"minimum": 1}, {"maximum": 3}]}, [0, 4], [2]),
+    ({"allOf": [{"minimum": 1}, {"maximum": 3}], "not": {"const": 2}}, [1, 3], [0, 2, 4]),
+]
+
+
+@pytest.mark.parametrize("schema, good, bad", SCHEMA_CASES)
+def test_schema_keywords(schema, good, bad):
+    tool_calls.checked_schema(schema, "t")
+    assert not any(tool_calls.faults(v, schema) for v in good) and all(tool_calls.faults(v, schema) for v in bad)
+
+
+def test_unknown_schema_keywords_are_refused(spark):
+    messages = spark.createDataFrame([], MESSAGES)
+    for part in ({"$ref": "#/x"}, {"format": "date"}, {"type": "text"}, {"type": [["string"]]}, {"anyOf": [{"if": {}}]}):
+        with pytest.raises(ValueError):
+            tool_calls.link_calls(messages, {"t": {"properties": {"a": part}}})
+
+
 def test_long_chain_is_ordered(spark):
     n = 300
     rows = [message("c", n - i, "call", str(i), str(i - 1) if i else None, "search", "{}") for i in range(n)]
