@@ -67,3 +67,81 @@ SELECT doc_id, source, copies, q.block, start + (period - first) * slots + rel A
   start + (period - first) * slots + dl AS deadline, start + (period - first) * slots + t AS slot,
   CAST(rk % {block_rows} AS INT) AS place
 FROM q JOIN plan ON plan.nm = q.nm AND plan.j = q.j AND period >= first AND period < stop"""
+
+
+_CRC_STEPS = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps)"""
+
+
+def op11(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """The rounds written one after the other over (row, part) and (part, entry) tables."""
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS (SELECT rn, pos, arg_min(e, d * {entries} + e) AS e, min(d) AS d FROM (
+  SELECT p.rn, p.pos, c.e, list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x)
+    + list_inner_product(c.x, c.x) AS d FROM p JOIN c{n} c USING (pos)) GROUP BY ALL)"""
+
+    def updated(n: int) -> str:
+        return f"""u{n} AS (SELECT pos, e, list(m ORDER BY i) AS x FROM (
+  SELECT pos, e, i, floor(sum(p.x[i]) / count(*)) AS m FROM a{n} JOIN p USING (rn, pos),
+    unnest(range(1, len(p.x) + 1)) AS t(i) GROUP BY ALL) GROUP BY ALL),
+c{n + 1} AS (SELECT c.pos, c.e, coalesce(u.x, c.x) AS x FROM c{n} c LEFT JOIN u{n} u USING (pos, e))"""
+
+    steps = ",\n".join(f"{assigned(n)},\n{updated(n)}" for n in range(rounds))
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS c
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, c) AS rn FROM v),
+p AS (SELECT rn, pos, c[pos * (len(c) // {parts}) + 1 : (pos + 1) * (len(c) // {parts})] AS x
+  FROM r, unnest(range({parts})) AS t(pos)),
+c0 AS (SELECT pos, rn - 1 AS e, x FROM p WHERE rn <= {entries}),
+{steps},
+{assigned(rounds)},
+f AS (SELECT rn, string_agg(printf('%02x', e), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY rn),
+s AS (SELECT sha256(string_agg(CAST(CAST(m AS BIGINT) AS VARCHAR), ',' ORDER BY pos, e, i)) AS digest FROM (
+  SELECT pos, e, i, x[i] AS m FROM c{rounds}, unnest(range(1, len(x) + 1)) AS t(i)))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  digest AS codebooks_sha256 FROM r JOIN f USING (rn), s"""
+
+
+def op12(every: int, letters: int, least: int, ratio: int) -> str:
+    """Words one letter apart meet on what deleting a letter leaves."""
+    return f"""
+WITH RECURSIVE {_CRC_STEPS},
+run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+runs AS (SELECT k, r, count(*) AS copies, hex(encode(k || ':' || r)) AS x FROM run WHERE length(r) >= {letters} GROUP BY k, r),
+hashed AS (SELECT r, copies, CAST(xor(list_reduce(list_concat([4294967295],
+      list_transform(regexp_extract_all(x, '..'), lambda b: CAST('0x' || b AS BIGINT))),
+      lambda c, b: xor(c >> 8, steps[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) AS BIGINT) AS h FROM runs, crc),
+spelt AS (SELECT CASE WHEN h % {every} = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word,
+    copies FROM hashed),
+w AS MATERIALIZED (SELECT word, CAST(sum(copies) AS BIGINT) AS n FROM spelt WHERE length(word) >= {letters} GROUP BY word
+  HAVING sum(copies) >= {least}),
+cut AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM w, unnest(range(length(word))) AS t(i)),
+near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN w ON c.rest = w.word),
+told AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-w.n, other)) AS best, max(w.n) AS best_n
+  FROM near JOIN w ON w.word = near.other GROUP BY 1),
+judged AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {ratio} * w.n THEN best END AS form,
+    CASE WHEN best_n >= {ratio} * w.n THEN best_n END AS form_n FROM w LEFT JOIN told USING (word)),
+walk AS (SELECT word, word AS here FROM judged
+  UNION ALL SELECT walk.word, j.form FROM walk JOIN judged j ON j.word = walk.here WHERE j.form IS NOT NULL),
+ends AS (SELECT walk.word, here AS root FROM walk JOIN judged j ON j.word = walk.here WHERE j.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM judged JOIN ends USING (word)"""
+
+
+def op13(words: int) -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT r, s, array_to_string(w[s + 1 : s + {words}], ' ') AS said FROM d, unnest(range(len(w) - {words - 1})) AS t(s)),
+later AS (SELECT r, s FROM (SELECT r, s, row_number() OVER (PARTITION BY said ORDER BY r, s) AS place FROM s) WHERE place > 1),
+gone AS (SELECT r, list(DISTINCT s + i) AS places FROM later, unnest(range({words})) AS t(i) GROUP BY r),
+kept AS (SELECT r, string_agg(w[i + 1], ' ' ORDER BY i) AS said, count(*) AS n FROM (
+  SELECT d.r, w, i FROM d, unnest(range(len(w))) AS t(i)
+  EXCEPT ALL SELECT d.r, w, i FROM d JOIN gone USING (r), unnest(places) AS t(i)) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(said, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""

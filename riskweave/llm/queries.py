@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from riskweave.llm import (
     bpe,
     checks,
+    codes,
     decision_list,
     main_text,
     mixing,
     neighbours,
     packed_ids,
+    repeats,
     sharding,
     simhash,
+    spelling,
     token_counts,
     tool_calls,
 )
@@ -35,6 +38,8 @@ QUERY_STEP = 100
 #: Target weights of the mix: blocks a period; other sources bring the weight of the rest.
 TARGET_WEIGHTS = {"src0": 5, "src1": 3, "src2": 3, "src3": 2}
 OTHER_WEIGHT = 1
+#: One in so many runs of letters loses a letter in the spelling query.
+MISSPELT_EVERY = 199
 
 #: Argument schemas of the tools that the conversations' user turns are taken to call.
 TOOL_SCHEMAS = {
@@ -157,11 +162,32 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows, codebooks = codes.compressed(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+    digits = F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0")))
+    return rows.select(
+        "vec_id", F.array_join(digits, "").alias("code"), F.col("error").cast("bigint").alias("error"),
+        F.col("label_error").cast("bigint").alias("label_error"),
+        F.lit(codes.codebooks_digest(codebooks)).alias("codebooks_sha256"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.misspelt_words(table(spark, folder, "documents"), "doc_id", "text", MISSPELT_EVERY)
+    return spelling.variants(words.where(F.col("n") >= spelling.MIN_COUNT))
+
+
+def op13_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeats.without_repeats(table(spark, folder, "documents"), "doc_id", "text")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_shards, op2_bpe_round_trip, op3_simhash_near_duplicates, op4_token_counts, op5_tool_calls,
         op6_nearest_vectors, op7_mixed_sources, op8_main_text, op9_packed_ids, op10_quality_rules,
+        op11_vector_codes, op12_spelling_variants, op13_without_repeats,
     )
 }
 
@@ -169,4 +195,7 @@ ORACLE: dict[str, str] = {
     "op1_shards": checks.OP1,
     "op6_nearest_vectors": checks.OP6,
     "op7_mixed_sources": checks.op7(TARGET_WEIGHTS, OTHER_WEIGHT, mixing.BLOCK_ROWS),
+    "op11_vector_codes": checks.op11(codes.PARTS, codes.ENTRIES, codes.ROUNDS, codes.SCALE),
+    "op12_spelling_variants": checks.op12(MISSPELT_EVERY, spelling.MIN_LETTERS, spelling.MIN_COUNT, spelling.RATIO),
+    "op13_without_repeats": checks.op13(repeats.WINDOW_WORDS),
 }
