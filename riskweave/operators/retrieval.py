@@ -2,142 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import as_col
+from riskweave.operators.search import nearest
 
-# Bytes of vectors in a block of queries and of the corpus.
-QUERY_BLOCK_BYTES = 32 << 20
-CORPUS_BLOCK_BYTES = 128 << 20
-# Scores computed at once inside a task.
-TILE_CELLS = 4 << 20
-SCORE_DIGITS = 6
-
-
-def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
-    """Vectors as doubles of length one; a zero vector stays zero."""
-    square = F.aggregate(
-        vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")
-    )
-    length = F.when(square > 0, F.sqrt(square)).otherwise(1.0)
-    return (
-        df.withColumn("_length", length)
-        .withColumn(
-            vector, F.transform(vector, lambda x: x.cast("double") / F.col("_length"))
-        )
-        .drop("_length")
-    )
-
-
-class _Best:
-    """The k best corpus ids per query seen so far, by rounded score, then smallest id.
-
-    ``at_least`` also keeps every id of that score or more.
-    """
-
-    def __init__(
-        self, query_ids: np.ndarray, matrix: np.ndarray, k: int, skip_self: bool, at_least: float | None
-    ):
-        self.query_ids, self.matrix, self.k, self.skip_self = query_ids, matrix, k, skip_self
-        self.at_least, self.above = at_least, []
-        self.scores = np.empty((len(query_ids), 0))
-        self.ids = np.empty((len(query_ids), 0), dtype=np.int64)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        width = max(1, TILE_CELLS // len(self.query_ids))
-        for at in range(0, len(ids), width):
-            self._add_tile(ids[at : at + width], vectors[at : at + width])
-
-    def _add_tile(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        fresh = np.round(self.matrix @ vectors.T, SCORE_DIGITS)
-        if self.skip_self:
-            fresh[self.query_ids[:, None] == ids[None, :]] = -np.inf
-        if self.at_least is not None:
-            row, column = np.nonzero(fresh >= self.at_least)
-            self.above.append((self.query_ids[row], ids[column], fresh[row, column]))
-        scores = np.hstack([self.scores, fresh])
-        every = np.hstack([self.ids, np.broadcast_to(ids, fresh.shape)])
-        order = np.lexsort((every, -scores), axis=1)[:, : self.k]
-        self.scores = np.take_along_axis(scores, order, axis=1)
-        self.ids = np.take_along_axis(every, order, axis=1)
-
-    def frame(self) -> pd.DataFrame:
-        kept = np.isfinite(self.scores)
-        rows = np.broadcast_to(self.query_ids[:, None], self.scores.shape)
-        found = [(rows[kept], self.ids[kept], self.scores[kept]), *self.above]
-        frame = pd.DataFrame(
-            {c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("query_id", "corpus_id", "score"))}
-        )
-        return frame if self.at_least is None else frame.drop_duplicates(["query_id", "corpus_id"])
-
-
-_HITS = "query_id long, corpus_id long, score double"
-
-
-def nearest(
-    queries: DataFrame,
-    corpus: DataFrame,
-    key: str,
-    vector: str,
-    k: int,
-    skip_self: bool = False,
-    at_least: float | None = None,
-) -> DataFrame:
-    """Exact cosine hits: (query_id, corpus_id, score, rank), equal scores by smallest id.
-
-    A query gets its ``k`` best and, with ``at_least``, every hit of that score or more. Both
-    sides are cut into blocks of bounded size; each block of queries meets each block of the
-    corpus in one task, which computes the scores as matrix products and hands on the hits only.
-    """
-    row = 64 + 8 * F.greatest(F.size(vector), F.lit(0))
-    q_blocks = _blocks(queries.agg(F.sum(row)).first()[0], QUERY_BLOCK_BYTES)
-    c_blocks = _blocks(corpus.agg(F.sum(row)).first()[0], CORPUS_BLOCK_BYTES)
-    q = unit_vectors(queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), "v")
-    c = unit_vectors(corpus.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), "v")
-    partial = _block_by_block(q, c, q_blocks, c_blocks, k, skip_self, at_least)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
-    wanted = F.col("rank") <= k
-    if at_least is not None:
-        wanted = wanted | (F.col("score") >= at_least)
-    return partial.withColumn("rank", F.row_number().over(order)).where(wanted)
-
-
-def _blocks(size: int | None, most: int) -> int:
-    return max(1, math.ceil((size or 0) / most))
-
-
-def _block_by_block(
-    q: DataFrame, c: DataFrame, q_blocks: int, c_blocks: int, k: int, skip_self: bool,
-    at_least: float | None,
-) -> DataFrame:
-    """Each query block meets each corpus block once; both are of bounded size."""
-
-    def placed(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)).cast("array<long>"))
-        )
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "corpus_id": [], "score": []})
-        best = _Best(
-            left["id"].to_numpy(dtype=np.int64), np.vstack(left["v"].to_numpy()), k, skip_self, at_least
-        )
-        best.add(right["id"].to_numpy(dtype=np.int64), np.vstack(right["v"].to_numpy()))
-        return best.frame()
-
-    left = placed(q, "qb", q_blocks, "cb", c_blocks)
-    right = placed(c, "cb", c_blocks, "qb", q_blocks)
-    return (
-        left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, _HITS)
-    )
-
+__all__ = ["above_threshold", "by_response_model", "nearest", "reranked", "with_defaults"]
 
 # --------------------------------------------------------------------------- hit rules
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions import vectors
-from riskweave.operators import evaluation, quality, retrieval
+from riskweave.operators import evaluation, quality, retrieval, search
 
 rng = np.random.default_rng(5)
 
@@ -30,18 +30,53 @@ def by_hand(v, k):
     return out
 
 
-@pytest.mark.parametrize("size", [32 << 20, 4096])
-def test_blocks_are_exact(spark, table, size, monkeypatch):
-    v, df = table
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", size)
-    monkeypatch.setattr(retrieval, "CORPUS_BLOCK_BYTES", 2 * size)
-    monkeypatch.setattr(retrieval, "TILE_CELLS", 1000)
-    hits = retrieval.nearest(df, df, "id", "v", 5, skip_self=True).collect()
-    want = by_hand(v, 5)
+def ranked(hits):
     got = {}
-    for h in sorted(hits, key=lambda h: h["rank"]):
+    for h in sorted(hits.collect(), key=lambda h: h["rank"]):
         got.setdefault(h.query_id, []).append(h.corpus_id)
-    assert got == want
+    return got
+
+
+@pytest.mark.parametrize("block_rows", [None, 7, 40])
+def test_blocks_are_exact(spark, table, block_rows, monkeypatch):
+    v, df = table
+    monkeypatch.setattr(search, "TILE_CELLS", 1000)
+    assert ranked(retrieval.nearest(df, df, "id", "v", 5, skip_self=True, block_rows=block_rows)) == by_hand(v, 5)
+
+
+def clustered(spark, per_cluster=40):
+    centres = 3 * rng.normal(size=(25, 8))
+    v = np.repeat(centres, per_cluster, axis=0) + 0.2 * rng.normal(size=(25 * per_cluster, 8))
+    v[3] = 0
+    v[50:90] = v[50]  # copies
+    pdf = pd.DataFrame({"id": np.arange(len(v)), "v": [row.tolist() for row in v]})
+    return v, spark.createDataFrame(pdf, "id long, v array<float>").repartition(6)
+
+
+def test_clusters_skip_most_pairs_of_blocks_and_lose_nothing(spark):
+    v, df = clustered(spark)
+    assert ranked(retrieval.nearest(df, df, "id", "v", 5, skip_self=True, block_rows=20)) == by_hand(v, 5)
+    plan = search.prepared(df, df.where("id <> 3"), "id", "v", 5, True, block_rows=20)
+    assert plan.pairs_met() < plan.pairs_in_all() / 3
+
+
+def test_every_hit_above_a_score(spark):
+    v, df = clustered(spark, 8)
+    some = df.where("id % 3 = 0")
+    got = retrieval.nearest(some, df, "id", "v", 2, skip_self=True, at_least=0.9, block_rows=10).collect()
+    unit = v.astype(np.float32).astype(float)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-300)[:, None]
+    scores = np.round(unit @ unit.T, 6)
+    best = {i: o[:2] for i, o in by_hand(v, 2).items()}
+    want = {(i, j) for i in range(0, len(v), 3) for j in range(len(v)) if i != j and (scores[i, j] >= 0.9 or j in best[i])}
+    assert {(h.query_id, h.corpus_id) for h in got} == want and len(got) == len(want)
+
+
+def test_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (None, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert ranked(retrieval.nearest(df, df, "id", "v", 9, skip_self=True)) == {1: [4, 3], 3: [1, 4], 4: [1, 3]}
+    assert retrieval.nearest(df, df.where("false"), "id", "v", 9).count() == 0
 
 
 def test_no_queries(spark, table):
