@@ -58,6 +58,10 @@ def edits_for_similarity(threshold: float) -> EditBound:
 
 # Word lengths up to which a bound is tried out.
 MOST_LETTERS = 128
+# Hash buckets whose rows are counted on both sides to find heavy pieces: the most rows of that table.
+PIECE_BUCKETS = 1 << 16
+# Words, or terms, of one bucket that meet in a task as they are; more are dealt out.
+SIDE_ROWS = 2_048
 
 
 def _pieces(length: Column, edits: Column) -> Column:
@@ -76,6 +80,44 @@ def _pieces(length: Column, edits: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), edits), piece)
 
 
+def _dealt(
+    left: DataFrame, right: DataFrame, key: list[str], left_id: str, right_id: str
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_row`` and ``_column``: the cell of a grid in which they meet under a key.
+
+    Rows are counted per hash bucket of the key, at most ``PIECE_BUCKETS`` rows a side, so finding the
+    heavy buckets shuffles no pieces. Where a side of a bucket is over ``SIDE_ROWS`` and twice the
+    mean, its rows are dealt over several rows or columns of the grid by their own hash, and the other
+    side's rows of that bucket are repeated once for each. Every pair still meets in exactly one cell.
+    """
+    bucket = F.pmod(F.xxhash64(*key), F.lit(PIECE_BUCKETS)).cast("int")
+
+    def sizes(side: DataFrame, name: str) -> DataFrame:
+        counts = written(side.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+        most = F.greatest(F.lit(float(SIDE_ROWS)), 2.0 * counts.agg(F.avg("n")).scalar())
+        return counts.select("_bucket", F.ceil(F.col("n") / most).cast("int").alias(name))
+
+    grid = written(
+        sizes(left, "_rows").join(sizes(right, "_columns"), "_bucket", "full").where("_rows > 1 or _columns > 1"),
+        "heavy-pieces",
+    )
+    rows, columns = F.coalesce("_rows", F.lit(1)), F.coalesce("_columns", F.lit(1))
+
+    def placed(side: DataFrame, own: str, own_count: Column, own_id: str, other: str, other_count: Column) -> DataFrame:
+        return (
+            side.withColumn("_bucket", bucket)
+            .join(F.broadcast(grid), "_bucket", "left")
+            .withColumn(own, F.pmod(F.xxhash64(own_id), own_count).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), other_count - 1)))
+            .drop("_bucket", "_rows", "_columns")
+        )
+
+    return (
+        placed(left, "_row", rows, left_id, "_column", columns),
+        placed(right, "_column", columns, right_id, "_row", rows),
+    )
+
+
 def similar_words(
     words: DataFrame, terms: DataFrame, edits: EditBound, accept: Column
 ) -> DataFrame:
@@ -89,7 +131,12 @@ def similar_words(
     ``edits`` must not fall when a length grows, and must not allow a pair of which one side is
     more than twice as long as the other; another bound is refused.
     ``accept`` filters on the columns ``word``, ``term`` and ``distance``.
+    A piece that many words or terms share is dealt over a grid of salts (see ``_dealt``).
     """
+    # The words are few bytes and much work, so they are dealt over all cores and not packed by size.
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    words = written(words.select("word").distinct(), "words").repartition(cores, "word")
+    terms = written(terms.select("term").distinct(), "terms").repartition(cores, "term")
     l, m, k = F.col("l"), F.col("m"), F.col("k")
     # Bounds grow with both lengths, and no pair in use differs by more than a factor of two.
     reach = edits(l, 2 * l)
@@ -97,9 +144,7 @@ def similar_words(
     if not lengths.where(edits(l, 2 * l + 1) > l).isEmpty():
         raise ValueError("the bound allows a word and a term more than twice as long")
     left = (
-        words.select("word")
-        .distinct()
-        .withColumn("l", F.length("word"))
+        words.withColumn("l", F.length("word"))
         .withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), l - reach), l + reach)))
         .withColumn("k", edits(l, m))
         .where((F.abs(l - m) <= k) & (l > k))
@@ -111,9 +156,7 @@ def similar_words(
     first = F.greatest(F.lit(0), F.col("start") - F.floor((k - (m - l)) / 2).cast("int"))
     last = F.least(m - F.col("size"), F.col("start") + F.floor((k + (m - l)) / 2).cast("int"))
     right = (
-        terms.select("term")
-        .distinct()
-        .withColumn("m", F.length("term"))
+        terms.withColumn("m", F.length("term"))
         .withColumn("l", F.explode(F.sequence(F.greatest(F.lit(1), m - wide), m + wide)))
         .withColumn("k", edits(l, m))
         .where((F.abs(l - m) <= k) & (l > k))
@@ -124,15 +167,16 @@ def similar_words(
         .distinct()
     )
     # The distance is checked inside the join, so only true pairs leave it.
-    met = left.join(right, ["l", "m", "i", "piece"]).where(F.expr("levenshtein(word, term, k) >= 0"))
+    dealt_words, dealt_terms = _dealt(left, right, ["l", "m", "i", "piece"], "word", "term")
+    met = dealt_words.join(dealt_terms, ["l", "m", "i", "piece", "_row", "_column"]).where(
+        F.expr("levenshtein(word, term, k) >= 0")
+    )
     tiny = (
-        words.select("word")
-        .distinct()
-        .withColumn("l", F.length("word"))
+        words.withColumn("l", F.length("word"))
         .withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), l - reach), l + reach)))
         .withColumn("k", edits(l, m))
         .where((F.abs(l - m) <= k) & (l <= k))
-        .join(terms.select("term", F.length("term").alias("m")).distinct(), "m")
+        .join(terms.select("term", F.length("term").alias("m")), "m")
         .where(F.expr("levenshtein(word, term, k) >= 0"))
     )
     return (
@@ -245,18 +289,48 @@ def _leftmost(hits: Column) -> Column:
     )
 
 
-def _word_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start, word, following) for every two words in a row."""
+# Slots of the filter of openings per opening, and its least and greatest size in bytes.
+SLOTS_PER_OPENING, FEWEST_SLOTS, MOST_SLOTS = 16, 1 << 10, 1 << 20
+
+
+def _opening_filter(openings: DataFrame, word: str, following: str) -> Callable[[Column, Column], Column]:
+    """A test whether two words may open something; it never says no to a true opening.
+
+    Openings set one byte each in a literal of at most ``MOST_SLOTS`` bytes. With more openings than
+    slots the test lets more pairs through, and the join after it sorts them out.
+    """
+
+    def slot(a: Column, b: Column, slots: int) -> Column:
+        return F.pmod(F.xxhash64(a, b), F.lit(slots)).cast("int")
+
+    slots = FEWEST_SLOTS
+    while slots < min(MOST_SLOTS, SLOTS_PER_OPENING * openings.count()):
+        slots *= 2
+    taken = bytearray(slots)
+    for row in openings.select(slot(F.col(word), F.col(following), slots).alias("slot")).distinct().collect():
+        taken[row["slot"]] = 1
+    table = F.lit(bytes(taken))
+    return lambda a, b: F.substr(table, slot(a, b, slots) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def _opening_pairs(
+    df: DataFrame, key: str, text: str, may_open: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """(key, start, word, following) for every two words in a row that pass the filter.
+
+    The filter runs inside the row of the text, so other pairs never become rows.
+    """
     split = df.select(key, blank_separated(F.lower(F.col(text))).alias("words"))
-    rest = F.greatest(F.size("words") - 1, F.lit(0))
-    pairs = F.zip_with(
-        F.slice("words", F.lit(1), rest),
-        F.slice("words", F.lit(2), rest),
-        lambda a, b: F.struct(a.alias("word"), b.alias("following")),
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("words") - 2), lambda i: may_open(F.get("words", i), F.get("words", i + 1))
     )
-    return split.select(key, F.posexplode(pairs).alias("start", "pair")).select(
-        key, "start", "pair.word", "pair.following"
+    pairs = F.transform(
+        F.when(F.size("words") >= 2, starts),
+        lambda i: F.struct(
+            i.alias("start"), F.get("words", i).alias("word"), F.get("words", i + 1).alias("following")
+        ),
     )
+    return split.select(key, F.inline(pairs))
 
 
 def find_phrases(
@@ -266,19 +340,23 @@ def find_phrases(
 
     Positions count words. A place whose two words open some phrase gives one window per
     phrase length seen with that opening, and the windows meet the phrases on their whole
-    text. Many phrases with one opening therefore never multiply the rows.
+    text. Many phrases with one opening therefore never multiply the rows. Pairs of words that open
+    nothing are dropped inside the text's row.
     """
     listed = _phrase_table(phrases, phrase).select(
         "phrase",
         F.size("phrase_words").alias("n"),
-        F.array_join(F.slice("phrase_words", 1, 2), " ").alias("anchor"),
+        F.get("phrase_words", F.lit(0)).alias("word"),
+        F.get("phrase_words", F.lit(1)).alias("following"),
         F.array_join("phrase_words", " ").alias("window"),
     )
-    openings = listed.groupBy("anchor").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    openings = written(
+        listed.groupBy("word", "following").agg(F.sort_array(F.collect_set("n")).alias("lengths")), "openings"
+    )
+    may_open = _opening_filter(openings, "word", "following")
     places = (
-        _word_pairs(df, key, text)
-        .select(key, "start", F.concat_ws(" ", "word", "following").alias("anchor"))
-        .join(openings, "anchor")
+        _opening_pairs(df, key, text, may_open)
+        .join(openings, ["word", "following"])
         .groupBy(key)
         .agg(F.collect_list(F.struct("start", "lengths")).alias("places"))
     )
@@ -337,9 +415,8 @@ def find_similar_phrases(
         .withColumn("first", F.get("phrase_words", F.lit(0)))
         .withColumn("second", F.get("phrase_words", F.lit(1)))
     )
-    spoken = _word_pairs(df, key, text)
     openers = listed.select(F.explode(F.array("first", "second")).alias("term"))
-    vocabulary = spoken.select(F.explode(F.array("word", "following")).alias("word"))
+    vocabulary = df.select(F.explode(F.array_distinct(blank_separated(F.lower(F.col(text))))).alias("word"))
     least = min(first_threshold, word_threshold)
     # Both roles below read these pairs; written, they are found once and their size is known.
     near = written(
@@ -355,11 +432,13 @@ def find_similar_phrases(
         F.col("word").alias("following"), F.col("term").alias("second")
     )
     # Texts meet phrases on two spoken words at once, so a frequent word builds no candidates.
-    openings = listed.join(firsts, "first").join(seconds, "second").select(
-        "word", "following", "phrase", "phrase_words"
+    openings = written(
+        listed.join(firsts, "first").join(seconds, "second").select("word", "following", "phrase", "phrase_words"),
+        "openings",
     )
+    may_open = _opening_filter(openings, "word", "following")
     candidates = (
-        spoken.join(openings, ["word", "following"])
+        _opening_pairs(df, key, text, may_open).join(openings, ["word", "following"])
         .groupBy(key)
         .agg(F.collect_list(F.struct("start", "phrase", "phrase_words")).alias("candidates"))
     )

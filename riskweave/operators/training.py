@@ -9,12 +9,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import sigmoid
+from riskweave.operators import isotonic
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -99,10 +99,7 @@ def calibrated(
 ) -> DataFrame:
     """Add ``calibrated`` to ``apply``; the map is learnt on ``train``."""
     if method == "isotonic":
-        model = IsotonicRegression(
-            labelCol=label, featuresCol=score, predictionCol="calibrated"
-        ).fit(train.withColumn(label, F.col(label).cast("double")))
-        return model.transform(apply)
+        return isotonic.applied(isotonic.fitted(train, label, score), apply, score)
     if method == "sigmoid":
         stages = [
             VectorAssembler(inputCols=[score], outputCol="_score"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskweave.operators import evaluation, training
-from riskweave.plans.monitoring_queries import rounded, scored_documents
+from riskweave.operators import evaluation, isotonic, training
+from riskweave.plans.monitoring_queries import SCORED_SQL, rounded, scored_documents
 from riskweave.plans.registry import query
 from riskweave.sources import tables as src
 
@@ -81,6 +81,22 @@ def calibration(spark, sf):
     return rounded(evaluation.calibration(out, "quality", "calibrated"))
 
 
+@query(
+    "m26_isotonic_fit",
+    f"""WITH {SCORED_SQL}, d AS (SELECT p, count(*) AS w, sum(quality) AS y FROM s GROUP BY 1),
+c AS (SELECT *, row_number() OVER (ORDER BY p) AS i, sum(w) OVER (ORDER BY p) AS cw, sum(y) OVER (ORDER BY p) AS cy FROM d),
+mean AS (SELECT a.i AS j, b.i, (b.cy - a.cy + a.y) / CAST(b.cw - a.cw + a.w AS DOUBLE) AS v FROM c a JOIN c b ON a.i <= b.i),
+least AS (SELECT j, i, min(v) OVER (PARTITION BY j ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS v FROM mean),
+fit AS (SELECT p, max(v) AS v FROM least JOIN c USING (i) GROUP BY 1)
+SELECT doc_id, s.p, round(v, 6) AS calibrated FROM s JOIN fit USING (p)""",
+)
+def isotonic_fit(spark, sf):
+    """The monotone map of the score on all labelled rows, by the largest of the least means in SQL."""
+    rows = scored_documents(spark, sf).select("doc_id", "p", "quality")
+    out = isotonic.applied(isotonic.fitted(rows, "quality", "p"), rows, "p")
+    return rounded(out.select("doc_id", "p", "calibrated"))
+
+
 @query("m26_sigmoid_calibration")
 def sigmoid_calibration(spark, sf):
     rows = scored_documents(spark, sf)

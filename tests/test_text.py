@@ -180,6 +180,51 @@ def test_similar_words_miss_nothing(spark, vocabulary):
         assert found == want
 
 
+def test_heavy_pieces_are_dealt_over_cells_and_miss_nothing(spark, monkeypatch):
+    """One ending on many words and terms; broadcasting by size is off."""
+    monkeypatch.setattr(terms, "SIDE_ROWS", 16)
+    monkeypatch.setattr(terms, "PIECE_BUCKETS", 1 << 12)
+    rnd = random.Random(9)
+    some = sorted({"".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(900)})
+    words = [x + "tions" for x in some[:300]] + ["".join(rnd.choice("klmnopq") for _ in range(11)) for _ in range(600)]
+    listed = [x + "tions" for x in some[300:450]]
+    w = spark.createDataFrame([(x,) for x in words], "word string")
+    g = spark.createDataFrame([(x,) for x in listed], "term string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = []
+        plain = terms._dealt
+        monkeypatch.setattr(terms, "_dealt", lambda *a: seen.append(plain(*a)) or seen[-1])
+        got = terms.similar_words(w, g, terms.edits_for_similarity(0.75), terms.pair_similarity() >= 0.75)
+        found = {(r.word, r.term) for r in got.collect()}
+        cell = ["l", "m", "i", "piece", "_row", "_column"]
+        left, right = (side.groupBy(*cell).count() for side in seen[0])
+        assert left.agg({"count": "max"}).first()[0] <= 3 * 16 and right.agg({"count": "max"}).first()[0] <= 3 * 16
+        assert left.where("_row > 0").count() > 5
+        assert seen[0][0].join(seen[0][1], cell).select("word", "term", "l", "m", "i").count() >= len(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {
+        (a, b) for a, b in itertools.product(set(words), listed) if 1 - distance(a, b) / max(len(a), len(b)) >= 0.75
+    }
+    assert len(found) > 20
+
+
+def test_only_openings_leave_the_row_of_a_text(spark):
+    rnd = random.Random(4)
+    texts = [(i, " ".join(rnd.choice("abcdefghijklmnopqrst") + rnd.choice("xyz") for _ in range(200))) for i in range(50)]
+    texts += [(99, None), (100, ""), (101, "one"), (102, "ax bx")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    openings = spark.createDataFrame([("ax", "bx"), ("cy", "dz")], "word string, following string")
+    test = terms._opening_filter(openings, "word", "following")
+    got = sorted((r.id, r.start, r.word, r.following) for r in terms._opening_pairs(df, "id", "t", test).collect())
+    pairs = [(i, n, *two) for i, t in texts for n, two in enumerate(itertools.pairwise((t or "").split()))]
+    want = [p for p in pairs if p[2:] in {("ax", "bx"), ("cy", "dz")}]
+    assert set(want) <= set(got) and len(got) <= len(want) + len(pairs) / 50
+    none = terms._opening_filter(openings.limit(0), "word", "following")
+    assert terms._opening_pairs(df, "id", "t", none).count() == 0
+
+
 def test_loose_bounds_miss_nothing_or_are_refused(spark, vocabulary):
     words, glossary = vocabulary[0][:150] + ["ab", "a"], vocabulary[1][:60] + ["abzz", "ab", "b"]
     w = spark.createDataFrame([(x,) for x in words], "word string")
