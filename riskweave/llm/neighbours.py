@@ -17,6 +17,8 @@ TILE_ROWS = 2_048
 _SINGLE_PRECISION = 1_000
 #: Widens the bounds by more than the rounding of their own computation.
 _SLACK = 1e-6
+#: Squares below the square of this may vanish in double precision, so bounds leave it room.
+_LEAST = 1e-150
 
 
 def usable(vector: Column) -> Column:
@@ -35,12 +37,24 @@ def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def exact(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, components added in order."""
-    total = np.zeros(len(candidates))
-    for d in range(len(query)):
-        step = candidates[:, d] - query[d]
-        total += step * step
-    return np.sqrt(total)
+    """Euclidean distances in double precision, components added in order.
+
+    Where squares leave the range of doubles, the steps are divided by the largest one first. A
+    distance above the largest double is infinite.
+    """
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(candidates))
+        for d in range(len(query)):
+            step = candidates[:, d] - query[d]
+            total += step * step
+        found = np.sqrt(total)
+        odd = np.flatnonzero((found < _LEAST) | (found == np.inf))
+        if len(odd):
+            steps = np.abs(candidates[odd] - query)
+            most = steps.max(axis=1)
+            shares = np.divide(steps, most[:, None], out=np.zeros_like(steps), where=(most[:, None] > 0) & np.isfinite(steps))
+            found[odd] = np.where(np.isfinite(most), most * np.sqrt((shares * shares).sum(axis=1)), np.inf)
+    return found
 
 
 def search_block(
@@ -51,20 +65,25 @@ def search_block(
     The distance of the codes' vectors differs from the true one by the two left-out lengths at
     most. Per tile, an integer product gives all code distances; pairs whose lower bound exceeds
     the k-th smallest upper bound (or what the heap holds already) are passed over; the rest are
-    computed on the vectors themselves and kept in a heap of k.
+    computed on the vectors themselves and kept in a heap of k. Bounds are taken on vectors divided by
+    a power of two near their largest component, so that squares neither overflow nor count as zero
+    unnoticed.
     """
+    largest = max((float(np.abs(x).max()) for x in (queries, vectors) if x.size), default=0.0)
+    shrink = int(np.frexp(largest)[1])
+    original, queries = queries, np.ldexp(queries, -shrink)
     kind = np.float32 if queries.shape[1] <= _SINGLE_PRECISION else np.float64
     qc, qs, qe = quantise(queries)
     q_product, q_square = qc.astype(kind), (qc.astype(np.float64) ** 2).sum(axis=1) * qs**2
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     for at in range(0, len(ids), TILE_ROWS):
         tile, tile_ids = vectors[at : at + TILE_ROWS], ids[at : at + TILE_ROWS]
-        c, s, e = quantise(tile)
+        c, s, e = quantise(np.ldexp(tile, -shrink))
         square = (c.astype(np.float64) ** 2).sum(axis=1) * s**2
         dots = (q_product @ c.astype(kind).T).astype(np.float64) * qs[:, None] * s[None, :]
         squares = q_square[:, None] + square[None, :]
         near = np.sqrt(np.maximum(squares - 2 * dots, 0))
-        room = qe[:, None] + e[None, :] + _SLACK * np.sqrt(squares)
+        room = qe[:, None] + e[None, :] + _SLACK * np.sqrt(squares) + _LEAST
         own = tile_ids[None, :] == query_ids[:, None]
         upper = np.where(own, np.inf, near + room)
         lower = np.where(own, np.inf, near - room)
@@ -73,11 +92,11 @@ def search_block(
         else:
             bound = np.full(len(query_ids), np.inf)
         for row, heap in enumerate(heaps):
-            limit = min(bound[row], -heap[0][0] if len(heap) == k else np.inf)
-            left = np.flatnonzero((lower[row] <= limit) & ~own[row])
+            held = np.ldexp(-heap[0][0], -shrink) * (1 + _SLACK) if len(heap) == k else np.inf
+            left = np.flatnonzero(~(lower[row] > min(bound[row], held)) & ~own[row])
             if not len(left):
                 continue
-            for distance, other in zip(exact(queries[row], tile[left]).tolist(), tile_ids[left].tolist()):
+            for distance, other in zip(exact(original[row], tile[left]).tolist(), tile_ids[left].tolist()):
                 item = (-distance, -other)
                 if len(heap) < k:
                     heapq.heappush(heap, item)
@@ -99,7 +118,8 @@ def nearest(
     Nearness is the smallest Euclidean distance, ties to the smaller key. Vectors that are null,
     zero or hold a null or non-finite component take no part, nor do rows without key. Only vectors
     of one length are compared. A row that repeats key and vector counts once; rows with the key of
-    the query are its own and no candidates. Fewer than k candidates give them all.
+    the query are its own and no candidates. An id with several vectors is a candidate with each of
+    them, and as a query gets the k nearest to any of them. Fewer than k candidates give them all.
     """
     rows = df.select(
         F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("is_query")

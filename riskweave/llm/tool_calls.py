@@ -48,7 +48,18 @@ def checked_schema(schema: object, path: str) -> None:
         if not isinstance(kind, str) or kind not in _KINDS:
             raise ValueError(f"{path}: unknown type {kind!r}")
     if "pattern" in schema:
-        re.compile(schema["pattern"])
+        try:
+            re.compile(schema["pattern"])
+        except (re.error, TypeError) as error:
+            raise ValueError(f"{path}: pattern: {error}") from error
+    step = schema.get("multipleOf", 1)
+    if isinstance(step, bool) or not isinstance(step, (int, float)) or not 0 < step < math.inf:
+        raise ValueError(f"{path}: multipleOf must be a number above 0")
+    if not isinstance(schema.get("properties", {}), dict):
+        raise ValueError(f"{path}: properties must be an object")
+    for key in ("anyOf", "oneOf", "allOf", "required", "enum"):
+        if not isinstance(schema.get(key, []), list):
+            raise ValueError(f"{path}: {key} must be a list")
     for name, part in schema.get("properties", {}).items():
         checked_schema(part, f"{path}.{name}")
     for key in ("additionalProperties", "items", "not"):
@@ -141,9 +152,14 @@ def canonical(value: object) -> str:
 
 
 def check_arguments(tool: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[object, str | None]:
-    """The parsed arguments (or the raw text) and the first fault, null if valid."""
+    """The parsed arguments (or the raw text) and the first fault, null if valid.
+
+    A number beyond the range of doubles is a fault: it has no canonical form.
+    """
     try:
-        value = json.loads(arguments if arguments is not None else "", parse_constant=_refuse)
+        value = json.loads(arguments if arguments is not None else "", parse_constant=_refuse, parse_float=_finite, parse_int=_whole)
+    except OverflowError:
+        return arguments, "arguments: number out of range"
     except (ValueError, RecursionError):
         return arguments, "arguments: not JSON"
     if tool not in schemas:
@@ -156,6 +172,19 @@ def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if math.isinf(value):
+        raise OverflowError(digits)
+    return value
+
+
+def _whole(digits: str) -> int:
+    value = int(digits)
+    float(value)  # raises OverflowError
+    return value
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """Depth of every call below the call it follows: conversation, call_id, level, broken.
 
