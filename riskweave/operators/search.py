@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from riskweave.session import written
 
-#: Vectors of a block, on average at most.
-BLOCK_ROWS = 2_048
+#: Bytes of vectors in a block of the corpus and in a block of queries, on average at most.
+BLOCK_BYTES, QUERY_BYTES = 4 << 20, 32 << 20
+#: Blocks of the corpus that meet a block of queries in one task, on average.
+BLOCKS_PER_TASK = 8
 #: Pivots are fitted on a sample of at most this many bytes, and all pivots take at most PIVOT_BYTES.
 SAMPLE_BYTES = 16 << 20
 PIVOT_BYTES = 4 << 20
@@ -82,14 +84,14 @@ class _Best:
 # --------------------------------------------------------------------------- pivots and blocks
 
 
-def _pivots(corpus: DataFrame, rows: int, width: int, block_rows: int) -> np.ndarray:
-    """Centres of a k-means fit on a sample of bounded size; any centres give right results."""
-    most = max(1, min(MOST_PIVOTS, PIVOT_BYTES // (8 * max(1, width)), rows // block_rows))
-    if most == 1:
-        return np.zeros((1, width))
-    sample = max(most, SAMPLE_BYTES // (8 * width))
-    taken = corpus.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
-    points = _unit(taken)
+def _sample(corpus: DataFrame, width: int) -> np.ndarray:
+    """Unit vectors of a bounded sample of the corpus, the same ones on every run."""
+    rows = max(MOST_PIVOTS, SAMPLE_BYTES // (8 * width))
+    return _unit(corpus.orderBy(F.xxhash64("id"), "id").limit(rows).select("v").toPandas()["v"])
+
+
+def _pivots(points: np.ndarray, most: int) -> np.ndarray:
+    """Centres of a k-means fit on the sample; any centres give right results."""
     centres = points[:: max(1, len(points) // most)][:most].copy()
     for _ in range(PIVOT_ROUNDS):
         nearest = _distances(points, centres).argmin(axis=1)
@@ -105,7 +107,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
-def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _placed(df: DataFrame, pivots: np.ndarray, width: float) -> DataFrame:
     """Unit vectors with their nearest pivot, its distance and the ring of that distance."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +118,7 @@ def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
                 cell = distances.argmin(axis=1)
                 away = distances[np.arange(len(cell)), cell]
                 yield pd.DataFrame(
-                    {"id": frame["id"], "v": list(vectors), "cell": cell, "away": away, "ring": np.floor(away / RING).astype(int)}
+                    {"id": frame["id"], "v": list(vectors), "cell": cell, "away": away, "ring": np.floor(away / width).astype(int)}
                 )
 
     return df.mapInPandas(work, "id long, v array<double>, cell int, away double, ring int")
@@ -130,12 +132,12 @@ class _Side:
     rings: pd.DataFrame
 
 
-def _side(df: DataFrame, pivots: np.ndarray, block_rows: int, name: str) -> _Side:
+def _side(df: DataFrame, pivots: np.ndarray, ring_width: float, block_rows: int, name: str) -> _Side:
     """Cut a side into blocks of one cell and ring; a large ring is dealt over several blocks.
 
     The table of rings has a row per pivot and ring at most, whatever the number of vectors.
     """
-    placed = written(_placed(df, pivots), f"{name}-placed")
+    placed = written(_placed(df, pivots, ring_width), f"{name}-placed")
     ring = ["cell", "ring"]
     sizes = placed.groupBy(*ring).agg(
         F.count(F.lit(1)).alias("n"), F.min("away").alias("near"), F.max("away").alias("far")
@@ -164,8 +166,8 @@ def _side(df: DataFrame, pivots: np.ndarray, block_rows: int, name: str) -> _Sid
 class _Bounds:
     """Lower bounds of the distance between a block of queries and the rings of the corpus."""
 
-    def __init__(self, pivots: np.ndarray, rings: pd.DataFrame, enough: int):
-        self.apart = _distances(pivots, pivots)
+    def __init__(self, asked: np.ndarray, pivots: np.ndarray, rings: pd.DataFrame, enough: int):
+        self.apart = _distances(asked, pivots)
         self.cell, self.ring, self.salts = (rings[c].to_numpy() for c in ("cell", "ring", "salts"))
         self.near, self.far = rings["near"].to_numpy(), rings["far"].to_numpy()
         self.rows_of_block = rings["n"].to_numpy() // np.maximum(1, self.salts)
@@ -224,9 +226,13 @@ def _further_pairs(blocks: DataFrame, need: DataFrame, bounds: _Bounds) -> DataF
 
 
 def _met(
-    pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, at_least: float | None
+    pairs: DataFrame, queries: DataFrame, corpus: _Side, k: int, skip_self: bool, at_least: float | None
 ) -> DataFrame:
-    """The k best of each pair of blocks, and what reaches ``at_least``."""
+    """The k best of each pair of blocks, and what reaches ``at_least``.
+
+    The blocks that a block of queries meets are dealt over slots, and the queries go once to each slot
+    in use; a block of the corpus goes once to each block of queries that it meets.
+    """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -236,9 +242,14 @@ def _met(
                 best.add(ids, np.asarray(row.values_).reshape(len(ids), -1))
                 yield best.frame().assign(block=row.block)[["block", "query_id", "corpus_id", "score"]]
 
-    asked = queries.select("block", F.col("ids").alias("asked_ids"), F.col("values").alias("asked_values"))
-    kept = corpus.select("cell", "ring", "salt", "ids", F.col("values").alias("values_"))
-    return pairs.join(kept, ["cell", "ring", "salt"]).join(asked, "block").drop("cell", "ring", "salt").mapInPandas(work, _HITS)
+    place = ["cell", "ring", "salt"]
+    slots = max(1, -(-int(corpus.rings["salts"].sum()) // BLOCKS_PER_TASK))
+    dealt = pairs.withColumn("slot", F.pmod(F.xxhash64(*place), F.lit(slots)))
+    asked = dealt.select("block", "slot").distinct().join(
+        queries.select("block", F.col("ids").alias("asked_ids"), F.col("values").alias("asked_values")), "block"
+    )
+    kept = corpus.blocks.select(*place, "ids", F.col("values").alias("values_"))
+    return dealt.join(kept, place).join(asked, ["block", "slot"]).drop(*place, "slot").mapInPandas(work, _HITS)
 
 
 @dataclass
@@ -267,16 +278,25 @@ def prepared(
     queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, skip_self: bool = False,
     at_least: float | None = None, block_rows: int | None = None,
 ) -> Search:
-    """Blocks, first hits, and the pairs of blocks that the bounds leave."""
-    block_rows = block_rows or BLOCK_ROWS
+    """Blocks, first hits, and the pairs of blocks that the bounds leave.
+
+    ``block_rows`` sets the size of the blocks of both sides instead of their bytes.
+    """
     kept, asked = _vectors(corpus, key, vector), _vectors(queries, key, vector)
     rows, width = kept.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    pivots = _pivots(kept, rows, width or asked.agg(F.max(F.size("v"))).first()[0] or 1, block_rows)
-    there = _side(kept, pivots, block_rows, "search-corpus")
-    here = there if queries is corpus else _side(asked, pivots, block_rows, "search-queries")
-    bounds = _Bounds(pivots, there.rings, 2 * (k + 1))
+    asked_rows, asked_width = (rows, width) if queries is corpus else asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    width = max(1, width or asked_width or 1)
+    sizes = [block_rows or max(1, size // (8 * width)) for size in (BLOCK_BYTES, QUERY_BYTES)]
+    most = max(1, min(MOST_PIVOTS, PIVOT_BYTES // (8 * width)))
+    wanted = [max(1, min(most, n // size)) for n, size in zip((rows, asked_rows), sizes)]
+    points = _sample(kept, width) if max(wanted) > 1 else np.empty((0, width))
+    pivots, centres = (_pivots(points, n) if n > 1 and len(points) else np.zeros((1, width)) for n in wanted)
+    there = _side(kept, pivots, RING, sizes[0], "search-corpus")
+    # Queries are cut by cells alone: fewer, larger blocks carry the corpus to fewer places.
+    here = _side(asked, centres, np.inf, sizes[1], "search-queries")
+    bounds = _Bounds(centres, pivots, there.rings, 2 * (k + 1))
     first = _first_pairs(here.blocks, bounds)
-    hits = written(_met(first, here.blocks, there.blocks, k, skip_self, at_least), "search-hits")
+    hits = written(_met(first, here.blocks, there, k, skip_self, at_least), "search-hits")
     # A block needs what its worst query has so far; a query with fewer than k hits needs all.
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     reached = (
@@ -313,7 +333,7 @@ def nearest(
     and all vectors have one length.
     """
     search = prepared(queries, corpus, key, vector, k, skip_self, at_least, block_rows)
-    more = _met(search.further, search.queries.blocks, search.corpus.blocks, k, skip_self, at_least)
+    more = _met(search.further, search.queries.blocks, search.corpus, k, skip_self, at_least)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     wanted = F.col("rank") <= k
     if at_least is not None:
