@@ -42,7 +42,8 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 class _Best:
     """The k best corpus ids per query seen so far, by rounded score, then smallest id.
 
-    ``at_least`` also keeps every id of that score or more.
+    ``at_least`` also keeps every id of that score or more. A tile is first cut to what reaches the
+    k-th score of its own row and of all before; only that is sorted.
     """
 
     def __init__(
@@ -50,8 +51,8 @@ class _Best:
     ):
         self.query_ids, self.matrix, self.k, self.skip_self = query_ids, matrix, k, skip_self
         self.at_least, self.above = at_least, []
-        self.scores = np.empty((len(query_ids), 0))
-        self.ids = np.empty((len(query_ids), 0), dtype=np.int64)
+        self.row, self.id, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.reached = np.full(len(query_ids), -np.inf)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         width = max(1, TILE_CELLS // len(self.query_ids))
@@ -65,16 +66,22 @@ class _Best:
         if self.at_least is not None:
             row, column = np.nonzero(fresh >= self.at_least)
             self.above.append((self.query_ids[row], ids[column], fresh[row, column]))
-        scores = np.hstack([self.scores, fresh])
-        every = np.hstack([self.ids, np.broadcast_to(ids, fresh.shape)])
-        order = np.lexsort((every, -scores), axis=1)[:, : self.k]
-        self.scores = np.take_along_axis(scores, order, axis=1)
-        self.ids = np.take_along_axis(every, order, axis=1)
+        least = self.reached
+        if fresh.shape[1] > self.k:
+            least = np.maximum(least, -np.partition(-fresh, self.k - 1, axis=1)[:, self.k - 1])
+        row, column = np.nonzero((fresh >= least[:, None]) & np.isfinite(fresh))
+        rows, every = np.append(self.row, row), np.append(self.id, ids[column])
+        scores = np.append(self.score, fresh[row, column])
+        order = np.lexsort((every, -scores, rows))
+        rows = rows[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+        order, rows, place = (x[place < self.k] for x in (order, rows, place))
+        self.row, self.id, self.score = rows, every[order], scores[order]
+        full = place == self.k - 1
+        self.reached[rows[full]] = self.score[full]
 
     def frame(self) -> pd.DataFrame:
-        kept = np.isfinite(self.scores)
-        rows = np.broadcast_to(self.query_ids[:, None], self.scores.shape)
-        found = [(rows[kept], self.ids[kept], self.scores[kept]), *self.above]
+        found = [(self.query_ids[self.row], self.id, self.score), *self.above]
         frame = pd.DataFrame(
             {c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("query_id", "corpus_id", "score"))}
         )
@@ -235,12 +242,20 @@ def _met(
     """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows of one block of queries follow each other; their best are handed on once.
+        block, best = None, None
         for frame in frames:
             for row in frame.itertuples():
-                asked, ids = np.asarray(row.asked_ids), np.asarray(row.ids)
-                best = _Best(asked, np.asarray(row.asked_values).reshape(len(asked), -1), k, skip_self, at_least)
+                if row.block != block or at_least is not None:
+                    if best is not None:
+                        yield best.frame().assign(block=block)[["block", "query_id", "corpus_id", "score"]]
+                    asked = np.asarray(row.asked_ids)
+                    block = row.block
+                    best = _Best(asked, np.asarray(row.asked_values).reshape(len(asked), -1), k, skip_self, at_least)
+                ids = np.asarray(row.ids)
                 best.add(ids, np.asarray(row.values_).reshape(len(ids), -1))
-                yield best.frame().assign(block=row.block)[["block", "query_id", "corpus_id", "score"]]
+        if best is not None:
+            yield best.frame().assign(block=block)[["block", "query_id", "corpus_id", "score"]]
 
     place = ["cell", "ring", "salt"]
     slots = max(1, -(-int(corpus.rings["salts"].sum()) // BLOCKS_PER_TASK))
@@ -249,7 +264,8 @@ def _met(
         queries.select("block", F.col("ids").alias("asked_ids"), F.col("values").alias("asked_values")), "block"
     )
     kept = corpus.blocks.select(*place, "ids", F.col("values").alias("values_"))
-    return dealt.join(kept, place).join(asked, ["block", "slot"]).drop(*place, "slot").mapInPandas(work, _HITS)
+    met = dealt.join(kept, place).join(asked, ["block", "slot"]).drop(*place, "slot")
+    return met.sortWithinPartitions("block").mapInPandas(work, _HITS)
 
 
 @dataclass
