@@ -235,37 +235,31 @@ def _further_pairs(blocks: DataFrame, need: DataFrame, bounds: _Bounds) -> DataF
 def _met(
     pairs: DataFrame, queries: DataFrame, corpus: _Side, k: int, skip_self: bool, at_least: float | None
 ) -> DataFrame:
-    """The k best of each pair of blocks, and what reaches ``at_least``.
+    """The k best of each block of queries and slot, and what reaches ``at_least``.
 
     The blocks that a block of queries meets are dealt over slots, and the queries go once to each slot
     in use; a block of the corpus goes once to each block of queries that it meets.
     """
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows of one block of queries follow each other; their best are handed on once.
-        block, best = None, None
-        for frame in frames:
-            for row in frame.itertuples():
-                if row.block != block or at_least is not None:
-                    if best is not None:
-                        yield best.frame().assign(block=block)[["block", "query_id", "corpus_id", "score"]]
-                    asked = np.asarray(row.asked_ids)
-                    block = row.block
-                    best = _Best(asked, np.asarray(row.asked_values).reshape(len(asked), -1), k, skip_self, at_least)
-                ids = np.asarray(row.ids)
-                best.add(ids, np.asarray(row.values_).reshape(len(ids), -1))
-        if best is not None:
-            yield best.frame().assign(block=block)[["block", "query_id", "corpus_id", "score"]]
+    def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"block": [], "query_id": [], "corpus_id": [], "score": []})
+        asked = np.asarray(right["asked_ids"].iloc[0])
+        matrix = np.asarray(right["asked_values"].iloc[0]).reshape(len(asked), -1)
+        best = _Best(asked, matrix, k, skip_self, at_least)
+        for ids, values in zip(left["ids"], left["values_"]):
+            best.add(np.asarray(ids), np.asarray(values).reshape(len(ids), -1))
+        return best.frame().assign(block=key[0])[["block", "query_id", "corpus_id", "score"]]
 
     place = ["cell", "ring", "salt"]
     slots = max(1, -(-int(corpus.rings["salts"].sum()) // BLOCKS_PER_TASK))
     dealt = pairs.withColumn("slot", F.pmod(F.xxhash64(*place), F.lit(slots)))
     asked = dealt.select("block", "slot").distinct().join(
         queries.select("block", F.col("ids").alias("asked_ids"), F.col("values").alias("asked_values")), "block"
-    )
+    ).select(F.col("block").alias("of_block"), F.col("slot").alias("of_slot"), "asked_ids", "asked_values")
     kept = corpus.blocks.select(*place, "ids", F.col("values").alias("values_"))
-    met = dealt.join(kept, place).join(asked, ["block", "slot"]).drop(*place, "slot")
-    return met.sortWithinPartitions("block").mapInPandas(work, _HITS)
+    met = dealt.join(kept, place).drop(*place)
+    return met.groupBy("block", "slot").cogroup(asked.groupBy("of_block", "of_slot")).applyInPandas(work, _HITS)
 
 
 @dataclass
@@ -302,7 +296,9 @@ def prepared(
     rows, width = kept.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     asked_rows, asked_width = (rows, width) if queries is corpus else asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     width = max(1, width or asked_width or 1)
-    sizes = [block_rows or max(1, size // (8 * width)) for size in (BLOCK_BYTES, QUERY_BYTES)]
+    # Every hit above a score may be many: smaller blocks of queries keep them in a task's memory.
+    asked_bytes = QUERY_BYTES if at_least is None else QUERY_BYTES // 16
+    sizes = [block_rows or max(1, size // (8 * width)) for size in (BLOCK_BYTES, asked_bytes)]
     most = max(1, min(MOST_PIVOTS, PIVOT_BYTES // (8 * width)))
     wanted = [max(1, min(most, n // size)) for n, size in zip((rows, asked_rows), sizes)]
     points = _sample(kept, width) if max(wanted) > 1 else np.empty((0, width))
