@@ -55,6 +55,37 @@ def category(
     return chain.otherwise(F.lit(None).cast("string"))
 
 
+def category_function_sql(
+    name: str = "movement_category",
+    table: Sequence[rules.CategoryRule] = rules.CATEGORY_RULES,
+    temporary: bool = True,
+) -> str:
+    """Statement that makes ``table`` a SQL function of (code, side, label), for users of SQL.
+
+    Spark puts the body in place of each call, so a query that calls it compiles like ``category``.
+    A temporary function lasts as long as the session; another belongs to the current schema.
+    """
+
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    branches = []
+    for rule in table:
+        tests = []
+        if rule.codes:
+            tests.append(f"code IN ({', '.join(f'{c}L' for c in rule.codes)})")
+        if rule.direction:
+            tests.append(f"side = {text(rule.direction)}")
+        if rule.label_prefixes:
+            tests.append("(" + " OR ".join(f"startswith(label, {text(p)})" for p in rule.label_prefixes) + ")")
+        branches.append(f"WHEN {' AND '.join(tests)} THEN {text(rule.category)}")
+    kind = "TEMPORARY FUNCTION" if temporary else "FUNCTION"
+    return (
+        f"CREATE OR REPLACE {kind} {name}(code BIGINT, side STRING, label STRING) RETURNS STRING\n"
+        "RETURN CASE " + "\n  ".join(branches) + " END"
+    )
+
+
 def without_cancelled(
     movements: DataFrame, cancels: DataFrame, keys: Sequence[str]
 ) -> DataFrame:

@@ -68,6 +68,23 @@ def movement_categories(spark, sf):
     )
 
 
+@query(
+    "p02_category_function",
+    f"""WITH {b.MOVEMENT_SQL}, {b.CATEGORY_SQL}
+SELECT category, family, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount
+FROM categorised GROUP BY category, family""",
+)
+def category_function(spark, sf):
+    """The categories by a SQL function that is called in plain SQL."""
+    spark.sql(mv.category_function_sql())
+    return spark.sql(
+        """SELECT movement_category(code, CASE WHEN amount > 0 THEN 'credit' WHEN amount <= 0 THEN 'debit' END, label)
+    AS category, family, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount
+  FROM {movement} GROUP BY ALL""",
+        movement=b.movements(spark, sf),
+    )
+
+
 @query(
     "p03_label_prefixes",
     """SELECT p_partkey, p_name,

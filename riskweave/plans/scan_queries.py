@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -50,6 +51,41 @@ def table_scans(spark, sf):
     return out
 
 
+_SCANNED = ("orders", "lineitem", "customer")
+
+
+def _registered(spark, sf):
+    """The schema that holds the tables of ``sf``; its name follows from the folder."""
+    schema = f"riskweave_{zlib.crc32(sf.encode()):08x}"
+    src.register_tables(spark, schema, sf, _SCANNED)
+    return schema
+
+
+@query(
+    "s01_catalog_scans",
+    """SELECT strftime(o_orderdate, '%Y%m') AS month, c_mktsegment AS segment, count(*) AS n,
+  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+WHERE l_quantity > 10 GROUP BY 1, 2""",
+)
+def catalog_scans(spark, sf):
+    """Three tables read by their three-part names, joined and totalled."""
+    schema = _registered(spark, sf)
+    line, order, customer = (
+        src.catalog_table(spark, src.SESSION_CATALOG, schema, t) for t in ("lineitem", "orders", "customer")
+    )
+    return (
+        line.where(F.col("l_quantity") > 10)
+        .join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.date_format("o_orderdate", "yyyyMM").alias("month"), F.col("c_mktsegment").alias("segment"))
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount"),
+        )
+    )
+
+
 def _order_totals(rows):
     return rows.groupBy(F.date_format("o_orderdate", "yyyyMM").alias("month")).agg(
         F.count("*").alias("n"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from riskweave.functions.scalars import as_col, months_before
+from riskweave.session import shared_folder
+
+SESSION_CATALOG = "spark_catalog"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def register_tables(spark: SparkSession, schema: str, folder: str, names: Sequence[str]) -> None:
+    """Make the files of ``folder`` tables of ``schema`` in the session's catalogue.
+
+    A table points to its file and moves no row. The schema's own folder lies in the shared one. A
+    table that is already there is kept if it points to the same file and refused if not.
+    """
+    home = os.path.join(shared_folder(spark), "schemas", schema)
+    spark.sql("CREATE SCHEMA IF NOT EXISTS IDENTIFIER(:name) LOCATION " + _literal(home), {"name": schema})
+    for name in names:
+        path = os.path.join(folder, f"{name}.parquet")
+        full = f"{SESSION_CATALOG}.{schema}.{name}"
+        if not spark.catalog.tableExists(full):
+            spark.catalog.createTable(full, path=path, source="parquet")
+            continue
+        rows = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:name)", {"name": full})
+        at = rows.where(F.col("col_name") == "Location").first()["data_type"]
+        if _without_scheme(at) != _without_scheme(path):
+            raise ValueError(f"{full} is a table of {at}, not of {path}")
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _without_scheme(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path).rstrip("/")
+
+
 def catalog_table(spark: SparkSession, catalog: str, schema: str, name: str) -> DataFrame:
     return spark.table(f"{catalog}.{schema}.{name}")
 
@@ -107,20 +139,17 @@ def score_csv(
 
 
 def export_by_period(
-    df: DataFrame, target: str, time: str, file_format: str = "parquet", files_per_period: int = 4, period: str = "day"
+    df: DataFrame, target: str, time: str, file_format: str = "parquet", period: str = "day"
 ) -> None:
     """Rewrite only the folders of the days, weeks or months present in ``df``.
 
-    A folder is named ``<period>=<its first day>``. The rows of a period are dealt to
-    ``files_per_period`` tasks at most, by a hash of the whole row, so a period has few files and a
-    busy one is not one task.
+    A folder is named ``<period>=<its first day>``. Rows are rebalanced by period: adaptive execution
+    joins short periods into one task, which writes a file for each, and cuts a long one into tasks of
+    the advisory size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), a file each.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_period))
     (
         df.withColumn(period, F.to_date(F.date_trunc(period, time)))
-        .withColumn("_salt", salt)
-        .repartition(period, "_salt")
-        .drop("_salt")
+        .hint("rebalance", F.col(period))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(period)
