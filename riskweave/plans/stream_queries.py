@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave.plans.registry import query
@@ -78,6 +79,14 @@ SELECT batch, count(*) AS n_rows, count(*) FILTER (WHERE us < mark) AS n_late FR
 )
 def late_rows(spark, sf):
     """All events arrive in stretches of time, every tenth of them one stretch too late."""
+    target, checkpoint = mon.new_target(spark, "late")
+    for stream in _arrivals(spark, sf):
+        counts = mon.late_row_counts(stream, "ts", 3600, target, checkpoint)
+    return counts.select("batch", "n_rows", "n_late")
+
+
+def _arrivals(spark, sf):
+    """The stream after each arrival: stretches of time, every tenth event one stretch too late."""
     events = src.table(spark, sf, "events").select(
         *[F.col(f.name).cast(f.dataType) for f in mon.EVENT_SCHEMA.fields]
     )
@@ -86,12 +95,30 @@ def late_rows(spark, sf):
     span = ((ends["last"] or 0) - (ends["first"] or 0)) // _ARRIVALS + 1
     number = F.floor((seen - (ends["first"] or 0)) / span) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
     folder, _ = mon.new_target(spark, "arrivals")
-    target, checkpoint = mon.new_target(spark, "late")
     for n in range(_ARRIVALS + 1):
         events.where(number == n).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(mon.EVENT_SCHEMA).parquet(folder)
-        counts = mon.late_row_counts(stream, "ts", 3600, target, checkpoint)
-    return counts.select("batch", "n_rows", "n_late")
+        yield spark.readStream.schema(mon.EVENT_SCHEMA).parquet(folder)
+
+
+@query(
+    "t02_dropped_rows",
+    f"""WITH e AS (SELECT epoch_us(ts) AS us, epoch_us(date_trunc('hour', ts)) + 3600000000 AS closes, event_id FROM events),
+b AS (SELECT min(us) AS lo, (max(us) - min(us)) // {_ARRIVALS} + 1 AS span FROM e),
+a AS (SELECT us, closes, CAST((us - lo) // span + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS arrival FROM e, b),
+w AS (SELECT arrival, max(max(us)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  - 3600000000 AS mark FROM a GROUP BY arrival)
+SELECT arrival, count(*) AS n_rows, count(*) FILTER (WHERE mark IS NULL OR closes > mark) AS n_kept,
+  count(*) FILTER (WHERE closes <= mark) AS n_dropped, count(DISTINCT closes) FILTER (WHERE closes <= mark) AS n_groups_dropped
+FROM a JOIN w USING (arrival) GROUP BY arrival""",
+)
+def dropped_rows(spark, sf):
+    """Rows that the hourly windows really dropped, from the progress and the windows of the query."""
+    target, checkpoint = mon.new_target(spark, "dropped")
+    for stream in _arrivals(spark, sf):
+        mon.windows_with_drops(stream, "1 hour", "1 hour", target, checkpoint)
+    counts = mon.dropped_row_counts(spark, target)
+    arrival = F.row_number().over(Window.orderBy("batch")) - 1  # a row per batch, batches without rows left out
+    return counts.select(arrival.cast("long").alias("arrival"), "n_rows", "n_kept", "n_dropped", "n_groups_dropped")
 
 
 @query(
@@ -226,5 +253,5 @@ SELECT user_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_start, n, CAST(error
 WHERE e + INTERVAL 6 HOUR <= {_CLOSED_SQL}""",
 )
 def user_sessions(spark, sf):
-    out = mon.run_to_table(mon.user_sessions(_events(spark, sf), "6 hours"), "sessions")
+    out = mon.run_to_table(mon.user_sessions(_events(spark, sf), "6 hours"), "sessions", mon.SESSIONS_MERGED_EARLY)
     return out.select("user_id", _shown("session_start"), "n", "n_errors", "n_retries", "abandoned")

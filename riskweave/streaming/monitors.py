@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import (
     DoubleType,
     LongType,
@@ -59,11 +61,31 @@ def new_target(spark: SparkSession, name: str) -> tuple[str, str]:
     return os.path.join(base, "data"), os.path.join(base, "checkpoint")
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+#: Sessions are merged in each task before they are shuffled: a busy user sends a row per session and
+#: task, not a row per event.
+SESSIONS_MERGED_EARLY = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the streams that start inside; a stream keeps those it started with."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def run_to_table(stream: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
     """Drain a stream into a fresh table of the shared folder and read the table."""
     spark = stream.sparkSession
     target, checkpoint = new_target(spark, name)
-    to_table(stream, target, checkpoint).awaitTermination()
+    with settings(spark, conf or {}):
+        started = to_table(stream, target, checkpoint)
+    started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
 
 
@@ -151,6 +173,93 @@ def late_row_counts(
     return stream.sparkSession.read.schema(columns).parquet(target)
 
 
+class _Progress(StreamingQueryListener):
+    """The progress of one query, a narrow row per micro-batch, until the query has ended."""
+
+    def __init__(self) -> None:
+        self.query: str | None = None
+        self.ended = threading.Event()
+        self.rows: dict[str, dict[int, tuple[int, int, int]]] = {}
+        self.over: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        dropped = sum(operator.numRowsDroppedByWatermark for operator in p.stateOperators)
+        self.rows.setdefault(str(p.runId), {})[p.batchId] = (p.batchId, p.numInputRows, dropped)
+
+    def onQueryTerminated(self, event) -> None:
+        self.over.add(str(event.runId))
+        if self.query in self.over:
+            self.ended.set()
+
+    def wait(self, run: str, seconds: float) -> list[tuple[int, int, int]]:
+        """All rows of a run that has ended; its events may still be on their way."""
+        self.query = run
+        if run not in self.over and not self.ended.wait(seconds):
+            raise TimeoutError(f"no end of query {run} after {seconds} s")
+        return [row for _, row in sorted(self.rows.get(run, {}).items())]
+
+
+_DROPPED = "batch long, n_rows long, n_groups_dropped long"
+
+
+def windows_with_drops(
+    events: DataFrame, length: str, delay: str, target: str, checkpoint: str, patience: float = 60.0
+) -> None:
+    """Run the window query over all data that is there and note what its watermark dropped.
+
+    ``target/windows`` gets the windows each micro-batch changed (update mode), ``target/progress`` a
+    row per batch from the query's own progress. Both are named after the batch, so a repeated batch
+    overwrites itself, and a rerun with the same folders goes on after the last batch. The progress
+    of a run is written when it ends: a driver lost before leaves batches without a row there.
+    """
+    spark = events.sparkSession
+    progress = _Progress()
+    spark.streams.addListener(progress)
+    try:
+        started = (
+            windowed_kpis(events, length, delay=delay)
+            .writeStream.outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(
+                lambda rows, n: rows.withColumn("batch", F.lit(n).cast("long"))
+                .write.mode("overwrite").parquet(os.path.join(target, "windows", f"part={n}"))
+            )
+            .start()
+        )
+        started.awaitTermination()
+        rows = progress.wait(str(started.runId), patience)
+    finally:
+        spark.streams.removeListener(progress)
+    for row in rows:
+        one = spark.createDataFrame([row], _DROPPED).coalesce(1)
+        one.write.mode("overwrite").parquet(os.path.join(target, "progress", f"part={row[0]}"))
+
+
+def dropped_row_counts(spark: SparkSession, target: str) -> DataFrame:
+    """Rows that the query of ``windows_with_drops`` read, kept and dropped in each batch with rows.
+
+    Spark counts drops after rows of one window are summed (``n_groups_dropped``), so the number of
+    rows kept comes from the windows: what each gained over the batch that changed it before. A
+    dropped window never opens again, so the gains of all batches add up to the final windows.
+    """
+    seen = spark.read.schema(_DROPPED).parquet(os.path.join(target, "progress"))
+    windows = spark.read.schema("window_start timestamp, n long, batch long").parquet(os.path.join(target, "windows"))
+    before = F.lag("n", 1, 0).over(Window.partitionBy("window_start").orderBy("batch"))
+    kept = windows.withColumn("gain", F.col("n") - before).groupBy("batch").agg(F.sum("gain").alias("n_kept"))
+    n_kept = F.coalesce("n_kept", F.lit(0))
+    return seen.where("n_rows > 0").join(kept, "batch", "left").select(
+        "batch", "n_rows", n_kept.alias("n_kept"), (F.col("n_rows") - n_kept).alias("n_dropped"), "n_groups_dropped"
+    )
+
+
 # ---------------------------------------------------------------------------- alerts
 
 
@@ -236,7 +345,8 @@ def last_state(events: DataFrame, key: str, time: str, value: Column) -> DataFra
 def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Activity sessions per user: events, errors, retries and whether the last word was an error.
 
-    A retry is an error after which the user went on in the same session.
+    A retry is an error after which the user went on in the same session. Start the stream with
+    ``SESSIONS_MERGED_EARLY`` where one user may be busy.
     """
     return (
         events.withWatermark("ts", delay)

@@ -109,3 +109,40 @@ def test_feedback_within_the_bound(spark, tmp_path):
     joined = mon.with_feedback(predictions, feedback, "user_id", "ts", "feedback_ts", bound_seconds=7200)
     got = {r.event_id: r.f for r in mon.run_to_table(joined.select("event_id", "f"), "f").collect()}
     assert got == {1: 2, 3: None, 9: 10}
+
+
+def test_dropped_rows_of_the_window_query(spark, three_files):
+    """The watermark after two files is 8:00; the third brings a row of a window that closed at 1:00."""
+    write(spark, three_files, [event(8, 0.7), event(9, 0.8), event(10, 19.5), event(11, 30)])
+    target, checkpoint = mon.new_target(spark, "drops")
+    mon.windows_with_drops(stream(spark, three_files), "1 hour", "1 hour", target, checkpoint)
+    got = sorted(tuple(r) for r in mon.dropped_row_counts(spark, target).collect())
+    assert got == [(0, 3, 3, 0, 0), (1, 3, 3, 0, 0), (2, 2, 1, 1, 1), (3, 4, 2, 2, 1)]
+    # A rerun with nothing new changes nothing; new data goes on after the last batch.
+    mon.windows_with_drops(stream(spark, three_files), "1 hour", "1 hour", target, checkpoint)
+    assert sorted(tuple(r) for r in mon.dropped_row_counts(spark, target).collect()) == got
+    write(spark, three_files, [event(12, 1), event(13, 40)])
+    mon.windows_with_drops(stream(spark, three_files), "1 hour", "1 hour", target, checkpoint)
+    rows = sorted(tuple(r)[1:] for r in mon.dropped_row_counts(spark, target).collect())
+    assert rows.count((2, 1, 1, 1)) == 2 and len(rows) == 5
+
+
+def test_busy_user_is_merged_before_the_shuffle(spark, tmp_path, capsys):
+    """One user has half of the events; a task sends a row per session of theirs, not per event."""
+    folder = str(tmp_path / "busy")
+    rows = [event(i, i / 100, user=1 if i % 2 else i, kind="error" if i % 7 == 0 else "view") for i in range(2000)]
+    write(spark, folder, rows)
+    plans = {}
+    for early in ("true", "false"):
+        key = next(iter(mon.SESSIONS_MERGED_EARLY))
+        with mon.settings(spark, {key: early}):
+            target, checkpoint = mon.new_target(spark, "busy")
+            run = mon.to_table(mon.user_sessions(stream(spark, folder)), target, checkpoint)
+        run.awaitTermination()
+        run.explain()
+        text = capsys.readouterr().out
+        plans[early] = text[text.index("Exchange hashpartitioning"):].count("MergingSessions")
+        got = spark.read.parquet(target).where("user_id = 1").agg(F.sum("n"), F.count("*")).first()
+        assert plans.setdefault("rows", got) == got
+    assert plans["true"] > plans["false"]
+    assert spark.conf.get(key) == "false"
