@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 from itertools import groupby
 from typing import NamedTuple
@@ -33,11 +34,19 @@ BESIDE = re.compile(
     r"(?:cookie|site|privacy)-(?:notice|banner|bar)|(?:comment|comments)-(?:list|area|section|form)|"
     r"(?:related|popular|recent)-(?:posts|articles|stories|links)|(?:share|social|sharing)-(?:buttons|links|icons|bar)|"
     r"(?:ad|ads|advert)-(?:container|wrapper|slot|unit|box|banner)|(?:site|page|main)-(?:footer|nav|navigation|menu)|"
-    r"nav-(?:menu|links|bar)|newsletter-(?:form|signup|box)|skip-(?:link|to-content)|search-form",
+    r"nav-(?:menu|links|bar)|newsletter-(?:form|signup|box)|skip-(?:link|to-content)|search-form|"
+    r"(?:user|reader|visitor)-comments|comment-(?:respond|reply)|sidebar-(?:box|widget|area|inner|left|right)|"
+    r"(?:share|sharing|social)-(?:list|box)|site-info",
     re.IGNORECASE,
 )
 #: Names of parts whose own articles are readers' comments.
-REPLIES = re.compile(r"comments?|replies|respond|disqus|(?:comment|comments)-(?:list|area|section)", re.IGNORECASE)
+REPLIES = re.compile(
+    r"comments?|replies|respond|disqus|(?:comment|comments)-(?:list|area|section|respond|reply)|"
+    r"(?:user|reader|visitor)-comments",
+    re.IGNORECASE,
+)
+#: Whole tokens that name the head of the site where they stand outside the article.
+HEADS = frozenset(("header", "site-header"))
 #: What a start tag ends, by its group: the open elements that end, and those that are not looked behind.
 _PARAGRAPH_ENDS = BLOCKS - frozenset("body caption dd dt html legend li option tbody td tfoot th thead title tr".split())
 _ITEMS = BLOCKS - frozenset(("address", "div", "p"))
@@ -57,8 +66,6 @@ PARTS = HEADINGS | frozenset(
     "address blockquote caption dd details dl dt figcaption figure hgroup legend li ol option p pre summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-#: Characters from which an unlinked line counts as a paragraph whatever the page's threshold.
-PARAGRAPH = 80
 #: Standard deviation of the Gaussian in lines, and the share of the largest smoothed ratio that
 #: starts the two clusters' means.
 SIGMA = 1.0
@@ -95,8 +102,10 @@ class _Lines(HTMLParser):
 
     Text in skipped elements, and in elements whose class, id or role names a part beside the
     article, makes no line but counts its tags. An element that holds an article or main element is
-    not left out; comment lists and templates, whose articles are not the page's, only stay if no
-    other region has text. A form that holds most of the text is the page and stays.
+    not left out; comment lists and templates, whose articles are not the page's, only stay if
+    nothing else has text. A form outside them that holds more text than all else is the page and
+    stays, as does a form inside if nothing else has text. The work grows with the page: an event costs
+    the names of its tag's table at most, however many elements are open.
     """
 
     def __init__(self) -> None:
@@ -105,6 +114,7 @@ class _Lines(HTMLParser):
         self._raw: list[tuple[list[tuple[str, int, int]], int, int, int]] = []
         self._besides = [_Beside(0, "page")]
         self._open: list[tuple[str, bool, int, int]] = []
+        self._at: dict[str, list[int]] = {}
         self._text: list[tuple[str, int, int]] = []
         self._tags = self._links = self._inside = self._block = self._beside = 0
         self._link = 0
@@ -119,6 +129,7 @@ class _Lines(HTMLParser):
 
     def _pop(self) -> str:
         name, region, self._block, self._beside = self._open.pop()
+        self._at[name].pop()
         if name == "a":
             self._links -= 1
         if region:
@@ -129,15 +140,12 @@ class _Lines(HTMLParser):
 
     def _end_until(self, ends: frozenset[str], bounds: frozenset[str]) -> None:
         """Ends the innermost open element of ``ends``, unless one of ``bounds`` lies above it."""
-        for n in range(len(self._open) - 1, -1, -1):
-            name = self._open[n][0]
-            if name in ends:
-                self.end_line()
-                while len(self._open) > n:
-                    self._pop()
-                return
-            if name in bounds:
-                return
+        last = max((self._at[name][-1] for name in ends if self._at.get(name)), default=-1)
+        if last < 0 or any(self._at[name][-1] > last for name in bounds - ends if self._at.get(name)):
+            return
+        self.end_line()
+        while len(self._open) > last:
+            self._pop()
 
     def _kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
         """What an element is that may be left out: form, replies or other; empty if it may not."""
@@ -152,8 +160,9 @@ class _Lines(HTMLParser):
         if "hidden" in [k for k, _ in attrs] or any(BESIDE.fullmatch(t) for t in tokens):
             return "other"
         if tag == "form":
-            return "form"
-        return "other" if tag in SKIPPED or (tag == "header" and not self._inside) else ""
+            return "inner form" if self._inside else "form"
+        head = not self._inside and (tag == "header" or any(t.lower() in HEADS for t in tokens))
+        return "other" if tag in SKIPPED or head else ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
@@ -168,7 +177,7 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         if tag == "body":  # ends a head that was left open
-            self._open, self._links, self._block, self._beside = [], 0, 0, 0
+            self._open, self._at, self._links, self._block, self._beside = [], {}, 0, 0, 0
         if tag == "a":
             self._links += 1
             self._link += 1
@@ -181,6 +190,7 @@ class _Lines(HTMLParser):
             self._inside += 1
             if self._inside == 1:
                 self._region, self._regions = self._regions, self._regions + 1
+        self._at.setdefault(tag, []).append(len(self._open))
         self._open.append((tag, region, self._block, self._beside))
         if tag in BLOCKS:
             self.blocks.append((tag, self._block))
@@ -198,11 +208,9 @@ class _Lines(HTMLParser):
         self._tags += 1
         if tag in BLOCKS:
             self.end_line()
-        if all(name != tag for name, *_ in reversed(self._open)):
-            return
-        while self._open:
-            if self._pop() == tag:
-                return
+        if self._at.get(tag):
+            while self._pop() != tag:
+                pass
 
     def close(self) -> None:
         if self.rawdata.startswith("<!--"):  # a comment left open goes on to the end
@@ -213,12 +221,12 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         self._text.append((data, self._beside, self._link if self._links > 0 else 0))
 
-    def _left_out(self, replies: bool) -> list[bool]:
-        """Whether the text of each of the parts is left out; with ``replies``, also theirs."""
+    def _left_out(self, replies: bool, forms: bool) -> list[bool]:
+        """Whether the text of each of the parts is left out; ``replies`` and ``forms`` (in regions): also theirs."""
         besides = self._besides
         form, out = [0] * len(besides), [False] * len(besides)
         for n, b in enumerate(besides[1:], 1):
-            gone = not b.holds or (replies and b.kind == "replies")
+            gone = (not b.holds or (replies and b.kind == "replies")) and (forms or b.kind != "inner form")
             out[n] = out[b.parent] or (gone and b.kind != "form")
             form[n] = n if gone and b.kind == "form" else form[b.parent]
             b.length = 0
@@ -250,9 +258,11 @@ class _Lines(HTMLParser):
         return lines
 
     def lines(self) -> list[Line]:
-        lines = self._lines(self._left_out(True))
-        if any(b.holds and b.kind == "replies" for b in self._besides) and all(x.region < 0 for x in lines):
-            lines = self._lines(self._left_out(False))
+        lines = self._lines(self._left_out(True, True))
+        if not lines and any(b.kind == "inner form" for b in self._besides):
+            lines = self._lines(self._left_out(True, False))
+        if not lines and any(b.holds and b.kind == "replies" for b in self._besides):
+            lines = self._lines(self._left_out(False, True))
         return lines
 
 
@@ -286,35 +296,36 @@ def link_heavy(line: Line) -> bool:
 
 def container(blocks: list[tuple[str, int]], starts: set[int]) -> int:
     """The innermost block around all ``starts`` that holds whole contents."""
-
-    def path(block: int) -> list[int]:
-        out = [block]
-        while block:
-            block = blocks[block][1]
-            out.append(block)
-        return out[::-1]
-
-    first, *others = (path(b) for b in starts)
-    for other in others:
-        same = 0
-        while same < min(len(first), len(other)) and first[same] == other[same]:
-            same += 1
-        first = first[:same]
-    while blocks[first[-1]][0] in PARTS:
-        first.pop()
-    return first[-1]
+    below = [0] * len(blocks)
+    for block in starts:
+        below[block] = 1
+    for block in range(len(blocks) - 1, 0, -1):  # a block comes after those around it
+        below[blocks[block][1]] += below[block]
+    innermost = max(block for block, n in enumerate(below) if n == len(starts))
+    while blocks[innermost][0] in PARTS:
+        innermost = blocks[innermost][1]
+    return innermost
+
+
+def stretches(lines: list[Line], menu: Callable[[Line], bool]) -> list[Line]:
+    """The lines without the stretches of ``menu`` lines that hold two links or more."""
+    out: list[Line] = []
+    for heavy, stretch in groupby(lines, key=menu):
+        part = list(stretch)
+        if not heavy or sum(line.links for line in part) < 2:
+            out += part
+    return out or lines
 
 
 def around(lines: list[Line], blocks: list[tuple[str, int]], upper: list[bool]) -> list[Line]:
     """The lines of the block container of the content, without its link-heavy parts.
 
-    Content shows in the lines of the upper cluster, in unlinked paragraphs and in the h1; the
-    container around them stays entire, with the headings directly before it. Only stretches of
-    link-heavy lines with two links or more are left out.
+    Content shows in the lines of the upper cluster and in the h1; the container around them stays
+    entire, with the headings directly before it. Only stretches of link-heavy lines with two links
+    or more are left out.
     """
-    seeds = [n for n, line in enumerate(lines) if not link_heavy(line) and (
-        upper[n] or line.tag == "h1" or len(line.text) - line.linked >= PARAGRAPH
-    )] or [n for n, u in enumerate(upper) if u]
+    seeds = [n for n, line in enumerate(lines) if not link_heavy(line) and (upper[n] or line.tag == "h1")]
+    seeds = seeds or [n for n, u in enumerate(upper) if u] or list(range(len(lines)))
     root = container(blocks, {blocks[lines[n].block][1] for n in seeds})
     inside = [False] * len(blocks)
     for block, (_, parent) in enumerate(blocks):
@@ -324,37 +335,60 @@ def around(lines: list[Line], blocks: list[tuple[str, int]], upper: list[bool])
     while first and lines[first - 1].tag in HEADINGS:
         first -= 1
         keep[first] = True
-    out: list[Line] = []
-    for heavy, stretch in groupby((line for line, k in zip(lines, keep) if k), key=link_heavy):
-        part = list(stretch)
-        if not heavy or sum(line.links for line in part) < 2:
-            out += part
-    return out or [line for line, k in zip(lines, keep) if k]
+    return stretches([line for line, k in zip(lines, keep) if k], link_heavy)
+
+
+def upper_cluster(lines: list[Line]) -> list[bool]:
+    """Which lines lie in the upper of two clusters of smoothed ratios.
+
+    A ratio counts the unlinked characters to the tags since the line before. Ratios are taken by
+    their logarithms, so one long paragraph does not lift the threshold over all others.
+    """
+    ratios = np.array([(len(x.text) - min(x.linked, len(x.text))) / max(1, x.tags) for x in lines])
+    values = smoothed(np.log1p(ratios))
+    return (values >= threshold(values)).tolist()
+
+
+def chosen_lines(lines: list[Line], blocks: list[tuple[str, int]]) -> list[Line]:
+    """The lines of the regions that the clustering chooses among articles and the block container.
+
+    The lines of the upper cluster outside every article or main element stand for the container around
+    them. It is content if they hold more unlinked characters than all articles hold characters; of the
+    articles those with a line of the upper cluster then stay beside it, in the order of the page.
+    Otherwise the articles are the content: every one with unlinked text stays whole, those whose
+    letters and digits are all linked only where there is no other. List items that are links and
+    nothing else, two or more in a row, are a menu also there.
+    """
+    upper = upper_cluster(lines)
+    articles = [line for line in lines if line.region >= 0]
+    if not articles:
+        return around(lines, blocks, upper)
+    apart = sum(len(x.text) - x.linked for x, u in zip(lines, upper) if u and x.region < 0 and not link_heavy(x))
+    if apart > sum(len(x.text) for x in articles):
+        beside = [(x, u) for x, u in zip(lines, upper) if x.region < 0]
+        kept = {id(x) for x in around([x for x, _ in beside], blocks, [u for _, u in beside])}
+        regions = {x.region for x, u in zip(lines, upper) if u and x.region >= 0}
+        return [x for x in lines if x.region in regions or id(x) in kept]
+    regions = {line.region for line in articles if line.unlinked}
+    if not regions:
+        return articles
+    return stretches(
+        [line for line in articles if line.region in regions], lambda line: line.tag == "li" and not line.unlinked
+    )
 
 
 def main_text(html: str | None) -> str:
-    """The blocks of the selected regions, joined by two line feeds; empty if there are none.
+    """The blocks of the chosen regions, joined by two line feeds; empty if there are none.
 
-    Every outermost article or main element with unlinked text is content and stays whole; those
-    whose letters and digits are all linked stay only where the page has no other. On a page without
-    such an element each line has a ratio of its unlinked characters to its tags. Ratios are
-    smoothed, a threshold splits the lines into two clusters, and the container that ``around``
-    finds for the upper one is content. Malformed markup is read as far as it goes.
+    On every page each line has a ratio of its unlinked characters to its tags; the ratios are smoothed
+    and a threshold splits the lines into two clusters, which choose the regions (``chosen_lines``).
+    A chosen region stays whole. Malformed markup is read as far as it goes.
     """
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     lines = parser.lines()
-    if not lines:
-        return ""
-    inside = [line for line in lines if line.region >= 0]
-    if inside:
-        chosen = {line.region for line in inside if line.unlinked}
-        return "\n\n".join(line.text for line in inside if not chosen or line.region in chosen)
-    ratios = np.array([(len(x.text) - min(x.linked, len(x.text))) / max(1, x.tags) for x in lines])
-    values = smoothed(ratios)
-    upper = values >= threshold(values)
-    return "\n\n".join(x.text for x in around(lines, parser.blocks, upper.tolist()))
+    return "\n\n".join(line.text for line in chosen_lines(lines, parser.blocks)) if lines else ""
 
 
 def extract(df: DataFrame, html: str, name: str = "text") -> DataFrame:
