@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -404,71 +404,82 @@ def boundary_matches(
 ) -> DataFrame:
     """Reference, hypothesis and one-to-one matched boundaries per key.
 
-    Boundaries further apart than the tolerance never match, so the time line is cut there
-    and every piece is matched on its own. ``optimal`` finds the most matches, ``greedy``
-    gives each hypothesis boundary in time order its nearest free partner.
+    Boundaries further apart than the tolerance never match, so the time line is cut there and every
+    piece is matched on its own, by one fold over its sorted times. ``optimal`` finds the most matches,
+    ``greedy`` gives each hypothesis boundary in time order its nearest free partner (ties to the
+    earlier). Rows without a time take no part.
     """
     if mode not in ("optimal", "greedy"):
         raise ValueError(f"mode must be 'optimal' or 'greedy', not {mode!r}")
-    both = ref.select(key, F.col(time).cast("double").alias("t"), F.lit(1).alias("is_ref")).unionByName(
-        hyp.select(key, F.col(time).cast("double").alias("t"), F.lit(0).alias("is_ref"))
+    both = ref.select(key, F.col(time).cast("double").alias("t"), F.lit(True).alias("is_ref")).unionByName(
+        hyp.select(key, F.col(time).cast("double").alias("t"), F.lit(False).alias("is_ref"))
     )
     # A hair of slack keeps distances equal to the tolerance inside one piece.
-    pieces = chains(both, [key], "t", tolerance + 1e-9, slot=max(60.0, 100 * tolerance))
-    ordered = pieces.repartition(key, "chain").sortWithinPartitions(key, "chain", "t")
-    count = _most_matches if mode == "optimal" else _nearest_matches
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One pass over the sorted rows; only the current piece is held."""
-        piece, refs, hyps = None, [], []
-        for batch in batches:
-            done = []
-            rows = zip(batch[key], batch["chain"], batch["t"], batch["is_ref"])
-            for name, chain, t, is_ref in rows:
-                if piece != (name, chain):
-                    if piece is not None:
-                        done.append((piece[0], len(refs), len(hyps), count(refs, hyps, tolerance)))
-                    piece, refs, hyps = (name, chain), [], []
-                (refs if is_ref else hyps).append(t)
-            yield pd.DataFrame(done, columns=[key, "n_ref", "n_hyp", "matched"])
-        if piece is not None:
-            last = [(piece[0], len(refs), len(hyps), count(refs, hyps, tolerance))]
-            yield pd.DataFrame(last, columns=[key, "n_ref", "n_hyp", "matched"])
-
-    schema = f"{key} {dict(ref.dtypes)[key]}, n_ref long, n_hyp long, matched long"
+    reach = tolerance + 1e-9
+    pieces = chains(both, [key], "t", reach, slot=max(60.0, 100 * tolerance))
+    is_ref = F.col("is_ref")
+    # For the greedy fold each hypothesis brings the number of references that are not too late for it.
+    # (Only SQL has ranges of fractions.)
+    within = f"PARTITION BY `{key}`, chain ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {reach!r}D FOLLOWING"
+    upto = F.expr(f"int(count_if(is_ref) OVER ({within}))") if mode == "greedy" else F.lit(0)
+    lines = pieces.withColumn("upto", upto).groupBy(key, "chain").agg(
+        F.sort_array(F.collect_list(F.when(is_ref, F.col("t")))).alias("refs"),
+        F.sort_array(F.collect_list(F.when(~is_ref, F.struct("t", "upto")))).alias("hyps"),
+    )
+    refs, hyps = F.col("refs"), F.col("hyps")
+    count = _most_matches(refs, hyps, reach) if mode == "optimal" else _nearest_matches(refs, hyps, reach)
+    both_sides = (F.size(refs) > 0) & (F.size(hyps) > 0)
     return (
-        ordered.mapInPandas(match, schema)
+        lines.select(key, refs, hyps, F.when(both_sides, count).otherwise(0).alias("matched"))
         .groupBy(key)
         .agg(
-            F.sum("n_ref").alias("n_ref"),
-            F.sum("n_hyp").alias("n_hyp"),
-            F.sum("matched").alias("matched"),
+            F.sum(F.size(refs)).cast("long").alias("n_ref"),
+            F.sum(F.size(hyps)).cast("long").alias("n_hyp"),
+            F.sum("matched").cast("long").alias("matched"),
         )
     )
 
 
-def _most_matches(refs: list[float], hyps: list[float], tolerance: float) -> int:
-    i = j = count = 0
-    while i < len(refs) and j < len(hyps):
-        gap = hyps[j] - refs[i]
-        if abs(gap) <= tolerance + 1e-9:
-            count, i, j = count + 1, i + 1, j + 1
-        elif gap < 0:
-            j += 1
-        else:
-            i += 1
-    return count
-
-
-def _nearest_matches(refs: list[float], hyps: list[float], tolerance: float) -> int:
-    free = list(refs)
-    count = 0
-    for h in hyps:
-        near = [(abs(h - r), r) for r in free if abs(h - r) <= tolerance + 1e-9]
-        if near:
-            free.remove(min(near)[1])
-            count += 1
-    return count
+def _most_matches(refs: Column, hyps: Column, reach: float) -> Column:
+    """Two places that move on: both on a match, else the one at the earlier boundary."""
+
+    def step(state: Column, _: Column) -> Column:
+        i, j = state["i"], state["j"]
+        gap = F.get(hyps, j)["t"] - F.get(refs, i)  # null once a side is used up: nothing moves
+        match, early_hyp, early_ref = F.abs(gap) <= reach, gap < -reach, gap > reach
+        return F.struct(
+            (i + F.when(match | early_ref, 1).otherwise(0)).alias("i"),
+            (j + F.when(match | early_hyp, 1).otherwise(0)).alias("j"),
+            (state["n"] + F.when(match, 1).otherwise(0)).alias("n"),
+        )
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
+    steps = F.sequence(F.lit(1), F.greatest(F.size(refs) + F.size(hyps), F.lit(1)))
+    return F.aggregate(steps, start, step, lambda state: state["n"])
+
+
+def _nearest_matches(refs: Column, hyps: Column, reach: float) -> Column:
+    """Each hypothesis in turn takes the nearest of the free references within its reach.
+
+    The state holds only the free references that a later hypothesis may still take.
+    """
+
+    def step(state: Column, hyp: Column) -> Column:
+        arrived = F.slice(refs, state["i"] + 1, F.greatest(hyp["upto"] - state["i"], F.lit(0)))
+        free = F.filter(F.concat(state["free"], arrived), lambda r: r >= hyp["t"] - reach)
+
+        def taken(free: Column) -> Column:
+            best = F.array_min(F.transform(free, lambda r, k: F.struct(F.abs(hyp["t"] - r), r, k.alias("place"))))["place"]
+            return F.struct(
+                F.greatest(hyp["upto"], state["i"]).alias("i"),
+                F.filter(free, lambda _, k: best.isNull() | (k != best)).alias("free"),
+                (state["n"] + best.isNotNull().cast("int")).alias("n"),
+            )
+
+        return _once(free, taken)
+
+    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<double>").alias("free"), F.lit(0).alias("n"))
+    return F.aggregate(hyps, start, step, lambda state: state["n"])
 
 
 def precision_recall_f1(matched: Column, n_hyp: Column, n_ref: Column) -> dict[str, Column]:

@@ -478,26 +478,49 @@ def optimal_speaker_map(spark, sf):
     return evaluation.optimal_speaker_map(speaker_overlaps(spark, sf), "conv_id")
 
 
-_BOUNDARY_SQL = f"""WITH {_SEGMENT_SQL}, m AS (SELECT r.conv_id, r.start AS r,
-  (SELECT count(*) FROM hyp h WHERE h.conv_id = r.conv_id AND abs(h.start - r.start) <= 0.25) AS near
-  FROM ref r), t AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE near > 0) AS k FROM m GROUP BY 1)
-SELECT conv_id, CAST(n AS BIGINT) AS n_ref, CAST(n AS BIGINT) AS n_hyp, CAST(k AS BIGINT) AS matched,
-  round(k / n, 6) AS precision, round(k / n, 6) AS recall, round(k / n, 6) AS f1 FROM t"""
+_BOUNDARY_SQL = """WITH RECURSIVE turn_row AS (SELECT conv_id, turn * 0.3125 + (length(text) % 7) * 0.0625 AS t,
+    length(text) AS n FROM conversations),
+lines AS (SELECT conv_id, list_sort(list(t)) AS refs, list_sort(coalesce(list(t + ((n * 3) % 11 - 5) * 0.0625)
+    FILTER (WHERE n % 13 <> 0), [])) AS hyps FROM turn_row GROUP BY conv_id),
+{fold}
+SELECT conv_id, CAST(r AS BIGINT) AS n_ref, CAST(h AS BIGINT) AS n_hyp, CAST(k AS BIGINT) AS matched,
+  round(coalesce(k / nullif(h, 0), 0), 6) AS precision, round(k / r, 6) AS recall, round(2 * k / (r + h), 6) AS f1
+FROM (SELECT conv_id, len(any_value(refs)) AS r, len(any_value(hyps)) AS h, max(k) AS k FROM fold GROUP BY conv_id)"""
+
+# Two places that move along the sorted times of a conversation.
+_OPTIMAL_SQL = """fold AS (SELECT conv_id, refs, hyps, 1 AS i, 1 AS j, 0 AS k FROM lines UNION ALL
+  SELECT conv_id, refs, hyps, i + CASE WHEN hyps[j] - refs[i] >= -0.25 THEN 1 ELSE 0 END,
+    j + CASE WHEN hyps[j] - refs[i] <= 0.25 THEN 1 ELSE 0 END,
+    k + CASE WHEN abs(hyps[j] - refs[i]) <= 0.25 THEN 1 ELSE 0 END
+  FROM fold WHERE i <= len(refs) AND j <= len(hyps))"""
+
+# Hypothesis by hypothesis, the nearest of the references not yet taken, by their places.
+_GREEDY_SQL = """fold AS (SELECT conv_id, refs, hyps, [0] AS taken, 1 AS j, 0 AS k FROM lines UNION ALL
+  SELECT conv_id, refs, hyps, list_append(taken, coalesce(best, 0)), j + 1, k + CASE WHEN best IS NULL THEN 0 ELSE 1 END
+  FROM (SELECT *, list_min(list_transform(list_filter(range(1, len(refs) + 1),
+        lambda x: NOT list_contains(taken, x) AND abs(refs[x] - hyps[j]) <= 0.25),
+      lambda x: {'d': abs(refs[x] - hyps[j]), 'x': x}))['x'] AS best FROM fold WHERE j <= len(hyps)))"""
 
 
 def _boundaries(spark, sf, mode):
-    ref, hyp = _segments(spark, sf)
-    found = evaluation.boundary_matches(ref, hyp, "conv_id", "start", 0.25, mode)
+    """Dense lines, where nearest partners and most partners differ; some hypotheses are missing."""
+    n = F.length("text")
+    turns = src.table(spark, sf, "conversations").select(
+        "conv_id", n.alias("n"), (F.col("turn") * 0.3125 + (n % 7) * 0.0625).alias("start")
+    )
+    moved = F.col("start") + ((F.col("n") * 3) % 11 - 5) * 0.0625
+    hyp = turns.where(F.col("n") % 13 != 0).select("conv_id", moved.alias("start"))
+    found = evaluation.boundary_matches(turns, hyp, "conv_id", "start", 0.25, mode)
     made = evaluation.precision_recall_f1(F.col("matched"), F.col("n_hyp"), F.col("n_ref"))
     return rounded(found.select("*", *[c.alias(n) for n, c in made.items()]))
 
 
-@query("x16_boundary_scores", _BOUNDARY_SQL)
+@query("x16_boundary_scores", _BOUNDARY_SQL.format(fold=_OPTIMAL_SQL))
 def boundary_scores(spark, sf):
     return _boundaries(spark, sf, "optimal")
 
 
-@query("j12_nearest_boundaries", _BOUNDARY_SQL)
+@query("j12_nearest_boundaries", _BOUNDARY_SQL.format(fold=_GREEDY_SQL))
 def nearest_boundaries(spark, sf):
     return _boundaries(spark, sf, "greedy")
 

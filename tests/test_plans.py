@@ -16,8 +16,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 PYTHON = {
     "f16_unicode_nfc", "p22_redacted_nested", "x07_number_words", "x07_dictated_phone", "x08_cleaned_transcripts",
-    "x14_semantic_error_rates", "x15_optimal_speaker_map", "x16_boundary_scores",
-    "j12_nearest_boundaries", "j13_r01_o04_nearest", "r02_threshold_fallback",
+    "x14_semantic_error_rates", "x15_optimal_speaker_map",
+    "j13_r01_o04_nearest", "r02_threshold_fallback",
     "r03_response_models", "r04_with_defaults", "r05_reranked", "r06_ranking_metrics",
     "q04_chi2_drift", "m25_variance_inflation", "m26_cross_validated_trees",
 }

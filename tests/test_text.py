@@ -407,38 +407,54 @@ def test_best_assignment_against_all_orders():
         assert total == best
 
 
-def test_boundaries(spark):
+def nearest_in_turn(refs, hyps, tolerance=0.25):
+    free, count = list(refs), 0
+    for h in hyps:
+        near = [(abs(h - r), r) for r in free if abs(h - r) <= tolerance + 1e-9]
+        if near:
+            free.remove(min(near)[1])
+            count += 1
+    return count
+
+
+def largest_matching(refs, hyps, tolerance=0.25):
+    """Augmenting paths over all pairs within the tolerance."""
+    owner = {}
+
+    def place(h, seen):
+        for r, t in enumerate(refs):
+            if abs(t - hyps[h]) <= tolerance + 1e-9 and r not in seen:
+                seen.add(r)
+                if r not in owner or place(owner[r], seen):
+                    owner[r] = h
+                    return True
+        return False
+
+    return sum(place(h, set()) for h in range(len(hyps)))
+
+
+@pytest.mark.parametrize("mode, count", [("optimal", largest_matching), ("greedy", nearest_in_turn)])
+def test_boundaries(spark, mode, count):
+    """Long lines, dense lines with ties and repeated times, and lines of one side only."""
     rnd = random.Random(4)
-    ref = [("a", round(rnd.uniform(0, 200), 2)) for _ in range(150)]
-    hyp = [("a", round(rnd.uniform(0, 200), 2)) for _ in range(150)] + [("b", 1.0)]
-    r = spark.createDataFrame(ref, "k string, t double").repartition(3)
-    h = spark.createDataFrame(hyp, "k string, t double").repartition(3)
-    refs, hyps = sorted(t for _, t in ref), sorted(t for k, t in hyp if k == "a")
-    for mode, count in (("optimal", evaluation._most_matches), ("greedy", evaluation._nearest_matches)):
-        got = {x.k: x for x in evaluation.boundary_matches(r, h, "k", "t", 0.25, mode).collect()}
-        assert got["a"].matched == count(refs, hyps, 0.25)
-        assert (got["a"].n_ref, got["a"].n_hyp) == (150, 150)
-        assert (got["b"].n_ref, got["b"].n_hyp, got["b"].matched) == (0, 1, 0)
+    lines = {"long": ([round(rnd.uniform(0, 200), 2) for _ in range(150)], [round(rnd.uniform(0, 200), 2) for _ in range(150)])}
+    for n in range(60):
+        lines[f"dense{n}"] = tuple([rnd.randint(0, 24) / 8 for _ in range(rnd.randint(0, 12))] for _ in range(2))
+    lines["b"] = ([], [1.0])
+    r = spark.createDataFrame([(k, t) for k, v in lines.items() for t in v[0]], "k string, t double").repartition(3)
+    h = spark.createDataFrame([(k, t) for k, v in lines.items() for t in v[1]] + [("long", None)], "k string, t double")
+    found = evaluation.boundary_matches(r, h, "k", "t", 0.25, mode)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {x.k: (x.n_ref, x.n_hyp, x.matched) for x in found.collect()}
+    want = {k: (len(v[0]), len(v[1]), count(sorted(v[0]), sorted(v[1]))) for k, v in lines.items() if v[0] or v[1]}
+    assert got == want
+    assert evaluation.boundary_matches(r.limit(0), h.limit(0), "k", "t", 0.25, mode).count() == 0
+
+
+def test_boundary_mode_is_checked(spark):
+    rows = spark.createDataFrame([("a", 1.0)], "k string, t double")
     with pytest.raises(ValueError):
-        evaluation.boundary_matches(r, h, "k", "t", mode="other")
-
-
-def test_most_matches_is_the_largest_matching():
-    rnd = random.Random(9)
-    for _ in range(60):
-        refs = sorted(rnd.uniform(0, 3) for _ in range(rnd.randint(0, 6)))
-        hyps = sorted(rnd.uniform(0, 3) for _ in range(rnd.randint(0, 6)))
-
-        def largest(i, used):
-            if i == len(hyps):
-                return 0
-            best = largest(i + 1, used)
-            for j, x in enumerate(refs):
-                if j not in used and abs(x - hyps[i]) <= 0.25:
-                    best = max(best, 1 + largest(i + 1, used | {j}))
-            return best
-
-        assert evaluation._most_matches(refs, hyps, 0.25) == largest(0, frozenset())
+        evaluation.boundary_matches(rows, rows, "k", "t", mode="other")
 
 
 def test_vectors_of_words_are_not_needed_for_empty_texts(spark):
