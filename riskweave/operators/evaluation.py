@@ -232,6 +232,24 @@ def prediction_stability(
 MOST_WORDS = 0x100000
 
 
+#: Bounds of the edit distance that are tried in turn before the whole table is filled.
+DISTANCE_BOUNDS = (16, 64, 256, 1024, 4096, 16384)
+
+
+def edit_distance(left: Column | str, right: Column | str) -> Column:
+    """Exact edit distance of two strings, at the cost of its own size.
+
+    A distance within a bound needs only a band of that width beside the diagonal; a failed bound is
+    followed by one four times as wide, so the work is about the length times the distance. A bound
+    below the difference of the lengths fails at once.
+    """
+    left, right = as_col(left), as_col(right)
+    tried = [
+        _once(F.levenshtein(left, right, bound), lambda found: F.when(found >= 0, found)) for bound in DISTANCE_BOUNDS
+    ]
+    return F.coalesce(*tried, F.levenshtein(left, right))
+
+
 def word_distance(ref_words: Column | str, hyp_words: Column | str) -> Column:
     """Edit distance between two word arrays.
 
@@ -257,7 +275,10 @@ def word_distance(ref_words: Column | str, hyp_words: Column | str) -> Column:
     pair = F.struct(ref.alias("ref"), hyp.alias("hyp"), symbols(vocabulary).alias("symbols"))
     distance = _once(
         pair,
-        lambda p: F.levenshtein(coded(p["ref"], p["symbols"]), coded(p["hyp"], p["symbols"])),
+        lambda p: _once(
+            F.struct(coded(p["ref"], p["symbols"]).alias("ref"), coded(p["hyp"], p["symbols"]).alias("hyp")),
+            lambda c: edit_distance(c["ref"], c["hyp"]),
+        ),
     )
     empty = (F.size(ref) == 0) | (F.size(hyp) == 0)
     return F.when(empty, F.greatest(F.size(ref), F.size(hyp))).otherwise(distance)
@@ -268,25 +289,18 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def error_rates(pairs: DataFrame, ref: str, hyp: str, form=evaluation_form) -> DataFrame:
-    """Word and character error rates of each pair after the same normalisation.
+    """Word and character error rates of each pair after the same normalisation, without a shuffle.
 
-    The distances cost the product of the two lengths, far more than moving the pair, so the
-    pairs are first dealt out evenly over the tasks.
+    The distances cost the length of a pair times its errors (``edit_distance``).
     """
-    tasks = pairs.sparkSession.sparkContext.defaultParallelism
-    prepared = pairs.repartition(max(tasks, _shuffle_partitions(pairs)))
-    prepared = prepared.withColumn("_ref", form(ref)).withColumn("_hyp", form(hyp))
+    prepared = pairs.withColumn("_ref", form(ref)).withColumn("_hyp", form(hyp))
     prepared = prepared.withColumn("_rw", blank_separated("_ref")).withColumn(
         "_hw", blank_separated("_hyp")
     )
     return (
         prepared.withColumn("word_errors", word_distance("_rw", "_hw"))
-        .withColumn("char_errors", F.levenshtein("_ref", "_hyp"))
+        .withColumn("char_errors", edit_distance("_ref", "_hyp"))
         .withColumn("ref_words", F.size("_rw"))
         .withColumn("wer", F.try_divide(F.col("word_errors").cast("double"), F.size("_rw")))
         .withColumn("cer", F.try_divide(F.col("char_errors").cast("double"), F.length("_ref")))

@@ -130,10 +130,14 @@ def smart_repetitions(spark, sf):
     )
 
 
-@query("x05_without_false_starts", "SELECT conv_id, turn, text AS clean FROM conversations")
+@query(
+    "x05_without_false_starts",
+    r"SELECT conv_id, turn, regexp_replace(text, '(^|\s)([a-m]\p{L}{4,})', '\1zz- \2', 'g') AS clean FROM conversations",
+)
 def without_false_starts(spark, sf):
-    """Each longer word gets a cut copy in front; removing the copies gives the text back."""
-    broken = F.regexp_replace("text", r"(?<!\S)(\p{L}{2})(\p{L}{3,})", "$1- $1$2")
+    """Each longer word gets a cut copy in front, which goes; a cut of another word stays."""
+    other = F.regexp_replace("text", r"(^|\s)([a-m]\p{L}{4,})", "$1zz- $2")
+    broken = F.regexp_replace(other, r"(?<!\S)(\p{L}{2})(\p{L}{3,})", "$1- $1$2")
     return src.table(spark, sf, "conversations").select(
         "conv_id", "turn", tx.without_false_starts(broken).alias("clean")
     )
@@ -407,6 +411,36 @@ def error_rates(spark, sf):
     return rounded(out.select("conv_id", "turn", "word_errors", "char_errors", "wer", "cer"))
 
 
+@query(
+    "x13_word_errors",
+    r"""WITH n AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text),
+    '[\p{P}\p{S}]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM conversations),
+c AS (SELECT *, len(w) AS size, len(list_filter(range(1, len(w) + 1), lambda i: i % 5 = 0)) AS changed,
+  len(list_filter(range(1, len(w) + 1), lambda i: i % 7 = 0 AND i % 5 <> 0)) AS other FROM n)
+SELECT conv_id, turn, CAST(changed + other AS INT) AS word_errors,
+  round((changed + other) / nullif(size, 0), 6) AS wer FROM c""",
+)
+def word_errors(spark, sf):
+    """Every fifth word is replaced by a word of no text; every seventh is lost or, in odd turns, doubled by one.
+
+    Foreign words cost one each and the lengths differ by the lost or added ones, so no cheaper
+    alignment exists and the check is a count of places.
+    """
+    words = F.filter(F.split(evaluation.evaluation_form("text"), " "), lambda w: w != "")
+
+    def spoken(w, i):
+        foreign = F.concat(F.lit("qzx"), i.cast("string"))
+        added = F.when(F.col("turn") % 2 == 1, F.array(w, F.concat(F.lit("qqz"), i.cast("string")))).otherwise(
+            F.array().cast("array<string>")
+        )
+        return F.when((i + 1) % 5 == 0, F.array(foreign)).when((i + 1) % 7 == 0, added).otherwise(F.array(w))
+
+    pairs = src.table(spark, sf, "conversations").select(
+        "conv_id", "turn", "text", F.array_join(F.flatten(F.transform(words, spoken)), " ").alias("hyp")
+    )
+    return rounded(evaluation.error_rates(pairs, "text", "hyp").select("conv_id", "turn", "word_errors", "wer"))
+
+
 @query(
     "x14_semantic_error_rates",
     "SELECT doc_id, CAST(0 AS INT) AS word_errors, 0.0::DOUBLE AS wer FROM documents",
