@@ -7,15 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.session import written
 
-#: Bytes of vectors in a block of the corpus and in a block of queries, on average at most.
+#: Bytes of vectors (in doubles) in a block of the corpus and in a block of queries, on average at most.
 BLOCK_BYTES, QUERY_BYTES = 4 << 20, 8 << 20
-#: Blocks of the corpus that meet a block of queries in one task, on average.
-BLOCKS_PER_TASK = 8
+#: Blocks of the corpus that meet a block of queries in one task, on average at most.
+BLOCKS_PER_TASK = 16
+#: Pairs of a block of queries and a slot of corpus blocks per core, where there are blocks enough.
+TASKS_PER_CORE = 2
 #: Pivots are fitted on a sample of at most this many bytes, and all pivots take at most PIVOT_BYTES.
 SAMPLE_BYTES = 16 << 20
 PIVOT_BYTES = 4 << 20
@@ -23,26 +26,40 @@ MOST_PIVOTS = 1_024
 PIVOT_ROUNDS = 8
 #: Vectors of a cell are cut into rings of this width by their distance to the pivot.
 RING = 0.125
-#: Scores computed at once inside a task.
-TILE_CELLS = 4 << 20
+#: Scores computed at once inside a task, for this many queries at a time.
+TILE_CELLS, TILE_QUERIES = 1 << 19, 512
+#: With more pairs of a tile than one in this many left by the bounds, all are computed in doubles.
+DENSE = 64
 SCORE_DIGITS = 6
 #: Scores are compared after rounding; bounds give way by more than rounding can add.
 _SLACK = 2 * 10.0**-SCORE_DIGITS
 
-_HITS = "block long, query_id long, corpus_id long, score double"
+_HITS = pa.schema([("block", pa.int64()), ("query_id", pa.int64()), ("corpus_id", pa.int64()), ("score", pa.float64())])
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
     """Rows of length one in doubles; a zero vector stays zero."""
-    matrix = np.vstack(vectors.to_numpy()).astype(np.float64)
+    matrix = np.vstack(vectors.to_numpy() if isinstance(vectors, pd.Series) else vectors).astype(np.float64)
     length = np.sqrt((matrix * matrix).sum(axis=1))
     return matrix / np.where(length > 0, length, 1.0)[:, None]
 
 
+def _true_cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true cells, read eight cells at a time where most are false."""
+    if mask.size % 8:
+        return np.nonzero(mask)
+    eights = mask.reshape(-1, 8)
+    some = np.flatnonzero(eights.view(np.uint64).ravel())
+    at, inner = np.nonzero(eights[some])
+    return np.divmod(some[at] * 8 + inner, mask.shape[1])
+
+
 class _Best:
     """The k best corpus ids per query seen so far, by rounded score, then smallest id.
 
-    ``at_least`` also keeps every id of that score or more.
+    ``at_least`` also keeps every id of that score or more. A product in single precision bounds all
+    scores of a tile; pairs that cannot be among the best of what is held are passed over, and the
+    rest are computed in doubles, so the bounds decide the work and never the hits.
     """
 
     def __init__(
@@ -50,26 +67,78 @@ class _Best:
     ):
         self.query_ids, self.matrix, self.k, self.skip_self = query_ids, matrix, k, skip_self
         self.at_least, self.above = at_least, []
-        self.scores = np.empty((len(query_ids), 0))
-        self.ids = np.empty((len(query_ids), 0), dtype=np.int64)
+        self.single = matrix.astype(np.float32)
+        self.scores = np.full((len(query_ids), k), -np.inf)
+        self.ids = np.zeros((len(query_ids), k), dtype=np.int64)
+        # A single-precision product of unit vectors is off by less than this.
+        self.room = (matrix.shape[1] + 8) * 2.0**-23 + _SLACK
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        width = max(1, TILE_CELLS // len(self.query_ids))
-        for at in range(0, len(ids), width):
-            self._add_tile(ids[at : at + width], vectors[at : at + width])
-
-    def _add_tile(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        fresh = np.round(self.matrix @ vectors.T, SCORE_DIGITS)
-        if self.skip_self:
-            fresh[self.query_ids[:, None] == ids[None, :]] = -np.inf
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        single = vectors.astype(np.float32)
+        own_row, own_column = self._own(ids)
+        for top in range(0, len(self.query_ids), TILE_QUERIES):
+            rows = slice(top, min(top + TILE_QUERIES, len(self.query_ids)))
+            width = max(1, TILE_CELLS // (rows.stop - top))
+            here = (own_row >= top) & (own_row < rows.stop)
+            row, column = own_row[here] - top, own_column[here]
+            for at in range(0, len(ids), width):
+                inside = (column >= at) & (column < at + width)
+                columns = slice(at, min(at + width, len(ids)))
+                self._add_tile(rows, ids[columns], vectors[columns], single[columns], row[inside], column[inside] - at)
+
+    def _own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of the query, column) of the pairs of one id with itself; ``ids`` are in order."""
+        if not self.skip_self:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        first = np.searchsorted(ids, self.query_ids, "left")
+        count = np.searchsorted(ids, self.query_ids, "right") - first
+        row = np.repeat(np.arange(len(count)), count)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+
+    def _add_tile(
+        self, rows: slice, ids: np.ndarray, vectors: np.ndarray, single: np.ndarray,
+        own_row: np.ndarray, own_column: np.ndarray,
+    ) -> None:
+        held = self.scores[rows]
+        rough = self.single[rows] @ single.T
+        rough[own_row, own_column] = -np.inf
+        need = held[:, -1].copy()
+        unfilled = np.flatnonzero(need == -np.inf)
+        if len(unfilled) and len(ids) > self.k:
+            need[unfilled] = np.partition(rough[unfilled], len(ids) - self.k, axis=1)[:, len(ids) - self.k] - self.room
+        if self.at_least is not None:
+            need = np.minimum(need, self.at_least)
+        least = np.nextafter((need - self.room).astype(np.float32), np.float32(-np.inf))
+        # A pair of one id with itself has a rough score below every bound.
+        row, column = _true_cells(rough >= np.maximum(least, np.finfo(np.float32).min)[:, None])
+        if len(row) * DENSE > rough.size:
+            every = np.round(self.matrix[rows] @ vectors.T, SCORE_DIGITS)
+            scores = every[row, column]
+        else:
+            scores = np.round(np.einsum("ij,ij->i", self.matrix[rows][row], vectors[column]), SCORE_DIGITS)
         if self.at_least is not None:
-            row, column = np.nonzero(fresh >= self.at_least)
-            self.above.append((self.query_ids[row], ids[column], fresh[row, column]))
-        scores = np.hstack([self.scores, fresh])
-        every = np.hstack([self.ids, np.broadcast_to(ids, fresh.shape)])
-        order = np.lexsort((every, -scores), axis=1)[:, : self.k]
-        self.scores = np.take_along_axis(scores, order, axis=1)
-        self.ids = np.take_along_axis(every, order, axis=1)
+            passed = scores >= self.at_least
+            self.above.append((self.query_ids[rows][row[passed]], ids[column[passed]], scores[passed]))
+        last, last_id = held[row, -1], self.ids[rows][row, -1]
+        better = (scores > last) | ((scores == last) & (ids[column] < last_id))
+        if better.any():
+            self._keep(rows.start + row[better], ids[column[better]], scores[better])
+
+    def _keep(self, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merge new hits into the k best of their rows."""
+        touched = np.unique(row)
+        row = np.concatenate([np.repeat(touched, self.k), row])
+        ids = np.concatenate([self.ids[touched].ravel(), ids])
+        scores = np.concatenate([self.scores[touched].ravel(), scores])
+        order = np.lexsort((ids, -scores, row))
+        row, ids, scores = row[order], ids[order], scores[order]
+        starts = np.searchsorted(row, touched)
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+        kept = place < self.k
+        self.scores[touched] = scores[kept].reshape(-1, self.k)
+        self.ids[touched] = ids[kept].reshape(-1, self.k)
 
     def frame(self) -> pd.DataFrame:
         kept = np.isfinite(self.scores)
@@ -87,7 +156,9 @@ class _Best:
 def _sample(corpus: DataFrame, width: int) -> np.ndarray:
     """Unit vectors of a bounded sample of the corpus, the same ones on every run."""
     rows = max(MOST_PIVOTS, SAMPLE_BYTES // (8 * width))
-    return _unit(corpus.orderBy(F.xxhash64("id"), "id").limit(rows).select("v").toPandas()["v"])
+    found = corpus.orderBy(F.xxhash64("id"), "id").limit(rows).select("v").toPandas()["v"]
+    units = _unit(found) if len(found) else np.empty((0, width))
+    return units[np.isfinite(units).all(axis=1)]
 
 
 def _pivots(points: np.ndarray, most: int) -> np.ndarray:
@@ -108,20 +179,25 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _placed(df: DataFrame, pivots: np.ndarray, width: float) -> DataFrame:
-    """Unit vectors with their nearest pivot, its distance and the ring of that distance."""
+    """Vectors with the nearest pivot of their unit vector, its distance and the ring of that distance.
+
+    A vector with a component that is no finite number has no score with any other and is left out.
+    """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 vectors = _unit(frame["v"])
+                usable = np.isfinite(vectors).all(axis=1)
+                frame, vectors = frame[usable], vectors[usable]
                 distances = _distances(vectors, pivots)
                 cell = distances.argmin(axis=1)
                 away = distances[np.arange(len(cell)), cell]
                 yield pd.DataFrame(
-                    {"id": frame["id"], "v": list(vectors), "cell": cell, "away": away, "ring": np.floor(away / width).astype(int)}
+                    {"id": frame["id"], "v": frame["v"], "cell": cell, "away": away, "ring": np.floor(away / width).astype(int)}
                 )
 
-    return df.mapInPandas(work, "id long, v array<double>, cell int, away double, ring int")
+    return df.mapInPandas(work, f"id long, v {df.schema['v'].dataType.simpleString()}, cell int, away double, ring int")
 
 
 @dataclass
@@ -225,31 +301,44 @@ def _further_pairs(blocks: DataFrame, need: DataFrame, bounds: _Bounds) -> DataF
     return narrow.mapInPandas(work, "block long, cell int, ring int, salt int")
 
 
+def _matrix(table: pa.Table, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and unit vectors of a block."""
+    ids = table.column("ids")[row].values.to_numpy()
+    values = table.column("values")[row].values.to_numpy().reshape(len(ids), -1)
+    return ids, _unit(values)
+
+
 def _met(
-    pairs: DataFrame, queries: DataFrame, corpus: _Side, k: int, skip_self: bool, at_least: float | None
+    pairs: DataFrame, queries: _Side, corpus: _Side, k: int, skip_self: bool, at_least: float | None
 ) -> DataFrame:
-    """The k best of each pair of blocks, and what reaches ``at_least``.
+    """The k best of each block of queries and each slot of corpus blocks, and what reaches ``at_least``.
 
-    The blocks that a block of queries meets are dealt over slots, and the queries go once to each slot
-    in use; a block of the corpus goes once to each block of queries that it meets.
+    The blocks that a block of queries meets are dealt over slots. The queries go once to each slot in
+    use, where they meet its blocks one after the other; a block of the corpus goes once to each block
+    of queries that it meets.
     """
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                asked, ids = np.asarray(row.asked_ids), np.asarray(row.ids)
-                best = _Best(asked, np.asarray(row.asked_values).reshape(len(asked), -1), k, skip_self, at_least)
-                best.add(ids, np.asarray(row.values_).reshape(len(ids), -1))
-                yield best.frame().assign(block=row.block)[["block", "query_id", "corpus_id", "score"]]
+    def work(asked: pa.Table, met: pa.Table) -> pa.Table:
+        found = []
+        for row in range(asked.num_rows):
+            best = _Best(*_matrix(asked, row), k, skip_self, at_least)
+            for other in range(met.num_rows):
+                best.add(*_matrix(met, other))
+            found.append(best.frame().assign(block=asked.column("block")[row].as_py()))
+        every = pd.concat(found) if found else pd.DataFrame(columns=_HITS.names)
+        return pa.Table.from_pandas(every[_HITS.names], _HITS, preserve_index=False)
 
     place = ["cell", "ring", "salt"]
-    slots = max(1, -(-int(corpus.rings["salts"].sum()) // BLOCKS_PER_TASK))
-    dealt = pairs.withColumn("slot", F.pmod(F.xxhash64(*place), F.lit(slots)))
-    asked = dealt.select("block", "slot").distinct().join(
-        queries.select("block", F.col("ids").alias("asked_ids"), F.col("values").alias("asked_values")), "block"
+    n_corpus, n_queries = (int(side.rings["salts"].sum()) for side in (corpus, queries))
+    tasks = TASKS_PER_CORE * pairs.sparkSession.sparkContext.defaultParallelism
+    slots = max(1, -(-n_corpus // BLOCKS_PER_TASK), min(n_corpus, -(-tasks // max(1, n_queries))))
+    dealt = written(pairs.withColumn("slot", F.pmod(F.xxhash64(*place), F.lit(slots))), "search-pairs")
+    asked = dealt.select("block", "slot").distinct().join(queries.blocks.select("block", "ids", "values"), "block")
+    met = dealt.join(corpus.blocks.select(*place, "ids", "values"), place).select(
+        F.col("block").alias("met_block"), F.col("slot").alias("met_slot"), "ids", "values"
     )
-    kept = corpus.blocks.select(*place, "ids", F.col("values").alias("values_"))
-    return dealt.join(kept, place).join(asked, ["block", "slot"]).drop(*place, "slot").mapInPandas(work, _HITS)
+    groups = asked.groupBy("block", "slot").cogroup(met.groupBy("met_block", "met_slot"))
+    return groups.applyInArrow(work, "block long, query_id long, corpus_id long, score double")
 
 
 @dataclass
@@ -270,7 +359,9 @@ class Search:
 
 
 def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    chosen = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    kind = df.select(vector).schema[0].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    chosen = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
     return chosen.where(F.col("id").isNotNull() & F.col("v").isNotNull())
 
 
@@ -296,7 +387,7 @@ def prepared(
     here = _side(asked, centres, np.inf, sizes[1], "search-queries")
     bounds = _Bounds(centres, pivots, there.rings, 2 * (k + 1))
     first = _first_pairs(here.blocks, bounds)
-    hits = written(_met(first, here.blocks, there, k, skip_self, at_least), "search-hits")
+    hits = written(_met(first, here, there, k, skip_self, at_least), "search-hits")
     # A block needs what its worst query has so far; a query with fewer than k hits needs all.
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     reached = (
@@ -325,18 +416,19 @@ def nearest(
     A query gets its ``k`` best and, with ``at_least``, every hit of that score or more. Vectors of one
     pivot and one ring around it form blocks of bounded size. Each block of queries first meets the
     closest blocks, which gives the score it needs; a block whose distance bound rules that score out
-    is skipped, all others meet as matrix products, one pair of blocks per row. Pivots are fitted on a
+    is skipped, all others meet as matrix products. Pivots are fitted on a
     bounded sample and decide the work, never the hits. Vectors without any close ones (such as
-    independent noise) leave no bound to skip by, and every pair of blocks meets.
+    independent noise) leave no bound to skip by, and every pair of blocks meets. The hits are written,
+    so that plans which read them several times search once.
 
-    Rows without a key or vector take no part; a zero vector has score 0 with all. Keys are distinct
+    Rows without a key or vector, or with a component that is no finite number, take no part; a zero vector has score 0 with all. Keys are distinct
     and all vectors have one length.
     """
     search = prepared(queries, corpus, key, vector, k, skip_self, at_least, block_rows)
-    more = _met(search.further, search.queries.blocks, search.corpus, k, skip_self, at_least)
+    more = _met(search.further, search.queries, search.corpus, k, skip_self, at_least)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     wanted = F.col("rank") <= k
     if at_least is not None:
         wanted = wanted | (F.col("score") >= at_least)
     hits = search.first_hits.unionByName(more).drop("block")
-    return hits.withColumn("rank", F.row_number().over(order)).where(wanted)
+    return written(hits.withColumn("rank", F.row_number().over(order)).where(wanted), "search-ranked")

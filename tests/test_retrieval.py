@@ -153,3 +153,35 @@ def test_prediction_problems(spark):
     assert [got[i] for i in range(len(cases))] == [p for _, p in cases]
     padded = df.where("i = 1").select(quality.padded("v", 3).alias("p")).first().p
     assert padded == [0.4, 0.0, 0.0]
+
+
+def test_odd_components_hide_no_hits(spark, table):
+    v, df = table
+    odd = spark.createDataFrame([(1000 + i, [float("nan")] * 8) for i in range(60)] + [(2000, [float("inf")] * 8)], "id long, v array<float>")
+    both = df.unionByName(odd)
+    assert ranked(retrieval.nearest(both, both, "id", "v", 5, skip_self=True, block_rows=40)) == by_hand(v, 5)
+
+
+def test_readers_of_the_hits_do_not_search_again(spark, table):
+    _, df = table
+    found = retrieval.nearest(df, df, "id", "v", 3, skip_self=True)
+    plan = found.join(found.select("query_id").distinct(), "query_id")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "FlatMapCoGroups" not in plan
+
+
+@pytest.mark.parametrize("tile", [1 << 19, 64])
+def test_tiles_keep_ties_copies_and_every_hit_above_a_score(tile, monkeypatch):
+    monkeypatch.setattr(search, "TILE_CELLS", tile)
+    monkeypatch.setattr(search, "TILE_QUERIES", 8)
+    base = rng.normal(size=(30, 6))
+    unit = search._unit(np.concatenate([base] * 4 + [np.zeros((2, 6))]))
+    ids = rng.permutation(len(unit)).astype(np.int64)
+    best = search._Best(ids[:50], unit[:50], 7, True, 0.9)
+    for part in np.array_split(np.arange(len(unit)), 3):
+        best.add(ids[part], unit[part])
+    scores = np.round(unit[:50] @ unit.T, 6)
+    for row in range(50):
+        others = sorted((c for c in range(len(unit)) if ids[c] != ids[row]), key=lambda c: (-scores[row, c], ids[c]))
+        assert best.ids[row].tolist() == ids[others[:7]].tolist()
+        above = {int(ids[c]) for c in others if scores[row, c] >= 0.9}
+        assert above == {int(i) for q, i, _ in (x for a in best.above for x in zip(*a)) if q == ids[row]}
