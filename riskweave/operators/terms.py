@@ -62,6 +62,8 @@ MOST_LETTERS = 128
 PIECE_BUCKETS = 1 << 16
 # Words, or terms, of one bucket that meet in a task as they are; more are dealt out.
 SIDE_ROWS = 2_048
+# Corrections of one text in a map on average, and the most maps of a text.
+FIXES_PER_MAP, MOST_FIX_MAPS = 4, 512
 
 
 def _pieces(length: Column, edits: Column) -> Column:
@@ -226,8 +228,10 @@ def corrected_texts(
 ) -> DataFrame:
     """Texts with each unknown word replaced by its correction, all else unchanged.
 
-    Only the corrections a text needs travel to it, as a small map. The corrections are
-    written first, so Spark knows their size when it joins them to the words of all texts.
+    Only the corrections a text needs travel to it, in small maps by the hash of the word: a map is
+    searched from its start, so one map would cost each token of a text all corrections of the text.
+    The corrections are written first, so Spark knows their size when it joins them to the words of all
+    texts.
     """
     found = written(
         corrections(distinct_words(df, text), glossary).select("word", "term"), "corrections"
@@ -238,19 +242,31 @@ def corrected_texts(
             F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
         ).alias("word"),
     )
-    maps = (
-        held.join(found, "word")
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "term"))).alias("fixes"))
+    entry = F.struct(F.xxhash64("word").alias("hash"), "word", "term")
+    fixes = held.join(found, "word").groupBy(key).agg(F.collect_set(entry).alias("fixes"))
+    n = F.least(F.lit(MOST_FIX_MAPS), F.ceil(F.size("fixes") / FIXES_PER_MAP).cast("int"))
+
+    def small_map(i: Column) -> Column:
+        own = F.filter("fixes", lambda f: F.pmod(f["hash"], F.col("n_maps")) == i)
+        return F.map_from_entries(F.transform(own, lambda f: F.struct(f["word"], f["term"])))
+
+    maps = fixes.withColumn("n_maps", n).select(
+        key,
+        F.size("fixes").alias("n_fixes"),
+        "n_maps",
+        F.transform(F.sequence(F.lit(0), F.col("n_maps") - 1), small_map).alias("maps"),
     )
     tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-    replaced = F.array_join(
-        F.transform(tokens, lambda t: F.coalesce(F.try_element_at("fixes", F.lower(t)), t)), ""
-    )
+
+    def fixed(t: Column) -> Column:
+        own = F.get("maps", F.pmod(F.xxhash64(F.lower(t)), F.col("n_maps")).cast("int"))
+        return F.coalesce(F.try_element_at(own, F.lower(t)), t)
+
+    replaced = F.array_join(F.transform(tokens, fixed), "")
     return df.join(maps, key, "left").select(
         key,
-        F.when(F.col("fixes").isNull(), F.col(text)).otherwise(replaced).alias("corrected"),
-        F.coalesce(F.size("fixes"), F.lit(0)).alias("n_terms_fixed"),
+        F.when(F.col("maps").isNull(), F.col(text)).otherwise(replaced).alias("corrected"),
+        F.coalesce("n_fixes", F.lit(0)).alias("n_terms_fixed"),
     )
 
 

@@ -483,3 +483,17 @@ def test_response_guard(spark):
 def test_filter_keeps_functions_native(spark):
     df = spark.createDataFrame([("a a",)], "t string").select(tx.smart_repetitions("t"), F.lit(1))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_corrections_in_one_text_and_texts_under_one_key(spark):
+    """Each word gets its own correction, also where two rows share a key and their words."""
+    right = [f"{a}{b}{c}lingen" for a in "bcdfg" for b in "aeiou" for c in "klmnp"]
+    wrong = [w[:-1] + "m" for w in right]
+    glossary = spark.createDataFrame([(w,) for w in right], "term string")
+    rows = [(1, " ".join(wrong)), (1, " ".join(wrong)), (2, "plain, words"), (None, wrong[0])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = [tuple(r) for r in terms.corrected_texts(df, "id", "text", glossary).collect()]
+    best = {r["word"]: r["term"] for r in terms.corrections(terms.distinct_words(df, "text"), glossary).collect()}
+    assert len(best) == len(wrong)
+    want = (1, " ".join(best[w] for w in wrong), len(wrong))
+    assert sorted(got, key=str) == sorted([want, want, (2, "plain, words", 0), (None, wrong[0], 0)], key=str)
