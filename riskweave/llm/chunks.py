@@ -21,7 +21,7 @@ SPACES = (
 #: Letters and digits after which ASCII punctuation is a safe place to cut.
 _WORD = "A-Za-z0-9À-ÖØ-öø-ɏ"
 _MARKS = r"!-&(-/:-@\[-`{-~"
-_CHUNK = re.compile(rf"[{SPACES}]*+(?:[{_WORD}]++(?=[{_MARKS}])|[^{SPACES}]+)|[{SPACES}]++")
+_CHUNK = re.compile(rf"[{SPACES}]*+(?:[{_WORD}]++(?:(?=[{_MARKS}])|[^{SPACES}]*+)|[^{SPACES}]++)|[{SPACES}]++")
 _RUN = re.compile(rf"[{SPACES}]+")
 _EDGES = frozenset(SPACES)
 #: A run of white space longer than this is handed over as one match, without the pattern.

@@ -13,6 +13,8 @@ from riskweave.llm.chunks import ChunkEncoder, pieces
 
 #: Letters only, after one space at most: one match of the split pattern.
 _ONE_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Bytes that stand for themselves, and spaces.
+_PLAIN = re.compile("[ -~]*")
 #: A split pattern that leaves a text whole.
 ONE_MATCH = r"(?s:.)+"
 
@@ -56,10 +58,13 @@ def json_encoder(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    model, letters = tokenizer.model, _byte_letters()
+    model, letters, plain = tokenizer.model, _byte_letters(), _PLAIN.fullmatch
 
     def encode_match(text: str) -> list[int]:
-        stand_in = text.encode("utf-8", "replace").decode("latin-1").translate(letters)
+        if plain(text):
+            stand_in = text.replace(" ", letters[32])
+        else:
+            stand_in = text.encode("utf-8", "replace").decode("latin-1").translate(letters)
         return [token.id for token in model.tokenize(stand_in)]
 
     def encode(text: str) -> list[int]:

@@ -56,3 +56,19 @@ def test_numbers_out_of_range_are_a_fault(digits):
 def test_schemas_that_cannot_be_checked_are_refused(part):
     with pytest.raises(ValueError):
         tool_calls.checked_schema(part, "t")
+
+
+def test_chunks_cut_after_words_and_keep_the_ids_of_the_whole_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from riskweave.llm import chunks, tokenizers_local
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    text = "Plain words, naïve café's 3x4-5 ab漢字 x y  tabs\t\nend."
+    assert chunks._CHUNK.findall("ab, cd漢e (f) 漢g") == ["ab", ",", " cd漢e", " (f)", " 漢g"]
+    assert "".join(chunks._CHUNK.findall(text)) == text
+    encoder = tokenizers_local.json_encoder(path)
+    for part in (text, " word", "word", " naïve", "Ünïted words"):
+        assert encoder.ids(part).tolist() == whole.encode(part, add_special_tokens=False).ids
